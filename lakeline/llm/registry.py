@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lakeline.llm import quality
+from lakeline.llm import quality, simhash
 
-QUERIES = {"op8_quality": quality.op8_quality}
+QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
+    "op8_quality": quality.op8_quality,
+}
 ORACLE_SQL: dict[str, str] = {}
