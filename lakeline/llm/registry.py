@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lakeline.llm import quality, simhash
+from lakeline.llm import langid, packing, quality, simhash
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op5_simhash": simhash.op5_simhash,
+    "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
