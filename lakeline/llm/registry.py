@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakeline.llm import langid, packing, quality, simhash
+from lakeline.llm import decontaminate, langid, packing, quality, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
