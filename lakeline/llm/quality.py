@@ -171,6 +171,15 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Column] | No
     )
 
 
+def drop_rejected(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that ``judge`` rejects; all columns are kept.
+
+    A doc_id that is repeated goes if any of its rows is rejected; rows with a null doc_id can't be told apart and stay.
+    """
+    rejected = settle(judge(docs, threshold).where("NOT kept").select("doc_id").distinct())
+    return docs.join(rejected, docs.doc_id.cast("long") == rejected.doc_id, "left_anti")
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     from lakeline.llm.common import read_table
 

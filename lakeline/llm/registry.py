@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lakeline.llm import decontaminate, langid, packing, quality, simhash
+import corpus_pipeline
+from lakeline.llm import decontaminate, langid, packing, quality, simhash, substrings
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,5 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
+    "op10_substrings": substrings.op10_substrings,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}

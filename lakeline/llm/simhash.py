@@ -326,5 +326,10 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
 
     Repeated rows of the kept document leave one row. Rows with a null doc_id can't be told apart and stay.
     """
-    kept = near_duplicates(docs, size, least).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    groups = settle(near_duplicates(docs, size, least))
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    named = groups.where("doc_id IS NOT NULL")
+    if named.count() == named.distinct().count():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
