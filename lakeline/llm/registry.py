@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakeline.llm import decontaminate, langid, packing, quality, simhash, substrings
+from lakeline.llm import chat, decontaminate, langid, packing, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_urls": urls.op2_urls,
+    "op3_chat": chat.op3_chat,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
@@ -14,4 +16,4 @@ QUERIES = {
     "op10_substrings": substrings.op10_substrings,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op3_chat": chat.ORACLE}
