@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakeline.llm import chat, decontaminate, langid, packing, quality, simhash, substrings, urls
+from lakeline.llm import chat, decontaminate, html, langid, packing, quality, simhash, substrings, urls
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
+    "op9_html": html.op9_html,
     "op10_substrings": substrings.op10_substrings,
     "pipeline": corpus_pipeline.run,
 }
