@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakeline.llm import chat, decontaminate, html, langid, packing, quality, simhash, substrings, urls
+from lakeline.llm import chat, decontaminate, html, langid, packing, quality, simhash, substrings, urls, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,10 +11,11 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash": simhash.op5_simhash,
+    "op6_warc": warc.op6_warc,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
     "op9_html": html.op9_html,
     "op10_substrings": substrings.op10_substrings,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op3_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op3_chat": chat.ORACLE, "op6_warc": warc.ORACLE}
