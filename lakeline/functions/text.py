@@ -47,7 +47,7 @@ def strip_img_markers(s: Column) -> Column:
 
 def renumber_img_paths(s: Column) -> tuple[Column, Column]:
     """``[IMG_PATH:p]`` becomes ``[IMG:k]``, k the first-seen rank of the trimmed path; second value: the paths."""
-    paths = F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(r"\[IMG_PATH:([^\]]*)\]"), 1), F.trim))
+    paths = F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(r"\[IMG_PATH:([^\]]*)\]"), 1), lambda p: F.trim(p)))
     parts = F.split(s, r"\[IMG_PATH:")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.lit("[IMG:"), F.array_position(paths, F.trim(F.substring_index(p, "]", 1))), F.substr(p, F.locate("]", p))))
     return F.concat(parts[0], F.array_join(rest, "")), paths
@@ -91,7 +91,7 @@ def json_string_array(s: Column) -> Column:
 
 def array_minus(a: Column, gone: Column) -> Column:
     """Members of ``a`` not in ``gone``, ignoring case; order and repeats stay."""
-    low = F.transform(gone, F.lower)
+    low = F.transform(gone, lambda g: F.lower(g))
     return F.filter(a, lambda x: ~F.array_contains(low, F.lower(x)))
 
 
@@ -120,7 +120,7 @@ def is_page_number(s: Column) -> Column:
 
 def structure_meta(s: Column) -> tuple[Column, Column, Column, Column]:
     """(table lines, list items, has a code fence, words) of a chunk."""
-    lines = F.transform(F.split(s, "\n"), F.trim)
+    lines = F.transform(F.split(s, "\n"), lambda l: F.trim(l))
     return (
         F.size(F.filter(lines, lambda x: x.startswith("|") & ~x.contains("---"))),
         F.size(F.filter(lines, lambda x: x.rlike(r"^([-*] |([1-9]|1[0-2])\. )"))),
