@@ -3,8 +3,8 @@
 For every benchmark item the windows of its size in words are fingerprinted over the whole text. Fingerprints within
 ``RADIUS`` bits agree to within RADIUS // 4 bits in at least one of four 16-bit blocks, so tables of all block values
 that near give every window within the radius; candidates are then checked by the exact similarity of the weighted
-(repeats counted) five-word shingles. A document without a single shingle of an item of a size can't reach a positive
-similarity with it, so its windows of that size are not fingerprinted.
+(repeats counted) five-word shingles. A window without a single shingle of an item has no similarity with any, so only windows
+that hold one are fingerprinted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeline.llm.common import batch, map_batches, read_table, settle, text_bytes
-from lakeline.llm.simhash import fingerprint, shingle_hashes
+from lakeline.llm.simhash import fingerprint, shingle_codes
 
 SIZE, LEAST = 5, 0.8
 #: Two texts at similarity 0.8 differ in 9.7 of 64 bits on average; 15 bits hold 98 of 100 such windows.
@@ -45,7 +45,7 @@ class Items:
             if not words:
                 continue
             size = min(SIZE, words)
-            h = shingle_hashes(b, size)
+            h = shingle_codes(b, size)
             values, counts = np.unique(h, return_counts=True)
             by.setdefault((size, len(h)), []).append(len(self.ids))
             self.ids.append(item)
@@ -72,18 +72,23 @@ class Items:
         over = (bits[n:] - bits[:-n]) * 2 > n
         return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
 
-    def search(self, h: np.ndarray, size: int, n: int) -> Iterator[tuple[int, int]]:
-        """(window start, item index) of every window of ``n`` shingles within RADIUS bits of an item of that size."""
+    def search(self, h: np.ndarray, hits: np.ndarray, size: int, n: int) -> Iterator[tuple[int, int]]:
+        """(window start, item index) of every window of ``n`` shingles that holds one of the shingles at ``hits`` and is
+        within RADIUS bits of an item of that size."""
         own = self.groups[size, n]
         if len(h) <= n:
             spans = [(0, np.array([fingerprint(h)], dtype=np.uint64))]
         else:
             def stretches():
-                for a in range(0, len(h) - n + 1, STRETCH):
-                    part = h[a : a + STRETCH + n - 1]
-                    bits = np.zeros((len(part) + 1, 64), dtype=np.int32)
-                    np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=bits[1:], dtype=np.int32)
-                    yield a, self.windows(bits, n)
+                cuts = np.flatnonzero(np.diff(hits) > n) + 1
+                for own_hits in np.split(hits, cuts):
+                    low, high = max(0, int(own_hits[0]) - n + 1), min(len(h) - n, int(own_hits[-1])) + 1
+                    for a in range(low, high, STRETCH):
+                        part = h[a : min(a + STRETCH, high) + n - 1]
+                        bits = np.zeros((len(part) + 1, 64), dtype=np.int32)
+                        np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=bits[1:], dtype=np.int32)
+                        yield a, self.windows(bits, n)
+
             spans = stretches()
         for a, fps in spans:
             for p, plane in enumerate(self.tables[size, n]):
@@ -102,17 +107,19 @@ class Items:
         """(item_id, first word, words, similarity) of the best window of each item that reaches LEAST."""
         best: dict[int, tuple[float, int, int]] = {}
         for size in self.sizes:
-            h = shingle_hashes(text, size)
+            h = shingle_codes(text, size)
             if not len(h):
                 continue
             may = np.flatnonzero(self.quick[size][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            common = set(h[may[np.isin(h[may], self.known[size])]].tolist())
-            if not common:
+            known = self.known[size]
+            hits = may[known[np.minimum(np.searchsorted(known, h[may]), len(known) - 1)] == h[may]]
+            if not len(hits):
                 continue
+            common = set(h[hits].tolist())
             for (s, n), own in self.groups.items():
                 if s != size or not any(not common.isdisjoint(self.bags[i]) for i in own):
                     continue
-                for a, i in self.search(h, size, n):
+                for a, i in self.search(h, hits, size, n):
                     bag = self.bags[i]
                     values, counts = np.unique(h[a : a + n], return_counts=True)
                     least = sum(min(bag.get(v, 0), c) for v, c in zip(values.tolist(), counts.tolist()))

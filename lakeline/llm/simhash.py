@@ -38,6 +38,17 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops))
 
 
+def shingle_codes(text: bytes | None, size: int) -> np.ndarray:
+    """A 64-bit code of each ``size``-word shingle in order, as ``shingle_hashes`` but from the hashes of single words."""
+    words = (text or b"").lower().split()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - size + 1) if words else 0
+    code = own[:n].copy()
+    for k in range(1, min(size, len(words))):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+    return mix64(code)
+
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -211,7 +222,7 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
                 same, fps, keys = [], [], []
                 for t in text_bytes(b.column("text")):
                     same.append(xxhash.xxh3_128_hexdigest(t or b""))
-                    h = shingle_hashes(t, size)
+                    h = shingle_codes(t, size)
                     fps.append(signed(fingerprint(h)))
                     if not len(h):
                         keys.append([])
@@ -284,7 +295,7 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float) -
                     if x not in known:
                         if len(known) > 64:
                             known.clear()
-                        known[x] = np.unique(shingle_hashes(x, size))
+                        known[x] = np.unique(shingle_codes(x, size))
                     sets.append(known[x])
                 n, m = map(len, sets)
                 if min(n, m) < least * max(n, m):
