@@ -10,6 +10,8 @@ labels contradict those of the others (two-proportion test at 5 %). A template i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,37 +46,41 @@ SHAPE = """CASE WHEN regexp_like({s}, '^[0-9]+$') THEN '<n>' WHEN regexp_like({s
 CUT = """SELECT page_id, url, translate(raw, '{upper}', '{lower}') AS host, {extract}(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path
  FROM (SELECT *, {extract}(rest, '^[^/?#]*', 0) AS raw FROM (SELECT page_id, url, CASE WHEN {instr}(url, '://') > 0 THEN substr(url, {instr}(url, '://') + 3) ELSE '' END AS rest FROM {pages}) AS a) AS b"""
 
-TREE = """
-kinds AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, count(CASE WHEN label = 'block' THEN 1 END) AS blocked FROM judged GROUP BY host, shape),
-wild AS (SELECT host, pos, parent FROM steps GROUP BY host, pos, parent HAVING count(DISTINCT child) >= {wild_children} AND sum(n) < {wild_share} * count(DISTINCT child)),
-named AS (SELECT s.host, s.shape, s.pos, CASE WHEN w.host IS NULL THEN s.child ELSE '*' END AS child FROM steps s LEFT JOIN wild w ON s.host = w.host AND s.pos = w.pos AND s.parent = w.parent),
-whole AS (SELECT host, shape, max(CASE WHEN pos = 1 THEN child END) AS branch, {rest} AS rest FROM named GROUP BY host, shape),
-leaf AS (SELECT k.host, k.shape, coalesce(w.branch, '') AS branch, coalesce(w.rest, '') AS rest, k.n, k.labelled, k.blocked FROM kinds k LEFT JOIN whole w ON k.host = w.host AND k.shape = w.shape),
-leaves AS (SELECT host, branch, rest, sum(n) AS n FROM leaf GROUP BY host, branch, rest),
-modes AS (SELECT host, branch, rest AS mode FROM (SELECT *, row_number() OVER (PARTITION BY host, branch ORDER BY n DESC, rest) AS rn FROM leaves) AS t WHERE rn = 1),
-family AS (SELECT l.host, m.mode, l.branch, l.rest, l.n FROM leaves l JOIN modes m ON l.host = m.host AND l.branch = m.branch),
-totals AS (SELECT host, mode, sum(n) AS n FROM family GROUP BY host, mode),
-rests AS (SELECT host, mode, rest, sum(n) AS n FROM family GROUP BY host, mode, rest),
-sizes AS (SELECT host, mode, branch, sum(n) AS n FROM family GROUP BY host, mode, branch),
-labels AS (SELECT host, branch, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaf GROUP BY host, branch),
-apart AS (SELECT l.host, l.mode, l.branch, sum(abs(CAST(l.n AS {big}) * h.n - CAST(r.n AS {big}) * b.n)) AS near, sum(r.n) AS covered
+#: The steps of the tree in order; each reads the ones before it.
+TREE = {
+    "kinds": """SELECT host, shape, count(*) AS n, count(label) AS labelled, count(CASE WHEN label = 'block' THEN 1 END) AS blocked FROM judged GROUP BY host, shape""",
+    "wild": """SELECT host, pos, parent FROM steps GROUP BY host, pos, parent HAVING count(DISTINCT child) >= {wild_children} AND sum(n) < {wild_share} * count(DISTINCT child)""",
+    "named": """SELECT s.host, s.shape, s.pos, CASE WHEN w.host IS NULL THEN s.child ELSE '*' END AS child FROM steps s LEFT JOIN wild w ON s.host = w.host AND s.pos = w.pos AND s.parent = w.parent""",
+    "whole": """SELECT host, shape, max(CASE WHEN pos = 1 THEN child END) AS branch, {rest} AS rest FROM named GROUP BY host, shape""",
+    "leaf": """SELECT k.host, k.shape, coalesce(w.branch, '') AS branch, coalesce(w.rest, '') AS rest, k.n, k.labelled, k.blocked FROM kinds k LEFT JOIN whole w ON k.host = w.host AND k.shape = w.shape""",
+    "leaves": """SELECT host, branch, rest, sum(n) AS n FROM leaf GROUP BY host, branch, rest""",
+    "modes": """SELECT host, branch, rest AS mode FROM (SELECT *, row_number() OVER (PARTITION BY host, branch ORDER BY n DESC, rest) AS rn FROM leaves) AS t WHERE rn = 1""",
+    "family": """SELECT l.host, m.mode, l.branch, l.rest, l.n FROM leaves l JOIN modes m ON l.host = m.host AND l.branch = m.branch""",
+    "totals": """SELECT host, mode, sum(n) AS n FROM family GROUP BY host, mode""",
+    "rests": """SELECT host, mode, rest, sum(n) AS n FROM family GROUP BY host, mode, rest""",
+    "sizes": """SELECT host, mode, branch, sum(n) AS n FROM family GROUP BY host, mode, branch""",
+    "labels": """SELECT host, branch, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaf GROUP BY host, branch""",
+    "apart": """SELECT l.host, l.mode, l.branch, sum(abs(CAST(l.n AS {big}) * h.n - CAST(r.n AS {big}) * b.n)) AS near, sum(r.n) AS covered
  FROM family l JOIN rests r ON l.host = r.host AND l.mode = r.mode AND l.rest = r.rest JOIN sizes b ON l.host = b.host AND l.branch = b.branch JOIN totals h ON l.host = h.host AND l.mode = h.mode
- GROUP BY l.host, l.mode, l.branch),
-alike AS (SELECT b.host, b.mode, b.branch, c.labelled, c.blocked FROM sizes b JOIN apart a ON b.host = a.host AND b.branch = a.branch JOIN totals h ON b.host = h.host AND b.mode = h.mode
+ GROUP BY l.host, l.mode, l.branch""",
+    "alike": """SELECT b.host, b.mode, b.branch, c.labelled, c.blocked FROM sizes b JOIN apart a ON b.host = a.host AND b.branch = a.branch JOIN totals h ON b.host = h.host AND b.mode = h.mode
  JOIN labels c ON b.host = c.host AND b.branch = c.branch
- WHERE b.n >= {least_pages} AND 2 * (a.near + CAST(b.n AS {big}) * (h.n - a.covered)) <= CAST(b.n AS {big}) * h.n),
-pool AS (SELECT host, mode, count(*) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM alike GROUP BY host, mode),
-joined AS (SELECT host, branch FROM (SELECT a.host, a.branch, p.n, CAST(a.labelled AS double) AS n1, CAST(a.blocked AS double) AS b1, CAST(p.labelled - a.labelled AS double) AS n2, CAST(p.blocked - a.blocked AS double) AS b2
+ WHERE b.n >= {least_pages} AND 2 * (a.near + CAST(b.n AS {big}) * (h.n - a.covered)) <= CAST(b.n AS {big}) * h.n""",
+    "pool": """SELECT host, mode, count(*) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM alike GROUP BY host, mode""",
+    "joined": """SELECT host, branch FROM (SELECT a.host, a.branch, p.n, CAST(a.labelled AS double) AS n1, CAST(a.blocked AS double) AS b1, CAST(p.labelled - a.labelled AS double) AS n2, CAST(p.blocked - a.blocked AS double) AS b2
  FROM alike a JOIN pool p ON a.host = p.host AND a.mode = p.mode) AS t
- WHERE n >= 2 AND (n1 = 0 OR n2 = 0 OR (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) <= 3.84 * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2)),
-template AS (SELECT l.host, l.shape, concat('/', CASE WHEN j.host IS NULL THEN l.branch ELSE '*' END, l.rest) AS template, l.labelled, l.blocked FROM leaf l LEFT JOIN joined j ON l.host = j.host AND l.branch = j.branch),
-purity AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM template GROUP BY host, template),
-verdicts AS (SELECT t.host, t.shape, t.template, CASE WHEN p.labelled >= {least_labels} AND 10 * (p.blocked + 1) >= {purity} * (p.labelled + 2) THEN 'block' ELSE 'allow' END AS method
- FROM template t JOIN purity p ON t.host = p.host AND t.template = p.template)"""
+ WHERE n >= 2 AND (n1 = 0 OR n2 = 0 OR (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) <= 3.84 * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2)""",
+    "template": """SELECT l.host, l.shape, concat('/', CASE WHEN j.host IS NULL THEN l.branch ELSE '*' END, l.rest) AS template, l.labelled, l.blocked FROM leaf l LEFT JOIN joined j ON l.host = j.host AND l.branch = j.branch""",
+    "purity": """SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM template GROUP BY host, template""",
+    "verdicts": """SELECT t.host, t.shape, t.template, CASE WHEN p.labelled >= {least_labels} AND 10 * (p.blocked + 1) >= {purity} * (p.labelled + 2) THEN 'block' ELSE 'allow' END AS method
+ FROM template t JOIN purity p ON t.host = p.host AND t.template = p.template""",
+}
+#: Steps that Spark writes down, so that no later step plans them again.
+SETTLED = ("leaf", "family", "alike", "template", "verdicts")
 
 
-def tree_sql(rest: str, big: str) -> str:
-    return TREE.format(rest=rest, big=big, wild_children=WILD_CHILDREN, wild_share=WILD_SHARE, least_pages=LEAST_PAGES, least_labels=LEAST_LABELS, purity=PURITY)
+def tree_steps(rest: str, big: str) -> dict[str, str]:
+    return {n: q.format(rest=rest, big=big, wild_children=WILD_CHILDREN, wild_share=WILD_SHARE, least_pages=LEAST_PAGES, least_labels=LEAST_LABELS, purity=PURITY) for n, q in TREE.items()}
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -98,8 +104,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     kinds = settle(judged.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")))
     steps = kinds.where("shape <> ''").select("host", "shape", "n", F.posexplode(F.split("shape", "/"))).selectExpr("host", "shape", "n", "pos + 1 AS pos", "col AS child", "array_join(slice(split(shape, '/'), 1, pos), '/') AS parent")
     rest = "array_join(transform(array_sort(collect_list(CASE WHEN pos > 1 THEN struct(pos, child) END)), x -> concat('/', x.child)), '')"
-    tree = tree_sql(rest, "decimal(38,0)").replace("kinds AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, count(CASE WHEN label = 'block' THEN 1 END) AS blocked FROM judged GROUP BY host, shape),", "")
-    verdicts = settle(spark.sql(f"WITH {tree.strip()} SELECT * FROM verdicts".replace("FROM steps", "FROM {steps}").replace("FROM kinds k", "FROM {kinds} k"), steps=steps, kinds=kinds))
+    known = {"kinds": kinds, "steps": steps}
+    for name, sql in tree_steps(rest, "decimal(38,0)").items():
+        if name not in known:
+            own = {t: known[t] for t in re.findall(r"(?:FROM|JOIN) (\w+)", sql) if t in known}
+            found = spark.sql(re.sub(r"(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in own else m[0], sql), **own)
+            known[name] = settle(found) if name in SETTLED else found
+    verdicts = known["verdicts"]
     return judged.join(verdicts, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("label", "method").alias("verdict"), "template")
 
 
@@ -107,12 +118,14 @@ def oracle() -> str:
     cut = CUT.format(upper=UPPER, lower=LOWER, extract="regexp_extract", instr="instr", pages="pages")
     shape = SHAPE.format(s="s").replace("regexp_like", "regexp_matches")
     rules = [rule_case(RULES, k) for k in (0, 1)]
+    steps = tree_steps("coalesce(string_agg(concat('/', child), '' ORDER BY pos) FILTER (WHERE pos > 1), '')", "hugeint")
+    tree = ",\n".join(f"{n} AS ({q})" for n, q in steps.items())
     return f"""WITH judged AS (SELECT page_id, host, path, {rules[0]} AS rule, {rules[1]} AS label,
      coalesce(array_to_string(list_transform(list_slice(list_filter(string_split(path, '/'), lambda s: s <> ''), 1, {DEPTH}), lambda s: {shape}), '/'), '') AS shape FROM ({cut}) AS c),
     counted AS (SELECT host, shape, count(*) AS n FROM judged GROUP BY host, shape),
     split AS (SELECT host, shape, n, string_split(shape, '/') AS segs FROM counted WHERE shape <> ''),
     steps AS (SELECT host, shape, n, pos, segs[pos] AS child, array_to_string(list_slice(segs, 1, pos - 1), '/') AS parent FROM split, range(1, {DEPTH + 1}) AS r(pos) WHERE pos <= len(segs)),
-    {tree_sql("coalesce(string_agg(concat('/', child), '' ORDER BY pos) FILTER (WHERE pos > 1), '')", "hugeint").strip()}
+    {tree}
     SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, v.method) AS verdict, v.template FROM judged j JOIN verdicts v ON j.host = v.host AND j.shape = v.shape"""
 
 
