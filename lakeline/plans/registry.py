@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeline.plans import chunking, listing, retrieval, state, streams
+from lakeline.plans import chunking, listing, retrieval, state, streams, structure
 
-MODULES = [retrieval, listing, chunking, state, streams]
+MODULES = [retrieval, listing, chunking, state, streams, structure]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_search"
