@@ -165,3 +165,62 @@ def image_format(content: Column) -> Column:
 
 def mime_to_type(mime: Column) -> Column:
     return F.when(mime == "application/pdf", "Pdf").when(mime == "application/msword", "Doc").when(mime == "text/csv", "Csv").when(mime.contains("wordprocessingml"), "Docx").when(mime.contains("spreadsheetml"), "Xlsx")
+
+
+def normalize_image_md(s: Column) -> Column:
+    """Unwrap nested image markdown (five levels at most) and drop white space within its URL."""
+    for _ in range(5):
+        s = F.regexp_replace(s, r"!\[[^\]]*\]\(\s*(!\[[^\]]*\]\([^()]*\))\s*\)", "$1")
+    for _ in range(8):  # white space runs within one URL
+        s = F.regexp_replace(s, r"(!\[[^\]]*\]\([^()\s]*)\s+([^()]*\))", "$1$2")
+    return s
+
+
+def parse_options(s: Column, most: int = 5) -> Column:
+    """Options divided by ``|`` without list marks and quotes; those of 6 to 249 signs that don't end with a colon."""
+    one = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), r"^([-*•]|\d+[.)])\s+", "")), "^[\"'“”](.*)[\"'“”]$", "$1")
+    return F.slice(F.filter(F.transform(F.split(s, r"\|"), one), lambda x: (F.length(x) > 5) & (F.length(x) < 250) & ~x.endswith(":")), 1, most)
+
+
+def topic_name(file_name: Column) -> Column:
+    """A file name as words: no extension, dashes and capitals inside words divide, lower case."""
+    bare = F.regexp_replace(F.regexp_replace(file_name, r"\.[^.]*$", ""), r"[-_]+", " ")
+    return F.lower(normalize_ws(F.regexp_replace(bare, r"(?<=\p{Ll})(?=\p{Lu})", " ")))
+
+
+def resolve_image_refs(s: Column, paths: Column, captions: Column, word: str = "image") -> Column:
+    """``[[IMG-k…]]`` becomes ``![caption](/uploads/path)`` by the arrays; unknown numbers are removed."""
+    parts = F.split(s, r"\[\[\s*IMG-(?=\d+[^\]]*\]\])")
+
+    def one(p: Column) -> Column:
+        k = F.regexp_extract(p, r"^\d+", 0).cast("int")
+        path, cap = F.try_element_at(paths, F.when(k > 0, k)), F.trim(F.try_element_at(captions, F.when(k > 0, k)))
+        alt = F.translate(F.when(F.coalesce(cap, F.lit("")) == "", word).otherwise(clip(cap, 200, "...")), "[]", "()")
+        return F.concat(F.when(path.isNotNull(), F.concat(F.lit("!["), alt, F.lit("](/uploads/"), path, F.lit(")"))).otherwise(""), F.regexp_replace(p, r"^\d+[^\]]*\]\]", ""))
+
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+
+
+def recursive_split(s: Column, most: int) -> Column:
+    """Pieces of at most ``most`` words: paragraphs are packed while they fit, longer ones are cut into runs of words."""
+    words = F.filter(F.split(s, r"\s+"), lambda x: x != "")
+    runs = lambda p: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(count_tokens(p) / most) - 1, F.lit(0)).cast("int")),
+        lambda i: F.array_join(F.slice(F.filter(F.split(p, r"\s+"), lambda x: x != ""), i * most + 1, most), " "),
+    )
+    parts = F.filter(F.flatten(F.transform(F.split(s, r"\n\s*\n|\n"), lambda p: F.when(count_tokens(p) <= most, F.array(F.trim(p))).otherwise(runs(p)))), lambda p: p != "")
+    empty = F.expr("cast(array() as array<string>)")
+
+    def step(done, p):
+        last = F.try_element_at(done, F.lit(-1))
+        fits = F.coalesce(count_tokens(last) + count_tokens(p) <= most, F.lit(False))
+        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), p)))).otherwise(F.concat(done, F.array(p)))
+
+    return F.when(F.size(words) == 0, empty).otherwise(F.aggregate(parts, empty, step))
+
+
+def format_date(seconds: Column) -> Column:
+    """Day, Turkish month name and year."""
+    months = F.array(*map(F.lit, "Ocak Şubat Mart Nisan Mayıs Haziran Temmuz Ağustos Eylül Ekim Kasım Aralık".split()))
+    ts = F.timestamp_seconds(seconds)
+    return F.concat_ws(" ", F.day(ts), F.element_at(months, F.month(ts)), F.year(ts))

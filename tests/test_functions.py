@@ -87,3 +87,18 @@ def test_folds_against_loops(spark):
 def test_validation(spark):
     df = spark.createDataFrame([(None, 0, ["spam"], "x" * 501), (1, -1, ["wrong"], None)], "message_id long, rating int, categories array<string>, reason string")
     assert [r[0] for r in df.select(listing.violations(listing.feedback_rules(["wrong"]))).collect()] == [["message_id", "rating", "categories", "reason"], []]
+
+
+def test_image_markdown_options_topics(spark):
+    assert one(spark, "![a]( ![b](u r l) )", x.normalize_image_md) == "![b](url)"
+    assert one(spark, '- "first option"|2) short|3. other choice|ends so:', lambda c: x.parse_options(c, 3)) == ["first option", "other choice"]
+    assert one(spark, "annual-Report_ofÇelik.pdf", x.topic_name) == "annual report of çelik"
+    s = "see [[IMG-1]] and [[IMG-2 x]] [[IMG-9]]."
+    got = one(spark, s, lambda c: x.resolve_image_refs(c, F.array(F.lit("p"), F.lit("q")), F.array(F.lit("[cat]"), F.lit(" "))))
+    assert got == "see ![(cat)](/uploads/p) and ![image](/uploads/q) ."
+    assert one(spark, 1704067200, x.format_date, "long") == "1 Ocak 2024"
+
+
+def test_recursive_split(spark):
+    got = one(spark, "a b\nc d\n\ne f g h i j k\nl", lambda c: x.recursive_split(c, 4))
+    assert got == ["a b\nc d", "e f g h", "i j k\nl"] and one(spark, " \n", lambda c: x.recursive_split(c, 4)) == []
