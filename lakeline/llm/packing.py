@@ -9,6 +9,7 @@ exchange saves nothing, or one partition is left.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one partition packs; lengths and references only, about 50 bytes each.
 PART_ROWS = 50_000
-#: Words whose ids a Python worker remembers; beyond, it starts anew, which changes no result.
-MEMO_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers; beyond, it forgets the rarer ones, which changes no result.
+MEMO_WORDS = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,21 +54,38 @@ class WordEncoder:
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
         self.flat, self.start, self.count = array("I", [0]), array("q", [0]), array("q", [1])  # code 0: the end mark, id 0
-        self.tables = None
+        self.uses = np.zeros(1, dtype=np.int64)
+
+    def put(self, word: bytes, ids: list[int]) -> None:
+        self.codes[word] = len(self.start)
+        self.start.append(len(self.flat))
+        self.count.append(len(ids))
+        self.flat.extend(ids)
+
+    def ids(self, word: bytes) -> list[int]:
+        code = self.codes[word]
+        return self.flat[self.start[code] : self.start[code] + self.count[code]].tolist()
 
     def add(self, words: list[bytes]) -> None:
-        stems = []
-        for w in words:
-            stem = w[:-1].decode("utf-8", "replace") if w[-1] in self.signs else ""
-            stems.append(stem if stem.isalpha() else "")
-        texts = [s or w.decode("utf-8", "replace") for s, w in zip(stems, words)]
-        for w, s, e in zip(words, stems, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids = e.ids + self.signs[w[-1]] if s else e.ids
-            self.codes[w] = len(self.start)
-            self.start.append(len(self.flat))
-            self.count.append(len(ids))
-            self.flat.extend(ids)
-        self.tables = None
+        """Learn the ids of new words; a word of letters behind several signs is tokenised once."""
+        stems = [w[:-1] if w[-1] in self.signs and w[:-1].decode("utf-8", "replace").isalpha() else w for w in words]
+        new = [s for s in dict.fromkeys(stems) if s not in self.codes]
+        for a in range(0, len(new), 1000):  # an encoding takes far more room than its ids
+            part = new[a : a + 1000]
+            for s, e in zip(part, self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)):
+                self.put(s, e.ids)
+        for w, s in zip(words, stems):
+            if w is not s and w not in self.codes:
+                self.put(w, self.ids(s) + self.signs[w[-1]])
+
+    def forget(self) -> None:
+        """Keep the words used most since the last time, half of MEMO_WORDS at most."""
+        used = np.concatenate([self.uses, np.zeros(len(self.start) - len(self.uses), dtype=np.int64)])
+        least = max(2, int(np.partition(used, -(MEMO_WORDS // 2))[-(MEMO_WORDS // 2)]) + 1)
+        kept = [(w, self.ids(w)) for w, c in self.codes.items() if used[c] >= least]
+        self.clear()
+        for w, ids in kept:
+            self.put(w, ids)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, an end mark behind each, and the number of ids of each text."""
@@ -78,16 +96,15 @@ class WordEncoder:
             words += own
             per.append(len(own))
         if len(self.codes) > MEMO_WORDS:
-            self.clear()
+            self.forget()
         get = self.codes.get
         codes = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
         lost = np.flatnonzero(codes < 0)
         if len(lost):
             self.add(list(dict.fromkeys(words[i] for i in lost.tolist())))
             codes[lost] = [self.codes[words[i]] for i in lost.tolist()]
-        if self.tables is None:
-            self.tables = tuple(np.array(x) for x in (self.flat, self.start, self.count))
-        flat, start, count = self.tables
+        self.uses = np.bincount(codes, minlength=len(self.start)) + np.concatenate([self.uses, np.zeros(len(self.start) - len(self.uses), dtype=np.int64)])
+        flat, start, count = np.frombuffer(self.flat, dtype=np.uint32), np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.count, dtype=np.int64)
         ends = np.cumsum(np.array(per, dtype=np.int64))
         codes = np.insert(codes, ends, 0)
         n = count[codes]
@@ -101,6 +118,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads would each keep memory
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
