@@ -45,7 +45,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows here hold whole texts, so the session's Arrow batches are bounded by bytes and not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not (now.isdigit() and 0 < int(now) <= CHUNK_BYTES):
+        spark.conf.set(key, str(CHUNK_BYTES))
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
