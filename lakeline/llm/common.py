@@ -55,7 +55,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:

@@ -145,6 +145,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
                         rows.append((d, k, s, len(own), zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None))
                     at += n
                 yield batch(PIECES, **dict(zip(PIECES.names, map(list, zip(*rows)))))
+        if len(enc.codes) > MEMO_WORDS // 2:  # a worker keeps its memory after the last task
+            enc.forget()
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES_DDL)
 
