@@ -208,22 +208,27 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 # Near-duplicate removal by similarity of shingles: candidates, exact check, one document of each group.
 
 BANDS, ROWS = 8, 3
-SIGNED = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: In a bucket each member is paired with the smallest one and its next REACH members; so up to REACH + 2 members make all pairs.
+REACH, NEAR = 3, 24
+#: Members, and shingles in all, of one block of a larger bucket whose pairs are tested inside a task.
+MEMBERS, SHINGLES = 1024, 1 << 20
+SIGNED = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("fp", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, same, fp, bands)``: a 128-bit key of the text, the SimHash of its shingles and the keys of ``bands``
-    bands of ``rows`` min-hashes over all shingles."""
+    """``(doc_id, same, fp, size, bands)``: a 128-bit key of the text, the SimHash of its shingles, their number and the
+    keys of ``bands`` bands of ``rows`` min-hashes over all shingles."""
     seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                same, fps, keys = [], [], []
+                same, fps, sizes, keys = [], [], [], []
                 for t in text_bytes(b.column("text")):
                     same.append(xxhash.xxh3_128_hexdigest(t or b""))
                     h = shingle_codes(t, size)
                     fps.append(signed(fingerprint(h)))
+                    sizes.append(len(h))
                     if not len(h):
                         keys.append([])
                         continue
@@ -235,16 +240,16 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
                     for r in range(rows):
                         key = mix64(key ^ least[r::rows])
                     keys.append(key.view(np.int64))
-                yield batch(SIGNED, doc_id=b.column("doc_id"), same=same, fp=fps, bands=keys)
+                yield batch(SIGNED, doc_id=b.column("doc_id"), same=same, fp=fps, size=sizes, bands=keys)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, same string, fp long, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, same string, fp long, size long, bands array<long>")
 
 
-def band_pairs(keyed: DataFrame, reach: int = 3, radius: int = 24) -> DataFrame:
+def band_pairs(keyed: DataFrame, reach: int = REACH, radius: int = NEAR) -> DataFrame:
     """Candidate pairs ``(u, v)``, u < v, of rows ``(key, doc_id, fp)`` that share a key and whose fingerprints are near.
 
-    In a bucket each member is paired with the smallest one and with its next ``reach`` members; all others of a group
-    follow over these, since the result is used for connected components. Pairs grow with the members.
+    In a bucket each member is paired with the smallest one and with its next ``reach`` members, so that pairs grow with
+    the members. That connects most groups cheaply; what it leaves apart in a larger bucket is tested by ``open_links``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,25 +314,114 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float) -
     return map_batches(both, run, "u long, v long")
 
 
+def forest(doc: np.ndarray, fp: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float, radius: int = NEAR) -> tuple[list[int], list[int]]:
+    """Links that connect all that the pairs of these documents connect which lie within ``radius`` bits and have
+    similarity ``least`` or more. Documents with one ``comp`` are connected already; of two blocks (``side``) only pairs
+    across are tested. Each document is compared with all that are not connected to it yet, so none is left out."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(flat, np.cumsum(size)[:-1])
+    label, count = np.unique(comp, return_inverse=True, return_counts=True)[1:]
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(count)[:-1])
+    bits, cross = fp.view(np.uint64), side.min() != side.max()
+    left, mark = np.ones(len(doc), dtype=bool), np.zeros(len(codes), dtype=bool)
+    us: list[int] = []
+    vs: list[int] = []
+    for seed in np.argsort(count, kind="stable"):  # the largest last: it is compared with what the others have left
+        if not left[members[seed][0]]:
+            continue
+        left[members[seed]] = False
+        front = members[seed].tolist()
+        while front and left.any():
+            x = front.pop()
+            ok = left & (np.bitwise_count(bits ^ bits[x]) <= radius) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]))
+            at = np.flatnonzero(ok & (side != side[x]) if cross else ok)
+            if not len(at):
+                continue
+            mark[ids[x]] = True
+            total = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[j] for j in at])])])
+            mark[ids[x]] = False
+            ends = np.cumsum(size[at])
+            both = total[ends] - total[ends - size[at]]
+            for j in at[both >= least * (size[at] + size[x] - both)].tolist():
+                if left[j]:
+                    us.append(int(doc[x]))
+                    vs.append(int(doc[j]))
+                    left[members[label[j]]] = False
+                    front += members[label[j]].tolist()
+    return us, vs
+
+
+def open_links(keyed: DataFrame, found: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Verified links ``(u, v)`` that connect what ``found`` (node, component) leaves apart inside a bucket.
+
+    ``keyed`` has rows ``(key, full, doc_id, fp, size)``; all pairs of a bucket of ``full`` members or fewer were tested
+    before. Larger buckets whose members are not all connected are dealt out as pairs of blocks with the texts, and
+    every pair of a block that is not connected yet is tested. Only a spanning forest of verified links is returned.
+    """
+    named = keyed.join(found, keyed.doc_id == found.node, "left").select("key", "full", "doc_id", "fp", "size", F.coalesce("component", "doc_id").alias("comp"))
+    large = named.groupBy("key", "full").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    large = settle(large.where("n > full AND low < high").select("key", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("all") / SHINGLES)).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    dealt = settle(
+        named.join(large, "key")
+        .withColumn("side", mine)
+        .withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("a"), F.greatest(x, F.col("side")).alias("b")))))
+        .select(F.xxhash64("key", "part.a", "part.b").alias("group"), "doc_id", "fp", "comp", "side")
+    )
+    some = dealt.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("group")
+    dealt = settle(dealt.join(some, "group", "left_semi"))
+    own = texts.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            doc, fp, comp, side = (np.array(x, dtype=np.int64) for x in list(zip(*rows))[:4])
+            u, v = forest(doc, fp, comp, side, [r[4] for r in rows], least)
+            if u:
+                yield batch(EDGE, u=np.minimum(u, v), v=np.maximum(u, v))
+
+        for b in batches:
+            names = ("group", "doc_id", "fp", "comp", "side")
+            for g, *row, t in zip(*(b.column(n).to_pylist() for n in names), text_bytes(b.column("text"))):
+                if g != now and rows:
+                    yield from send()
+                    rows = []
+                now = g
+                rows.append((*row, np.unique(shingle_codes(t, size))))
+        if rows:
+            yield from send()
+
+    both = dealt.join(own, "doc_id").repartition("group").sortWithinPartitions("group")
+    return map_batches(both.select("group", "doc_id", "fp", "comp", "side", "text"), run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of groups whose members are connected by shingle similarity ``least`` or more.
 
     Exact copies are gathered by a 128-bit key of the text first, so only different texts are compared. Candidates are
     pigeonring pairs of SimHash fingerprints (3 bits) and, since a similarity of 0.8 lets 64-bit fingerprints differ in
-    up to about 20 bits, pairs that share a band of min-hashes and differ in at most 24 bits; each is then checked
-    exactly. Texts without words form one group; documents with a null doc_id are returned with a null group.
+    up to about 20 bits, pairs that share a band of min-hashes and differ in at most 24 bits. Each pair is checked exactly
+    unless other checked pairs connect its documents already: a few partners of each document first, then in every
+    bucket all pairs that these leave apart. Texts without words form one group; documents with a null doc_id are returned with a null group.
     """
     copies = settle(signatures(docs, size))
-    one = F.struct("doc_id", "fp", "bands")
+    one = F.struct("doc_id", "fp", "size", "bands")
     marked = settle(copies.where("doc_id IS NOT NULL").groupBy("same").agg(F.min_by(one, "doc_id").alias("one")).select("same", "one.*"))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     same_fp = marked.join(fps, "fp").where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    keyed = marked.select(F.explode("bands").alias("key"), "doc_id", "fp")
-    ring = links(settle(fps)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = settle(band_pairs(keyed).union(same_fp).union(ring).distinct())
+    banded = marked.select(F.explode("bands").alias("key"), "doc_id", "fp", "size")
+    ring = settle(links(settle(fps)))
+    home = components(ring)
+    homes = marked.join(fps.join(home, fps.rep == home.node, "left").select("fp", F.coalesce("component", "rep").alias("home")), "fp")
+    keyed = banded.withColumn("full", F.lit(REACH + 2)).unionByName(homes.select(F.xxhash64(F.lit("ring"), "home").alias("key"), F.lit(2).alias("full"), "doc_id", "fp", "size"))
+    pairs = settle(band_pairs(banded).union(same_fp).union(ring.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
     involved = settle(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = components(jaccard_pairs(pairs, texts, size, least))
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = plain.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = settle(jaccard_pairs(pairs, texts, size, least))
+    found = components(first.union(open_links(keyed, components(first), plain, size, least)))
     named = marked.join(found, marked.doc_id == found.node, "left").select("same", F.coalesce("component", "doc_id").alias("component_id"))
     return copies.select("doc_id", "same").join(named, "same", "left").select("doc_id", "component_id")
 

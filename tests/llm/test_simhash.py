@@ -98,3 +98,22 @@ def test_near_duplicates_find_all_similar_pairs(spark):
     assert sum(comp[a] == comp[b] for a, b in want) >= 0.99 * len(want)
     linked = {x for p in want for x in p}
     assert all(comp[x] == x for x in comp if x not in linked)
+
+
+def test_copies_with_different_edits_meet_their_original(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 256)  # so that buckets are dealt out as pairs of blocks
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    original, middle = [word() for _ in range(304)], 500
+    docs = [(middle, " ".join(original))]
+    for d in [*range(middle), *range(middle + 1, 1001)]:
+        copy = list(original)
+        for k in range(6):
+            copy[25 + 50 * k + rnd.randrange(-20, 20)] = word()
+        docs.append((d, " ".join(copy)))
+    docs += [(d, " ".join(word() for _ in range(304))) for d in range(2000, 2100)]
+    near = {x for d, t in docs if d != middle for pair in brute_near({middle: docs[0][1], d: t}) for x in pair} - {middle}
+    assert len(near) >= 900
+    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(comp[d] == comp[middle] for d in near) >= 0.99 * len(near)
+    assert all(comp[d] == d for d in range(2000, 2100))
