@@ -1,21 +1,24 @@
 """Best-fit packing of tokenised documents into sequences, with bounds that certify the number of sequences.
 
 Pieces are dealt out at random to partitions of a bounded number of rows; each runs best-fit decreasing. Dual-feasible
-functions of the piece lengths bound the number of sequences of each partition, and of all pieces, from below. While
-the sequences are more than the bound for all pieces, partitions keep their full sequences and exchange the pieces of
-the others, which are dealt out again and packed by best-fit decreasing once more; this ends when the bound is met, an
-exchange saves nothing, or one partition is left.
+functions of the piece lengths bound the number of sequences of each partition, and of all pieces, from below. A
+partition whose sequences equal its bound is certified and rests; partitions with gaps exchange the pieces of their
+not-full sequences, which are dealt out again and packed by best-fit decreasing once more. Where all are certified, or
+exchanging among them saves nothing, but the sequences are still more than the bound for all pieces, the not-full
+sequences of every partition are exchanged. This ends when that bound is met or an exchange saves nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one partition packs; lengths and references only, about 50 bytes each.
 PART_ROWS = 50_000
-#: Words whose ids a Python worker remembers; beyond, it forgets the rarer ones, which changes no result.
+#: Runs of letters or signs whose ids a Python worker remembers; beyond, it forgets the rarer ones, which changes no result.
 MEMO_WORDS = 300_000
 
 
@@ -36,82 +39,118 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of white-space separated words, each distinct word tokenised once.
+    """Ids of white-space separated words, each distinct word of a batch looked up once.
 
-    Serves tokenizers that drop white space, lower-case and tokenise each word by itself, such as the default one.
-    A word of letters with one sign behind it has the ids of the word and those of the sign.
+    Serves tokenizers that drop white space, lower-case, and tokenise runs of letters, digits, runs of other signs and
+    a few English endings each by itself, such as the default one. Words of common letters, digits and signs are cut
+    into such runs, whose ids are remembered; all other words are tokenised as they are.
     """
 
-    SIGNS = b".,!?:"
+    SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters that no normalisation changes but for case.
+    LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0410-\u044f"
+    PLAIN, SIMPLE = re.compile(f"[{LETTERS}]+"), re.compile(f"[{LETTERS}0-9{re.escape(SIGNS)}]+")
+    RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+    SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # white space beyond ASCII
+    END_MARK, NOTHING = 0, 1  # codes of id 0 and of no ids at all
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.signs = {s: self.tokenizer.encode(chr(s), add_special_tokens=False).ids for s in self.SIGNS}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a run
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.start, self.count = array("I", [0]), array("q", [0]), array("q", [1])  # code 0: the end mark, id 0
-        self.uses = np.zeros(1, dtype=np.int64)
-
-    def put(self, word: bytes, ids: list[int]) -> None:
-        self.codes[word] = len(self.start)
-        self.start.append(len(self.flat))
-        self.count.append(len(ids))
-        self.flat.extend(ids)
-
-    def ids(self, word: bytes) -> list[int]:
-        code = self.codes[word]
-        return self.flat[self.start[code] : self.start[code] + self.count[code]].tolist()
-
-    def add(self, words: list[bytes]) -> None:
-        """Learn the ids of new words; a word of letters behind several signs is tokenised once."""
-        stems = [w[:-1] if w[-1] in self.signs and w[:-1].decode("utf-8", "replace").isalpha() else w for w in words]
-        new = [s for s in dict.fromkeys(stems) if s not in self.codes]
-        for a in range(0, len(new), 1000):  # an encoding takes far more room than its ids
-            part = new[a : a + 1000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)):
-                self.put(s, e.ids)
-        for w, s in zip(words, stems):
-            if w is not s and w not in self.codes:
-                self.put(w, self.ids(s) + self.signs[w[-1]])
+        self.codes: dict[str, int] = {"": self.NOTHING}
+        self.flat, self.count = np.zeros(1, dtype=np.uint32), np.array([1, 0], dtype=np.int64)
+        self.uses = np.zeros(2, dtype=np.int64)
+
+    def put(self, words: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        self.codes.update(zip(words, range(len(self.count), len(self.count) + len(words))))
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.count = np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def tokenise(self, words: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in order and their numbers; ``joined``: words of plain letters, whose last tokens are told by their end."""
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(words):
+                return ids, np.diff(at, prepend=-1)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in own for i in x], dtype=np.int64), np.array([len(x) for x in own], dtype=np.int64)
+
+    def add(self, words: list[str]) -> None:
+        """Learn the ids of words that are not known yet."""
+        plain = [self.PLAIN.fullmatch(w) is not None for w in words]
+        for joined in (True, False):
+            some = [w for w, p in zip(words, plain) if p == joined]
+            parts = [(own, *self.tokenise(own, joined)) for own in (some[a : a + 1000] for a in range(0, len(some), 1000))]
+            if parts:
+                self.put(some, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
 
     def forget(self) -> None:
-        """Keep the words used most since the last time, half of MEMO_WORDS at most."""
-        used = np.concatenate([self.uses, np.zeros(len(self.start) - len(self.uses), dtype=np.int64)])
-        least = max(2, int(np.partition(used, -(MEMO_WORDS // 2))[-(MEMO_WORDS // 2)]) + 1)
-        kept = [(w, self.ids(w)) for w, c in self.codes.items() if used[c] >= least]
+        """Keep the runs used most since the last time, half of MEMO_WORDS at most."""
+        least = max(2, int(np.partition(self.uses, -(MEMO_WORDS // 2))[-(MEMO_WORDS // 2)]) + 1) if len(self.uses) > MEMO_WORDS // 2 else 0
+        kept = [(w, c) for w, c in self.codes.items() if self.uses[c] >= least and c != self.NOTHING]
+        codes = np.array([c for _, c in kept], dtype=np.int64)
+        flat, count = gather(self.flat, np.cumsum(self.count) - self.count, self.count, codes), self.count[codes]
         self.clear()
-        for w, ids in kept:
-            self.put(w, ids)
+        self.put([w for w, _ in kept], flat, count)
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, words: list[str]) -> np.ndarray:
+        codes = np.fromiter(map(self.codes.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        lost = np.flatnonzero(codes < 0).tolist()
+        if lost:
+            self.add(list(dict.fromkeys(words[i] for i in lost)))
+            codes[lost] = [self.codes[words[i]] for i in lost]
+        return codes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, an end mark behind each, and the number of ids of each text."""
-        words, per = [], []
-        for t in texts:
-            t = t or b""
-            own = (t if b"<|" in t else t.lower()).split()  # special tokens are told by case
-            words += own
-            per.append(len(own))
         if len(self.codes) > MEMO_WORDS:
             self.forget()
-        get = self.codes.get
-        codes = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        lost = np.flatnonzero(codes < 0)
-        if len(lost):
-            self.add(list(dict.fromkeys(words[i] for i in lost.tolist())))
-            codes[lost] = [self.codes[words[i]] for i in lost.tolist()]
-        self.uses = np.bincount(codes, minlength=len(self.start)) + np.concatenate([self.uses, np.zeros(len(self.start) - len(self.uses), dtype=np.int64)])
-        flat, start, count = np.frombuffer(self.flat, dtype=np.uint32), np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.count, dtype=np.int64)
-        ends = np.cumsum(np.array(per, dtype=np.int64))
-        codes = np.insert(codes, ends, 0)
-        n = count[codes]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(start[codes] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)].astype("<u4")
-        marks = upto[ends + np.arange(len(per))]
-        return ids, np.diff(marks, prepend=0)
+        lower = [t if t is None or b"<|" in t else t.lower() for t in text_bytes(texts)]  # special tokens are told by case
+        lists = pc.ascii_split_whitespace(pa.array(lower, type=pa.large_binary()).view(pa.large_string()))
+        per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        runs: list[str] = []
+        upto = [0]
+        for w in coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist():
+            w = w.decode("utf-8", "replace")
+            stem = w.rstrip(self.SIGNS)
+            if self.PLAIN.fullmatch(stem):
+                runs.append(stem)
+                if len(stem) < len(w):
+                    runs.append(w[len(stem) :])
+            else:
+                for part in (w,) if w.isascii() else self.SPACES.split(w):
+                    if self.SIMPLE.fullmatch(part) and "<|" not in part:
+                        runs += self.RUNS.findall(part.lower())
+                    else:
+                        runs.append(part)
+            upto.append(len(runs))
+        codes = self.lookup(runs)
+        words = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(per), len(upto) - 1)
+        upto = np.array([*upto, len(runs) + 1])
+        often = np.repeat(np.bincount(words, minlength=len(upto) - 1)[:-1], np.diff(upto)[:-1])
+        self.uses += np.bincount(codes, weights=often, minlength=len(self.uses)).astype(np.int64)
+        codes = np.append(codes, self.END_MARK)
+        count = np.diff(np.concatenate([[0], np.cumsum(self.count[codes])])[upto])
+        flat = gather(self.flat, np.cumsum(self.count) - self.count, self.count, codes)
+        ids = gather(flat, np.cumsum(count) - count, count, words).astype("<u4")
+        return ids, np.diff(np.cumsum(count[words])[np.cumsum(per) + np.arange(len(per))], prepend=0)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[start : start + count]`` of the codes, one behind the other."""
+    n = count[codes]
+    upto = np.cumsum(n)
+    return flat[np.repeat(start[codes] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -135,8 +174,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
-                ids, sizes = enc.encode(text_bytes(b.column("text")))
+            for b in slices(whole, "text"):
+                ids, sizes = enc.encode(b.column("text"))
                 rows: list[tuple] = []
                 at = 0
                 for d, n in zip(b.column("doc_id").to_pylist(), sizes.tolist()):
@@ -269,11 +308,11 @@ def pack_parts(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFra
         return table
 
     dealt = rows.select("rid", "doc_id", "piece", "start", "length", "ids_crc32", "ids", F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(parts)).alias("part"))
-    return dealt.groupBy("part").applyInArrow(run, PACKED_DDL)
+    return dealt.groupBy("part").applyInArrow(run, PACKED_DDL).withColumn("turn", F.lit(turn))
 
 
-def numbered(packed: DataFrame, turn: int, out: list[str]) -> DataFrame:
-    return packed.withColumn("sequence_id", F.lit(turn << 56) + F.shiftleft("part", 24) + F.col("bin")).select(out)
+def numbered(packed: DataFrame, out: list[str]) -> DataFrame:
+    return packed.withColumn("sequence_id", F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft("part", 24) + F.col("bin")).select(out)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, part_rows: int = PART_ROWS, rounds: int = 8) -> DataFrame:
@@ -290,20 +329,39 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     left = cut.where(F.col("length") < capacity)
     sizes = left.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # capacity rows at most
     least = lower_bound(sizes["length"].to_numpy(np.int64), capacity, sizes["n"].to_numpy(np.int64))
-    n, shut, before = int(sizes["n"].sum()), 0, None
-    for turn in range(rounds + 1 if n else 0):
-        parts = max(1, -(-n // part_rows))
-        new = settle(pack_parts(left, parts, turn, capacity))
-        bins, full, n = new.agg(F.count_distinct("part", "bin"), F.count_distinct(F.when(F.col("fill") == capacity, F.struct("part", "bin"))), F.count_if(F.col("fill") < capacity)).first()
-        if before is not None and bins >= before[1]:  # this exchange saved nothing: the packing before it stays
-            done.append(numbered(before[0], turn - 1, out))
-            break
-        if parts == 1 or turn == rounds or shut + bins <= least:
-            done.append(numbered(new, turn, out))
-            break
-        done.append(numbered(new.where(F.col("fill") == capacity), turn, out))
-        left = new.where(F.col("fill") < capacity)
-        shut, before = shut + full, (left, bins - full)
+    is_full, parts, loose, sealed, only_gaps = F.col("fill") == capacity, 1, None, 0, True
+
+    def census(rows: DataFrame) -> tuple[int, int]:
+        return tuple(rows.agg(F.count_distinct("turn", "part", "bin"), F.count("*")).first())
+
+    for turn in range(rounds + 1 if len(sizes) else 0):
+        if loose is None:
+            some, rest, before, m = left, None, None, int(sizes["n"].sum())
+        else:
+            before, m = census(loose)
+            if sealed + before <= least:
+                break
+            some, rest = loose, None
+            gaps = loose.where("bins > bound")
+            own = census(gaps)
+            if only_gaps and 0 < own[1] < m:  # the other partitions are certified: no packing of theirs has fewer
+                some, rest, before, m = gaps, loose.where("bins = bound"), *own
+            elif parts == 1:
+                break
+        parts = max(1, -(-m // part_rows))
+        new = settle(pack_parts(some, parts, turn, capacity))
+        if before is not None and census(new)[0] >= before:  # saved nothing: what was exchanged stays as it was
+            if rest is None:
+                break
+            only_gaps, parts = False, 2
+            continue
+        sealed, only_gaps = sealed + census(new.where(is_full))[0], True
+        done.append(numbered(new.where(is_full), out))
+        loose = new.where(~is_full) if rest is None else rest.unionByName(new.where(~is_full))
+        if rest is not None:
+            parts = 2
+    if loose is not None:
+        done.append(numbered(loose, out))
     result = done[0]
     for x in done[1:]:
         result = result.unionByName(x)

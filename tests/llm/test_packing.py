@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeline.llm import packing
@@ -15,15 +16,21 @@ def tokens(text):
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-TEXTS = [None, "", " \n", "Hello, World!! it's 12 o'clock.", "ÉCOLE  naïve x y ÄÖÜ. ß… école", "<|endoftext|> a <|ENDOFTEXT|> b<|startoftext|>C", "日本語 text 日本。 a.b,c. ... 3.14, x!?", "ΟΔΟΣ. İstanbul, ﬁn ǅ", "a\x00b\x1cc d\x85e"]
+TEXTS = [None, "", " \n", "Hello, World!! it's 12 o'clock.", "ÉCOLE  naïve x y ÄÖÜ. ß… école", "<|endoftext|> a <|ENDOFTEXT|> b<|startoftext|>C", "日本語 text 日本。 a.b,c. ... 3.14, x!?", "ΟΔΟΣ. İstanbul, ﬁn ǅ", "a\x00b\x1cc d\x85e", "İ. İ! ½. x…! é́. ŉ, (ab).%%% 3.! x'S' it's'.' don't!'", "\u0958. 1, ²! ..a a.. _x_ #|y|#", "\xa0a\u2003b.\u3000<|endoftext|>\u2028C's\x85 \x1fd\x1e e\u200bf " + "wörd\xa0" * 20_000]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_equal_the_tokenizers(text):
-    ids, sizes = packing.WordEncoder(packing.tokenizer_path()).encode([text.encode() if text is not None else None, b"x"])
+    ids, sizes = packing.WordEncoder(packing.tokenizer_path()).encode(pa.array([text, "x"]))
     assert ids[: sizes[0]].tolist() == tokens(text)
 
 
+def test_slices_of_a_batch_are_read_at_their_place():
+    texts = [f"Wort{i} È{i * 7}. " * (i % 5) for i in range(300)]
+    ids, sizes = packing.WordEncoder(packing.tokenizer_path()).encode(pa.array(texts).slice(100, 150))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokens(t) for t in texts[100:250]]
+
+
 def check(rows, texts, capacity=2048):
     """Every id once, in place, no overlap; returns the number of sequences."""
     seqs = {}
