@@ -2,12 +2,14 @@
 
 Every rule votes good (1), bad (-1) or abstains (0) on statistics of the whole text. The counts of the vote patterns
 (at most 3 to the number of rules) are gathered over all documents, and expectation-maximisation on them estimates for
-each rule how often it votes each way on good and on bad documents; an abstention says nothing about the class. A document is kept when its posterior probability
-of being good reaches ``threshold`` and it passes two hard base rules.
+each rule how often it votes each way on good and on bad documents, so that a rule that
+often errs counts little. A document is kept when its posterior probability of being good reaches
+``threshold`` and it passes two hard base rules; one bad vote may be outvoted.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,12 @@ SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
+NOT_LETTERS = bytes(x for x in range(128) if x not in LETTERS + SPACE)
 WINDOW = 5
+#: Rules on shares abstain on texts of fewer words.
+FEW = 30
 
-STATS = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_ends")])
+STATS = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_ends", "n_bare", "n_doubles")])
 STATS_DDL = ", ".join(f"{n} long" for n in STATS.names)
 
 
@@ -78,6 +83,8 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
         len(b) - len(b.translate(None, LETTERS)),
         b.count(b"!"),
         sum(w[-1] in b".!?" for w in words),
+        len(words) - len(b.translate(None, NOT_LETTERS).split()),  # words without a letter
+        sum(map(operator.eq, words, words[1:])),
     )
 
 
@@ -94,46 +101,53 @@ def stats(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """The rules: detectors of junk vote bad or abstain, marks of prose vote both ways. Each compares integers, so that it gives one result on every machine."""
+    """The rules; most vote both ways. Each compares integers, so that it gives one result on every machine."""
     c = F.col
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0).cast("byte")
-    words, never = c("n_words"), F.lit(False)
+    words, letters, lines = c("n_words"), c("n_letters"), c("n_lines")
+    share = lambda bad, good: F.when(words < FEW, F.lit(0).cast("byte")).otherwise(vote(bad, good))
     return {
-        "symbols": vote(c("n_symbols") * 10 > words, never),
-        "word_length": vote((c("word_chars") > 7 * words) | (c("word_chars") < 3 * words), c("word_chars").between(4 * words, 6 * words)),
-        "duplicate_lines": vote(c("n_dup_lines") * 10 > 3 * c("n_lines"), never),
-        "repetition": vote(c("n_repeat_words") * 100 > 15 * words, never),
-        "capitals": vote(c("n_upper") * 4 > c("n_letters"), never),
-        "sentences": vote((c("n_ends") * 100 < words) | (c("n_ends") * 2 > words), c("n_ends").between(words / 25, words / 4)),
-        "shouting": vote(c("n_shouts") * 5 > words, never),
-        "length": vote(words < 5, words >= 60),
+        "symbols": vote(c("n_symbols") * 20 > words, c("n_symbols") * 100 <= words),
+        "word_length": share((c("word_chars") * 10 > 62 * words) | (c("word_chars") * 10 < 42 * words), c("word_chars").between(4.4 * words, 5.8 * words)),
+        "duplicate_lines": vote(c("n_dup_lines") * 20 > lines, (c("n_dup_lines") == 0) & (lines >= 4)),
+        "repetition": vote(c("n_repeat_words") * 100 > 8 * words, (c("n_repeat_words") * 100 <= 2 * words) & (words >= FEW)),
+        "doubles": vote(c("n_doubles") * 10 > words, c("n_doubles") * 50 <= words),
+        "capitals": share(c("n_upper") * 5 > letters, (c("n_upper") * 20 <= letters) & (c("n_upper") * 200 >= letters)),
+        "sentences": share((c("n_ends") * 25 < words) | (c("n_ends") * 5 > words), (c("n_ends") * 100 >= 6 * words) & (c("n_ends") * 8 <= words)),
+        "shouting": vote(c("n_shouts") * 20 > words, c("n_shouts") == 0),
+        "letters": share(letters * 10 < 38 * words, letters * 10 >= 42 * words),
+        "bare_words": vote(c("n_bare") * 10 > words, c("n_bare") * 50 <= words),
+        "lines": share((lines * 100 > 12 * words) | (lines * 500 < words), lines * 100 <= 6 * words),
+        "length": vote(words < 15, words >= 60),
     }
 
 
-def fit(patterns: pd.DataFrame, rules: list[str], rounds: int = 200, smooth: float = 1.0, trust: float = 100.0, doubt: float = 2.0) -> tuple[pd.DataFrame, pd.DataFrame]:
+#: Before any data a rule votes -1, 0, 1 with these shares on bad and on good documents; worth PRIOR of all documents.
+EXPECTED, PRIOR = ((0.30, 0.20, 0.50), (0.05, 0.25, 0.70)), 0.01
+
+
+def fit(patterns: pd.DataFrame, rules: list[str], rounds: int = 1000) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Expectation-maximisation over vote patterns with column ``n`` (documents).
 
     Returns the patterns with ``posterior`` and, for each rule, how often it votes -1, 0 and 1 on bad and good
-    documents. The first posterior comes from the share of bad votes, which fixes which class is called good; so does
-    ``trust``: a bad vote counts as at least so many times as frequent on bad documents as on good ones, and ``doubt``:
-    a good vote counts as at most so many times as frequent on good ones. So one rule's bad vote is not outvoted by
-    rules that look at something else.
+    documents. The first posterior comes from the balance of votes, which fixes the class called good; EXPECTED is added
+    as pseudo-counts worth a share PRIOR of the documents, so that results do not hang on the size of the corpus, and
+    nothing else bounds what is estimated. Abstentions do not count in the posterior.
     """
     patterns = patterns.sort_values(rules).reset_index(drop=True)
-    v = patterns[rules].to_numpy(dtype=int) + 1
+    v = patterns[rules].to_numpy(dtype=int)
     n = patterns["n"].to_numpy(dtype=float)
-    good = np.where((v == 0).sum(1) == 0, 0.9, 0.2)
+    up, down = (v > 0).sum(1), (v < 0).sum(1)
+    good = (up + 1) / (up + 3 * down + 2)
     table = np.zeros((2, len(rules), 3))
+    extra = np.array(EXPECTED) * max(PRIOR * n.sum(), 1e-9)
     for _ in range(rounds):
-        prior = float(np.clip((n * good).sum() / max(n.sum(), 1.0), 0.01, 0.99))
-        for k, weight in enumerate((n * (1 - good), n * good)):
+        prior = float(np.clip((n * good).sum() / max(n.sum(), 1e-300), 1e-6, 1 - 1e-6))
+        for k, w in enumerate((n * (1 - good), n * good)):
             for j in range(len(rules)):
-                table[k, j] = np.bincount(v[:, j], weights=weight, minlength=3) + smooth
-        table /= table.sum(2, keepdims=True)
-        table[1, :, 0] = np.minimum(table[1, :, 0], table[0, :, 0] / trust)
-        table[0, :, 2] = np.maximum(table[0, :, 2], table[1, :, 2] / doubt)
+                table[k, j] = np.bincount(v[:, j] + 1, weights=w, minlength=3) + extra[k]
         table /= table.sum(2, keepdims=True)
-        logs = (np.log(table)[:, np.arange(len(rules))[None, :], v] * (v != 1)).sum(2) if len(v) else np.zeros((2, 0))
+        logs = (np.log(table)[:, np.arange(len(rules))[None, :], v + 1] * (v != 0)).sum(2)
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - prior) / prior), -500, 500)))
         done = np.abs(new - good).max(initial=0) < 1e-10
         good = new
