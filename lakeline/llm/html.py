@@ -1,9 +1,14 @@
 """Main text of web pages by site template removal.
 
-Every container element of a page is hashed with all it holds, Spark counts for each host on how many of its pages each
-hash stands, and subtrees that recur across many pages of their host are deleted as template. Elements that HTML itself
-marks as surroundings (menus, headers, footers, asides, forms, scripts) or that are named so are deleted too. Prose
-elements inside an article are never taken for template: copies of an article on one host keep their text.
+Every element of a page is hashed twice: with all it holds, and by its structure alone (tags, names and links without
+texts, runs of equal children once). Spark counts for each host on how many of its pages each hash stands and which share
+of a page's text it holds. Subtrees that recur across many pages of their host are template and deleted: equal ones
+anywhere, those of equal structure outside the main text. Recurring structures that hold much of the text of their pages
+lead to the main text. Pages that copy one main text count once.
+
+Elements that HTML itself marks as surroundings (menus, footers, asides, forms, scripts) are deleted by their tag. Names
+such as ``sidebar`` or ``comments`` decide outside the main text; inside it only where the structure recurs. A host with
+fewer than LEAST_PAGES different pages shows no template: there, ``article`` or ``main`` elements and whole names decide.
 """
 
 from __future__ import annotations
@@ -22,7 +27,13 @@ from lakeline.llm.common import ascii_lower, batch, map_batches, read_table, set
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
 LEAST_PAGES, SHARE = 5, 0.1
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A recurring structure that holds so many thousandths of the text of its pages (mean) holds the main text.
+CONTENT = 400
+#: Elements nested deeper are read as siblings, as browsers do.
+DEPTH = 512
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = {"script", "style", "noscript", "iframe", "xmp", "noembed", "noframes", "textarea", "title", "template", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -42,57 +53,111 @@ STOPS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body",
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "up")
+    __slots__ = ("tag", "attrs", "items", "up", "depth")
 
     def __init__(self, tag: str, attrs: str = "", up: Node | None = None):
-        self.tag, self.attrs, self.items, self.up = tag, attrs, [], up
+        self.tag, self.attrs, self.items, self.up, self.depth = tag, attrs, [], up, up.depth + 1 if up else 0
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(self.attrs)}
 
+    def names(self) -> list[str]:
+        """Its classes and id, lower case."""
+        if not self.attrs:
+            return []
+        attrs = self.attributes()
+        return f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
 
-def parse(source: str) -> Node:
-    """A tree of elements and texts; unclosed and stray tags are mended as far as the text's blocks need it."""
-    root = at = Node("#root")
-    place, end = 0, len(source)
+
+def markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """Pieces ``(kind, value, attributes)`` of a page: text, start and end tags. Each character is looked at a bounded
+    number of times: after the first tag with a quote that is never closed, quotes are no longer heeded."""
+    place, end, heed = 0, len(source), True
     while place < end:
-        m = MARKUP.search(source, place)
-        text = source[place : m.start() if m else end]
-        if text:
-            at.items.append(references.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        place = m.end()
-        if m[2] is None:
+        at = source.find("<", place)
+        if at < 0:
+            yield "text", source[place:], ""
+            return
+        mark = source[at + 1 : at + 2]
+        slash = mark == "/"
+        name = NAME.match(source, at + 1 + slash) if slash or mark.isalpha() else None
+        if not name and mark not in ("!", "?", "/"):  # a plain character
+            nxt = source.find("<", at + 1)
+            yield "text", source[place : nxt if nxt >= 0 else end], ""
+            place = nxt if nxt >= 0 else end
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = at
-            while node.up and node.tag != tag:
-                node = node.up
-            if node.up:
-                at = node.up
+        if at > place:
+            yield "text", source[place:at], ""
+        if not name:
+            close = "-->" if source.startswith("<!--", at) else "]]>" if source.startswith("<![CDATA[", at) else ">"
+            stop = source.find(close, at + 2)
+            place = stop + len(close) if stop >= 0 else end
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(source, place)
+        stop = name.end()
+        while heed:
+            m = TAG_END.search(source, stop)
+            if not m:
+                heed, stop = False, -1
+            elif m[0] == ">":
+                stop = m.start()
+                break
+            else:
+                stop = source.find(m[0], m.end()) + 1
+                heed = stop > 0
+        if not heed:
+            stop = source.find(">", name.end())
+        if stop < 0:  # no tag ends any more
+            return
+        place = stop + 1
+        tag = name[0].lower()
+        yield ("end" if slash else "start"), tag, source[name.end() : stop]
+        if tag in RAW and not slash:
+            close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, place)
             place = close.end() if close else end
-            continue
-        if tag in BLOCKS and tag not in ("option",):  # a block ends an open paragraph
-            node = at
-            while node.up and node.tag != "p" and node.tag not in STOPS:
-                node = node.up
-            if node.tag == "p" and node.up:
-                at = node.up
-        if tag in CLOSES:
+
+
+def parse(source: str) -> Node:
+    """A tree of elements and texts; unclosed and stray tags are mended as far as the text's blocks need it."""
+    root = at = Node("#root")
+    opened: dict[str, int] = {}
+
+    def leave(node: Node) -> Node:
+        """Close all up to ``node``."""
+        nonlocal at
+        while True:
+            opened[at.tag] -= 1
+            done, at = at is node, at.up
+            if done:
+                return at
+
+    def shut(tags: set[str]) -> None:
+        """Close the nearest of these elements, if no container is in between."""
+        if any(opened.get(t) for t in tags):
             node = at
-            while node.up and node.tag not in CLOSES[tag] and node.tag not in STOPS:
+            while node.up and node.tag not in tags and node.tag not in STOPS:
                 node = node.up
-            if node.tag in CLOSES[tag]:
-                at = node.up
-        node = Node(tag, m[3], at)
-        at.items.append(node)
-        if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS):
-            at = node
+            if node.up and node.tag in tags:
+                leave(node)
+
+    for kind, value, attrs in markup(source):
+        if kind == "text":
+            at.items.append(references.unescape(value) if "&" in value else value)
+        elif kind == "end":
+            if opened.get(value):
+                node = at
+                while node.tag != value:
+                    node = node.up
+                leave(node)
+        elif value not in RAW:
+            if value in BLOCKS and value != "option":  # a block ends an open paragraph
+                shut({"p"})
+            if value in CLOSES:
+                shut(CLOSES[value])
+            node = Node(value, attrs, at)
+            at.items.append(node)
+            if value not in VOID and not (attrs.endswith("/") and value not in BLOCKS) and node.depth < DEPTH:
+                at = node
+                opened[value] = opened.get(value, 0) + 1
     return root
 
 
@@ -106,58 +171,103 @@ def walk(node: Node) -> Iterator[Node]:
         todo += own
 
 
+def split_name(name: str) -> list[str]:
+    return re.split(r"[^a-z0-9]+", name)
+
+
 def surrounding(node: Node, inside: bool) -> bool:
-    """Whether an element is marked or named as something around the article; ``inside``: within an article."""
+    """Whether HTML marks an element as something around the main text; ``inside``: within the main text."""
     if node.tag in SURROUNDINGS or node.tag == "header" and not inside:
         return True
     if not node.attrs or node.tag in ("article", "main", "body", "html"):
         return False
     attrs = node.attributes()
-    if "hidden" in attrs or attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true":
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+    return "hidden" in attrs or attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true"
+
+
+def named(node: Node, whole: bool) -> bool:
+    """Whether its classes or id are names of surroundings, ``whole`` or in one of their words."""
+    if node.tag in ("main", "body", "html"):
+        return False
+    own = node.names()
+    return any(n in NAMES for n in own) if whole or node.tag == "article" else any(not NAMES.isdisjoint(split_name(n)) for n in own)
+
+
+def is_content(node: Node) -> bool:
+    if node.tag == "article":
+        return not named(node, True)
+    return node.tag == "main" or "main" in node.attrs and node.attributes().get("role") == "main"
 
 
 def content(root: Node) -> list[Node]:
     """The outermost articles, else the main element, else everything."""
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.attrs and n.attributes().get("role") == "main"):
+    for test in (lambda n: n.tag == "article" and is_content(n), lambda n: n.tag != "article" and is_content(n)):
         found, todo = [], [root]
         while todo:
             node = todo.pop()
-            if test(node) and not surrounding(node, True):
-                if not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", node.attributes().get("class", "").lower())) and node.tag == "article":
-                    continue
+            if node is not root and test(node):
                 found.append(node)
-            elif not surrounding(node, False) or node is root:
+            elif node is root or not surrounding(node, False) and not (node.tag == "article" and named(node, True)):
                 todo += reversed([x for x in node.items if isinstance(x, Node)])
         if found:
             return found
     return [root]
 
 
-def hashes(root: Node) -> dict[int, int]:
-    """The hash of each element with all it holds, by id(); attributes do not count, white space is folded."""
-    order = list(walk(root))
+class Marks:
+    """Of each element, by id(): the hash of all it holds, the hash of its structure, and its characters of text."""
+
+    def __init__(self, root: Node):
+        self.exact: dict[int, int] = {}
+        self.shape: dict[int, int] = {}
+        self.chars: dict[int, int] = {}
+        inner: dict[int, list[str]] = {}
+        self.order = list(walk(root))
+        for node in reversed([root, *self.order]):
+            parts, form, chars = [node.tag], [], 0
+            for x in node.items:
+                if isinstance(x, Node):
+                    k = id(x)
+                    parts.append(f"\x01{self.exact[k]:x}")
+                    own = [f"\x01{self.shape[k]:x}"] if x.tag in BLOCKS or x.tag == "a" else inner[k]
+                    chars += self.chars[k]
+                else:
+                    words = " ".join(x.split())
+                    parts.append(f"\x02{words}")
+                    own = ["\x02"] if words else []
+                    chars += len(words)
+                form += [o for i, o in enumerate(own) if o != ((own[i - 1] if i else None) or (form[-1] if form else None))]
+            k = id(node)
+            self.exact[k] = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
+            names = " ".join(sorted(re.sub("[0-9]+", "0", n) for n in node.names()))
+            self.shape[k] = xxhash.xxh64_intdigest("\x00".join(["\x03", node.tag, names, *form])) >> 1
+            self.chars[k], inner[k] = chars, form
+
+
+def counted(root: Node, marks: Marks) -> dict[int, int]:
+    """The hashes of a page that are counted, with the thousandths of its text that they hold (0 for equal subtrees):
+    containers and structures anywhere, equal prose too where a page marks no main text."""
+    tags = CONTAINERS | PROSE if content(root) == [root] else CONTAINERS
     out: dict[int, int] = {}
-    for node in reversed(order):
-        parts = [node.tag]
-        parts += [f"\x01{out[id(x)]:x}" if isinstance(x, Node) else f"\x02{' '.join(x.split())}" for x in node.items]
-        out[id(node)] = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
+    total = max(1, marks.chars[id(root)])
+    for n in marks.order:
+        k = id(n)
+        if marks.chars[k] and n.tag in BLOCKS and n.tag not in ("html", "body", "head"):
+            share = marks.chars[k] * 1000 // total
+            out[marks.shape[k]] = max(share, out.get(marks.shape[k], 0))
+            if n.tag in tags:
+                out.setdefault(marks.exact[k], 0)
     return out
 
 
-def candidates(root: Node, found: dict[int, int]) -> set[int]:
-    """Hashes that may be template: containers anywhere, and prose too where a page marks no article."""
-    roots = content(root)
-    tags = CONTAINERS | PROSE if roots == [root] else CONTAINERS
-    return {found[id(n)] for n in walk(root) if n.tag in tags and any(isinstance(x, Node) or x.strip() for x in n.items)}
-
+def extract(source: str, template: set[int], main: set[int] = frozenset(), known: bool = False) -> str:
+    """The blocks of the main text joined by newlines.
 
-def extract(source: str, template: set[int]) -> str:
-    """The blocks of the main text joined by newlines."""
+    ``template`` holds hashes that recur on the page's host, ``main`` structures that hold the main text there;
+    ``known``: the host has pages enough to tell.
+    """
     root = parse(source)
-    found = hashes(root) if template else {}
+    marks = Marks(root) if known else None
     blocks: list[str] = []
     open_block: list[str] = []
 
@@ -167,18 +277,43 @@ def extract(source: str, template: set[int]) -> str:
             blocks.append(text)
         open_block.clear()
 
-    roots = content(root)
-    whole = roots == [root]
-    tags = CONTAINERS | PROSE if whole else CONTAINERS
-    for top in roots:
-        todo: list[Node | str | None] = [top]
+    def deleted(x: Node, inside: bool) -> bool:
+        if surrounding(x, inside):
+            return True
+        if not known:
+            return named(x, inside)
+        shape, equal = marks.shape[id(x)] in template, marks.exact[id(x)] in template
+        if inside:
+            return shape and named(x, False) or equal and x.tag in CONTAINERS
+        if x.tag in ("article", "main", "body", "html"):
+            return x.tag == "article" and named(x, True)
+        return shape and x.tag in BLOCKS or equal and x.tag in CONTAINERS | PROSE or named(x, False)
+
+    def heart(node: Node) -> Node:
+        """The deepest element that leads to the main text of the host."""
+        while True:
+            own = [x for x in node.items if isinstance(x, Node) and (x.tag in ("html", "body") or marks.shape[id(x)] in main) and not surrounding(x, False)]
+            if not own:
+                return node
+            node = max(own, key=lambda x: marks.chars[id(x)])
+
+    tops = content(root) if not known else [root]
+    centre = None
+    if known:
+        centre = heart(root)
+        if centre.tag in ("html", "body") or centre is root:
+            marked = content(root)
+            centre = None if marked != [root] else centre
+    for top in tops:
+        # a page without statistics: inside the marked main text, or everywhere outside of it
+        todo: list[tuple[Node | str | None, bool]] = [(top, top is not root)]
         while todo:
-            x = todo.pop()
+            x, inside = todo.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 open_block.append(x)
-            elif x is not top and (surrounding(x, not whole) or x.tag in tags and found.get(id(x)) in template):
+            elif x is not top and deleted(x, inside):
                 if x.tag in BLOCKS:
                     flush()
             elif x.tag == "br":
@@ -187,51 +322,51 @@ def extract(source: str, template: set[int]) -> str:
                 block = x.tag in BLOCKS or x is top
                 if block:
                     flush()
-                    todo.append(None)
-                todo += reversed(x.items)
+                    todo.append((None, inside))
+                within = inside or x is centre or x is not root and is_content(x)
+                todo += [(y, within) for y in reversed(x.items)]
         flush()
     return "\n".join(blocks)
 
 
-SEEN = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+SEEN = pa.schema([("host", pa.string()), ("body", pa.int64()), ("marks", pa.list_(pa.struct([("hash", pa.int64()), ("share", pa.int64())])))])
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, template array<long>)`` of hosts that have template; the array is bounded, as each hash stands on at
-    least ``share`` of the pages of its host. Each task counts before it sends anything."""
+    """``(host, template array<long>, main array<long>)`` of hosts with pages enough; the arrays are bounded, as each hash
+    stands on at least ``share`` of the host's pages. Of pages with one main text one is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], int] = {}
-
-        def send():
-            keys = list(sums)
-            return batch(SEEN, host=[k[0] for k in keys], hash=[k[1] for k in keys], n=list(sums.values()))
-
         for b in batches:
-            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            body, found = [], []
+            for source in b.column("html").to_pylist():
                 root = parse(source or "")
-                for h in (-1, *candidates(root, hashes(root))):  # -1 counts the pages of the host
-                    sums[host, h] = sums.get((host, h), 0) + 1
-            if len(sums) > 200_000:
-                yield send()
-                sums.clear()
-        yield send()
+                marks = Marks(root)
+                body.append(xxhash.xxh64_intdigest(" ".join(f"{marks.exact[id(n)]:x}" for n in content(root))) >> 1)
+                found.append([{"hash": h, "share": n} for h, n in sorted(counted(root, marks).items())])
+            yield batch(SEEN, host=b.column("host"), body=body, marks=found)
 
-    counts = map_batches(pages, run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    counts = settle(counts.where((F.col("n") >= least_pages) | (F.col("hash") == -1)))
-    total = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash <> -1").join(total, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    seen = map_batches(pages, run, "host string, body long, marks array<struct<hash:long,share:long>>")
+    once = settle(seen.groupBy("host", "body").agg(F.min("marks").alias("marks")))
+    total = once.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    counts = once.select("host", F.explode("marks").alias("m")).groupBy("host", "m.hash").agg(F.count("*").alias("n"), F.sum("m.share").alias("held"))
+    often = counts.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") >= share * F.col("pages"))
+    main = F.col("held") >= CONTENT * F.col("n")
+    marked = often.groupBy("host").agg(F.collect_set(F.when(~main, F.col("hash"))).alias("template"), F.collect_set(F.when(main, F.col("hash"))).alias("main"))
+    return total.select("host").join(marked, "host", "left")
 
 
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+#: Hosts whose template is sent to every task; a larger table is joined, with each host dealt to so many tasks.
+MOST_HOSTS, SALTS = 50_000, 16
 
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``.
 
     A null or empty page gives an empty text; a null URL belongs to the host of the empty name; repeated rows each get
-    their row and count as pages; an empty table gives an empty one; extra columns are not read.
+    their row and count as one page; an empty table gives an empty one; extra columns are not read. Every page is parsed
+    twice, for the counts and for the text.
     """
     host = F.coalesce(ascii_lower(F.regexp_extract(F.col("url"), "://([^/?#]*)", 1)), F.lit(""))
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host)
@@ -239,11 +374,17 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(s or "", set(t or ())) for s, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
+            rows = zip(*(b.column(n).to_pylist() for n in ("html", "template", "main", "known")))
+            texts = [extract(s or "", set(t or ()), set(m or ()), bool(k)) for s, t, m, k in rows]
             yield batch(TEXT, page_id=b.column("page_id"), url=b.column("url"), text=texts, n_chars=list(map(len, texts)))
 
-    joined = own.join(known, "host", "left").select("page_id", "url", "html", "template")
-    return map_batches(joined, run, "page_id long, url string, text string, n_chars long")
+    told = known.withColumn("known", F.lit(True))
+    if known.count() <= MOST_HOSTS:
+        joined = own.join(F.broadcast(told), "host", "left")
+    else:  # a host may hold a third of all pages
+        told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(told, ["host", "salt"], "left")
+    return map_batches(joined.select("page_id", "url", "html", "template", "main", "known"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:

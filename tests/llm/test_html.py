@@ -1,5 +1,9 @@
 import html
+import random
 import re
+import time
+
+import pytest
 
 from lakeline.llm import html as hx
 
@@ -11,8 +15,9 @@ def brute(source):
     return "\n".join(b for b in blocks if b)
 
 
-def test_op9_against_brute_force(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op9_against_brute_force(spark, sf):
+    d = f"/root/testdata/{sf}"
     pages = {r.page_id: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
     got = hx.op9_html(spark, d).collect()
     assert len(got) == len(pages)
@@ -42,10 +47,52 @@ def test_templates_go_where_nothing_is_marked(spark):
     assert got[100] == "Home News\nStory 0 begins.\nAlso 0.\nAll rights reserved"
 
 
+def run(spark, rows):
+    return {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
 def test_copied_articles_keep_their_text(spark):
-    rows = [(i, "http://h.com/", "<nav>m</nav><article><h1>Same</h1><p>Common line.</p><div>box</div></article>") for i in range(20)]
-    got = hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.text for r in got} == {"Same\nCommon line."}
+    page = "<nav>m</nav><article><h1>Same</h1><p>Common line.</p><div>box</div><ul><li>item</ul></article>"
+    rows = [(i, "http://h.com/", page) for i in range(20)]
+    rows += [(100 + i, "http://h.com/", f"<nav>m</nav><article><h1>Title {i}</h1><p>Other {i}.</p></article>") for i in range(20)]
+    got = run(spark, rows)
+    assert {got[i] for i in range(20)} == {"Same\nCommon line.\nbox\nitem"}
+
+
+def test_structure_decides_where_menus_vary_and_nothing_is_named(spark):
+    rnd = random.Random(3)
+    words = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rnd.randint(0, 99)) for _ in range(n))
+
+    def page(i):
+        menu = "".join(f"<a href=/{rnd.randint(0, 99)}>{words(1)}</a>" for _ in range(rnd.randint(2, 6)))
+        story = "".join(f"<p>{words(40)}</p>" for _ in range(rnd.randint(1, 6)))
+        return f"<body><div class=m{i}>{menu}</div><div class=x>{words(5)}</div><div><h2>Story {i}</h2>{story}</div><div class=y>{words(4)}</div></body>", story
+
+    pages = [page(i) for i in range(60)]
+    got = run(spark, [(i, "http://h.com/", p) for i, (p, _) in enumerate(pages)])
+    for i, (_, story) in enumerate(pages):
+        assert got[i] == "\n".join([f"Story {i}", *story.replace("</p>", "").split("<p>")[1:]])
+    alone = run(spark, [(i, f"http://h{i}.com/", p) for i, (p, _) in enumerate(pages[:3])])
+    assert all(alone[i] != got[i] for i in alone)  # one page of a host shows no template
+
+
+def test_inside_an_article_recurrence_decides_not_a_name(spark):
+    extra = '<div class="social-science">Science {i}</div><section id="related-work">Related {i}</section>'
+    shared = '<div class="share-box"><a>Send</a> to {i}</div>'
+    page = lambda i, x: f"<body><nav>Menu {i}</nav><article><h1>T{i}</h1><p>{'Prose %d. ' % i * 20}</p>{x.format(i=i)}</article></body>"
+    rows = [(i, "http://h.com/", page(i, shared)) for i in range(40)] + [(99, "http://h.com/", page(99, extra)), (100, "http://one.com/", page(100, extra))]
+    got = run(spark, rows)
+    assert all("Send" not in got[i] and got[i].startswith(f"T{i}\nProse") for i in range(40))
+    assert all(got[i].endswith(f"Science {i}\nRelated {i}") for i in (99, 100))
+
+
+def test_broken_markup_is_read_in_linear_time():
+    for source in ("<p " * 3_000_000, "<p '" * 2_000_000, "<a b='>" * 1_000_000, "<!--" * 1_000_000, "<div>" * 300_000 + "</p>" * 300_000, "<li>" * 300_000 + "<span>" * 300_000 + "</li><li>" * 200_000, "</" * 1_000_000, "< " * 1_000_000):
+        began = time.time()
+        hx.parse(source)
+        assert time.time() - began < 20
+    assert hx.extract('<div><p class="x>hello</p><p>two</p></div>', set()) == "hello\ntwo"
+    assert hx.extract("1 < 2 <3 a<b>c</b> <!doctype x>d", set()) == "1 < 2 <3 ac d"
 
 
 def test_edges(spark):
