@@ -1,8 +1,8 @@
 """URL filters by a path-template tree, in SQL only.
 
 Hand-written rules decide the URLs they fit and serve as labels. For each host, path segments are generalised to their
-shapes (numbers, numbers with an extension, long or hexadecimal keys), positions with many rare values under one parent
-become wildcards. Branches below the host with the same most common continuation form a family; those whose continuations
+shapes (numbers, numbers with an extension, long or hexadecimal keys), positions at any depth with many rare values under one
+parent become wildcards. Branches below the host with the same most common continuation form a family; those whose continuations
 are distributed as the family's (total variation of a quarter at most) are merged into one wildcard branch unless their
 labels contradict those of the others (two-proportion test at 5 %). A template is rejected when its smoothed labelled purity,
 (blocked + 1) / (labelled + 2), reaches ``PURITY`` with at least ``LEAST_LABELS`` labels; all tests are on whole numbers.
@@ -19,7 +19,6 @@ from lakeline.llm.common import read_table, settle
 
 #: (verdict, host and all its subdomains, start of the path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DEPTH = 4
 WILD_CHILDREN, WILD_SHARE = 16, 4
 LEAST_PAGES, LEAST_LABELS = 10, 10
 PURITY = 8  # tenths
@@ -98,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     said = [rule_case(rules, k).replace("{", "{{").replace("}", "}}") for k in (0, 1)]
     judged = spark.sql(
         f"""SELECT page_id, host, path, {said[0]} AS rule, {said[1]} AS label,
-         array_join(transform(slice(filter(split(path, '/'), s -> s <> ''), 1, {DEPTH}), s -> {shape}), '/') AS shape FROM ({cut}) AS c""",
+         array_join(transform(filter(split(path, '/'), s -> s <> ''), s -> {shape}), '/') AS shape FROM ({cut}) AS c""",
         pages=pages.select("page_id", F.col("url").cast("string")),
     )
     kinds = settle(judged.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")))
@@ -121,10 +120,10 @@ def oracle() -> str:
     steps = tree_steps("coalesce(string_agg(concat('/', child), '' ORDER BY pos) FILTER (WHERE pos > 1), '')", "hugeint")
     tree = ",\n".join(f"{n} AS ({q})" for n, q in steps.items())
     return f"""WITH judged AS (SELECT page_id, host, path, {rules[0]} AS rule, {rules[1]} AS label,
-     coalesce(array_to_string(list_transform(list_slice(list_filter(string_split(path, '/'), lambda s: s <> ''), 1, {DEPTH}), lambda s: {shape}), '/'), '') AS shape FROM ({cut}) AS c),
+     coalesce(array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {shape}), '/'), '') AS shape FROM ({cut}) AS c),
     counted AS (SELECT host, shape, count(*) AS n FROM judged GROUP BY host, shape),
     split AS (SELECT host, shape, n, string_split(shape, '/') AS segs FROM counted WHERE shape <> ''),
-    steps AS (SELECT host, shape, n, pos, segs[pos] AS child, array_to_string(list_slice(segs, 1, pos - 1), '/') AS parent FROM split, range(1, {DEPTH + 1}) AS r(pos) WHERE pos <= len(segs)),
+    steps AS (SELECT host, shape, n, pos, segs[pos] AS child, array_to_string(list_slice(segs, 1, pos - 1), '/') AS parent FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS pos FROM split) AS u),
     {tree}
     SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, v.method) AS verdict, v.template FROM judged j JOIN verdicts v ON j.host = v.host AND j.shape = v.shape"""
 

@@ -33,3 +33,9 @@ def test_templates_generalise_merge_and_reject(spark):
 def test_empty(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert urls.judge_urls(spark.createDataFrame([(1, "http://a/{b}")], "page_id long, url string"), [("block", "a", "/{b}")]).first().verdict == "block"
+
+
+def test_paths_that_differ_only_far_down_have_templates_of_their_own(spark):
+    rows = [(i, f"http://s.com/en/a/b/c/d/e/{i}") for i in range(40)] + [(100 + i, f"http://s.com/x/a/b/c/d/f/{i}") for i in range(40)]
+    got = {r.page_id: (r.template, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1] == ("/en/a/b/c/d/e/<n>", "block") and got[101] == ("/x/a/b/c/d/f/<n>", "allow")
