@@ -39,6 +39,14 @@ def surt(url: Column) -> Column:
     return F.coalesce(F.when(host == "", url).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "[.]")), ","), F.lit(")"), rest)), F.lit(""))
 
 
+def stored(url: Column) -> Column:
+    """The URL as its record holds it: control characters and blanks percent-encoded."""
+    url = url.cast("string")
+    for c in range(33):
+        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    return url
+
+
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a binary column: each 5 hex digits of it are 4 of 32 signs."""
     hexed = F.sha1(payload)
@@ -209,11 +217,12 @@ def open_blocks(blocks: DataFrame) -> DataFrame:
 
 def lookup(index: Index, urls: DataFrame) -> DataFrame:
     """The captures (``key, page_id, file, offset, length``) of ``urls(url)``; each distinct URL is looked up once.
+    A null URL finds nothing, an empty one the captures without a URL.
 
     Every task finds the blocks of its keys by bisection in the directory while that has at most MOST_BLOCKS entries;
     a larger directory is not shipped, and all blocks are joined by key instead.
     """
-    keys = urls.where("url IS NOT NULL").select(surt(F.col("url").cast("string")).alias("key")).distinct()
+    keys = urls.where("url IS NOT NULL").select(surt(stored(F.col("url"))).alias("key")).distinct()
     entries = index.directory.select("first_key", "last_key", "block").limit(MOST_BLOCKS + 1).collect()
     if len(entries) > MOST_BLOCKS:
         return open_blocks(index.blocks).join(keys, "key", "left_semi")
@@ -270,8 +279,10 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark)}/lakeline/warc-{uuid.uuid4().hex}"
-    index = archive(read_table(spark, sf_dir, "pages"), path)
-    return read_records(spark, path, open_blocks(index.blocks), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read_table(spark, sf_dir, "pages")
+    index = archive(pages, path)
+    found = lookup(index, pages.select(F.coalesce("url", F.lit("")).alias("url")))
+    return read_records(spark, path, found, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: SHA-1 as hex becomes base32 five hex digits (20 bits, four signs) at a time.

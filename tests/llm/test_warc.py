@@ -61,3 +61,10 @@ def test_empty(spark, tmp_path):
 
 def test_op6_equals_sql(spark):
     assert same_as_sql(spark, warc.op6_warc, warc.ORACLE, "/root/testdata/sf0.01", ["pages"]) == 250
+
+
+def test_query_finds_every_page_through_the_index(spark, tmp_path):
+    rows = [(1, None, "a"), (2, "", "b"), (3, "http://h/x y\r\nz", "c"), (4, " http://h/ ", None), (5, "no host", "a"), (5, "no host", "a"), (6, "http://É.org/ä?q=1#f", "d")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "revisit", 5), (2, 1, "response", None), (3, 1, "response", None), (4, 0, "response", None), (5, 1, "response", None), (5, 1, "response", None), (6, 1, "response", None)]
