@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one partition packs; lengths and references only, about 50 bytes each.
 PART_ROWS = 50_000
 #: Runs of letters or signs whose ids a Python worker remembers; beyond, it forgets the rarer ones, which changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -150,7 +150,9 @@ def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, codes: np.nda
     """The stretches ``flat[start : start + count]`` of the codes, one behind the other."""
     n = count[codes]
     upto = np.cumsum(n)
-    return flat[np.repeat(start[codes] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+    at = np.repeat((start[codes] - (upto - n)).astype(np.int32), n)  # a slice of texts has far fewer ids
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -174,7 +176,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2 << 20):
                 ids, sizes = enc.encode(b.column("text"))
                 rows: list[tuple] = []
                 at = 0
