@@ -35,8 +35,8 @@ def near(queries: DataFrame, q_id: str, q_vec: str, items: DataFrame, item_id: s
     ``least`` or more.
 
     The queries are a stated set; blocks of BLOCK of them are shipped to the tasks and compared with every item by
-    matrix products. With ``top`` each task passes on its own best only, so that the shuffle grows with queries and
-    tasks and not with the pairs. Items or queries without a vector, or with one of another length, match nothing.
+    matrix products. With ``top`` each batch of items passes on its own best only, so that the shuffle grows with
+    queries and batches and not with the pairs. Items or queries without a vector, or with one of another length, match nothing.
     """
     spark = queries.sparkSession
     rows = queries.where(F.size(q_vec) > 0).select(q_id, q_vec).toLocalIterator(prefetchPartitions=True)
@@ -53,7 +53,6 @@ def near(queries: DataFrame, q_id: str, q_vec: str, items: DataFrame, item_id: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors = shared.value
             q = unit(vectors)
-            best: tuple | None = None
             for b in batches:
                 names, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
                 keep = [i for i, v in enumerate(vs) if v is not None and len(v) == q.shape[1] and any(v)]

@@ -16,12 +16,14 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 or UTF-16 by byte order mark, else UTF-8 if valid, else Latin-1."""
+    """UTF-8 or UTF-16 by byte order mark, else UTF-8 if valid, else windows-1254."""
+    upper = [(chr(b), bytes([b]).decode("cp1254", "replace")) for b in range(128, 256)]
+    turned = [(a, c) for a, c in upper if c not in (a, "\ufffd")]  # bytes that windows-1254 leaves open stay as in Latin-1
     head = F.hex(F.substr(content, F.lit(1), F.lit(3)))
     rest = lambda n: F.substr(content, F.lit(n))
     return (
         F.when(head == "EFBBBF", F.decode(rest(4), "UTF-8")).when(head.startswith("FFFE"), F.decode(rest(3), "UTF-16LE")).when(head.startswith("FEFF"), F.decode(rest(3), "UTF-16BE"))
-        .when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+        .when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, _ in turned), "".join(c for _, c in turned)))
     )
 
 
@@ -41,7 +43,7 @@ def delimited_to_rows(files: DataFrame) -> DataFrame:
         for pdf in parts:
             out = []
             for file_id, text, delimiter in zip(pdf["file_id"], pdf["text"], pdf["delimiter"]):
-                rows = [r for r in csv.reader(io.StringIO((text or "").replace("\r", ""), newline=""), delimiter=delimiter or ",") if any(c.strip() for c in r)]
+                rows = [r for r in csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter or ",") if any(c.strip() for c in r)]
                 out += [(file_id, i, r) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=["file_id", "row_idx", "cells"])
 
@@ -111,31 +113,27 @@ def split_items(items: DataFrame, key: str, order: str, cost: str, budget: int,
 def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int = 400) -> DataFrame:
     """``doc_id, idx, piece`` of windows ``(doc_id, idx, tokens, distance, threshold)`` in order; ``distance`` is that to the
     window before. A piece ends before a window that is farther than the threshold or would make it too long."""
-    items = windows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("tokens").cast("long").alias("tokens"), (F.col("distance") > F.col(threshold)).alias("far")))).alias("w"))
-    state = F.expr("named_struct('no', 0, 'used', 0L, 'done', cast(array() as array<struct<at:int,no:int>>))")
+    from lakeline.operators.folds import number_runs
 
-    def step(s, x):
-        cut = (s.used > 0) & ((s.used + x.tokens > most) | F.coalesce(x.far, F.lit(False)))
-        no = F.when(cut, s.no + 1).otherwise(s.no).cast("int")
-        return F.struct(no.alias("no"), F.when(cut, x.tokens).otherwise(s.used + x.tokens).alias("used"), F.concat(s.done, F.array(F.struct(x.idx.alias("at"), no.alias("no")))).alias("done"))
+    def step(s, tokens, far):
+        no, used = s
+        return (no + 1, tokens) if used > 0 and (used + tokens > most or far) else (no, used + tokens)
 
-    done = items.select("doc_id", F.explode(F.aggregate("w", state, step).done).alias("d"))
-    return done.select("doc_id", F.col("d.at").alias("idx"), F.col("d.no").alias("piece"))
+    fields = {"tokens": F.coalesce(F.col("tokens").cast("long"), F.lit(0)), "far": F.coalesce(F.col("distance") > F.col(threshold), F.lit(False))}
+    return number_runs(windows, "doc_id", "idx", fields, (0, 0), step, "piece")
 
 
 def merge_same_header(chunks: DataFrame, most: int) -> DataFrame:
     """``doc_id, chunk_idx, merged``: consecutive chunks ``(doc_id, chunk_idx, header, tokens)`` of one header whose tokens
     together stay within ``most`` share a number."""
-    items = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_idx").cast("int").alias("i"), F.coalesce("header", F.lit("")).alias("h"), F.col("tokens").cast("long").alias("t")))).alias("c"))
-    state = F.expr("named_struct('no', -1, 'used', 0L, 'h', cast(null as string), 'done', cast(array() as array<struct<at:int,no:int>>))")
+    from lakeline.operators.folds import number_runs
 
-    def step(s, x):
-        joins = F.coalesce((s.h == x.h) & (s.used + x.t <= most), F.lit(False))
-        no = F.when(joins, s.no).otherwise(s.no + 1).cast("int")
-        return F.struct(no.alias("no"), F.when(joins, s.used + x.t).otherwise(x.t).alias("used"), x.h.alias("h"), F.concat(s.done, F.array(F.struct(x.i.alias("at"), no.alias("no")))).alias("done"))
+    def step(s, header, tokens):
+        no, used, last = s
+        return (no, used + tokens, header) if header == last and used + tokens <= most else (no + 1, tokens, header)
 
-    done = items.select("doc_id", F.explode(F.aggregate("c", state, step).done).alias("d"))
-    return done.select("doc_id", F.col("d.at").alias("chunk_idx"), F.col("d.no").alias("merged"))
+    fields = {"header": F.coalesce("header", F.lit("")), "tokens": F.coalesce(F.col("tokens").cast("long"), F.lit(0))}
+    return number_runs(chunks, "doc_id", "chunk_idx", fields, (-1, 0, None), step, "merged")
 
 
 def generate(prompts: DataFrame, model, default: str = "") -> DataFrame:

@@ -1,50 +1,63 @@
-"""Sequential passes over the ordered items of a document, as folds over a sorted array in the JVM.
+"""Sequential passes over the ordered items of a document.
 
-A document is the parallel unit; its items are gathered into one array. Passes that stop or restart at a budget can't be
-written as window frames.
+Rows are dealt out by document, sorted, and stream through a task that carries only the current number and sum, so a
+document of any length needs no more room than a batch and linear time. Passes that stop or restart at a budget can't
+be written as window frames.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold_groups(df: DataFrame, key: str, order: str, cost: str, state: Column, step, out: str = "group_no") -> DataFrame:
-    """``key, order, cost`` with ``out`` for each item: ``step(state, item)`` returns the next state, a struct whose
-    first field is the number given to the item and whose ``out`` array collects (order, number)."""
-    items = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, cost))).alias("items"))
-    done = items.select(key, F.aggregate("items", state, step).alias("s"))
-    return done.select(key, F.explode("s.done").alias("d")).select(key, F.col("d.at").alias(order), F.col("d.no").alias(out))
+def number_runs(df: DataFrame, key: str, order: str, fields: dict, begin: tuple, step: Callable, out: str) -> DataFrame:
+    """``key, order, out``: the number of each item. ``step(state, *fields)`` returns the next state, a tuple whose first
+    value is the number; each key starts from ``begin``. Items of equal order follow the order of their fields; null
+    keys are one document; an empty table gives an empty one."""
+    names = [f"_field{i}" for i in range(len(fields))]
+    d = df.select(F.col(key).alias("_key"), F.col(order).cast("int").alias("_order"), *(c.alias(n) for n, c in zip(names, fields.values())))
+    schema = d.select("_key", "_order", F.lit(0).alias("_number")).schema
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), begin
+        for b in batches:
+            numbers = []
+            for k, *row in zip(*(b.column(n).to_pylist() for n in ("_key", *names))):
+                if k != now:
+                    now, state = k, begin
+                state = step(state, *row)
+                numbers.append(state[0])
+            yield pa.RecordBatch.from_arrays([b.column("_key").cast(arrow.field(0).type), b.column("_order"), pa.array(numbers, pa.int32())], schema=arrow)
 
-def _empty_state() -> Column:
-    return F.expr("named_struct('no', 0, 'used', 0L, 'done', cast(array() as array<struct<at:int,no:int>>))")
+    dealt = d.repartition("_key").sortWithinPartitions("_key", "_order", *names)
+    return dealt.mapInArrow(run, schema).select(F.col("_key").alias(key), F.col("_order").alias(order), F.col("_number").alias(out))
 
 
 def pack_budget(df: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
     """Number of the batch of each item: a new batch begins when the next item would exceed ``budget`` and the current
-    batch is not empty; an item above the budget is a batch of its own."""
-    d = df.select(key, F.col(order).cast("int").alias(order), F.col(cost).cast("long").alias(cost))
+    batch is not empty; an item above the budget is a batch of its own; a null cost counts as 0."""
 
-    def step(s, x):
-        over = (s.used > 0) & (s.used + x[cost] > budget)
-        no = F.when(over, s.no + 1).otherwise(s.no).cast("int")
-        used = F.when(over, x[cost]).otherwise(s.used + x[cost])
-        return F.struct(no.alias("no"), used.alias("used"), F.concat(s.done, F.array(F.struct(x[order].alias("at"), no.alias("no")))).alias("done"))
+    def step(s, c):
+        no, used = s
+        return (no + 1, c) if used > 0 and used + c > budget else (no, used + c)
 
-    return fold_groups(d, key, order, cost, _empty_state(), step)
+    return number_runs(df, key, order, {"cost": F.coalesce(F.col(cost).cast("long"), F.lit(0))}, (0, 0), step, "group_no")
 
 
 def coalesce_small(df: DataFrame, key: str, order: str, cost: str, small: int = 80, most: int = 400) -> DataFrame:
-    """Runs of items below ``small`` whose sum stays within ``most`` share a number; others stand alone."""
-    d = df.select(key, F.col(order).cast("int").alias(order), F.col(cost).cast("long").alias(cost))
-    state = F.expr("named_struct('no', 0, 'used', -1L, 'done', cast(array() as array<struct<at:int,no:int>>))")
+    """Runs of items below ``small`` whose sum stays within ``most`` share a number; others stand alone; a null cost
+    counts as 0."""
 
-    def step(s, x):
-        joins = (x[cost] < small) & (s.used >= 0) & (s.used + x[cost] <= most)
-        no = F.when(joins | (F.size(s.done) == 0), s.no).otherwise(s.no + 1).cast("int")
-        used = F.when(joins, s.used + x[cost]).when(x[cost] < small, x[cost]).otherwise(F.lit(-1).cast("long"))
-        return F.struct(no.alias("no"), used.alias("used"), F.concat(s.done, F.array(F.struct(x[order].alias("at"), no.alias("no")))).alias("done"))
+    def step(s, c):
+        no, used = s  # used: sum of the open run, -1 behind an item that stands alone
+        if c < small and used >= 0 and used + c <= most:
+            return no, used + c
+        return no + 1, (c if c < small else -1)
 
-    return fold_groups(d, key, order, cost, state, step)
+    return number_runs(df, key, order, {"cost": F.coalesce(F.col(cost).cast("long"), F.lit(0))}, (-1, -1), step, "group_no")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lakeline.functions.vector import near
 
 RRF_K = 60
-FIELD_WEIGHTS = {"content": 1.0, "header": 0.4}
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 12) -> DataFrame:

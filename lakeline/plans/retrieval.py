@@ -13,12 +13,12 @@ COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 
 
 def text_chunks(spark, d):
-    """The documents' first lines under the numbers of the vectors: chunks with a vector and a text."""
-    docs = t.load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.split("text", "\n")[0].alias("content"), "source")
+    """The documents' whole texts under the numbers of the vectors: chunks with a vector and a text."""
+    docs = t.load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
     return t.vector_chunks(spark, d).join(docs, "chunk_id", "left").withColumn("content", F.coalesce("content", F.lit(""))).withColumn("file_name", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")))
 
 
-TEXT_CHUNKS = """text_chunks AS (SELECT v.*, coalesce(string_split(d.text, chr(10))[1], '') AS content, concat('doc', v.doc_id, '.pdf') AS file_name FROM vector_chunks v LEFT JOIN documents d ON d.doc_id = v.chunk_id)"""
+TEXT_CHUNKS = """text_chunks AS (SELECT v.*, coalesce(d.text, '') AS content, concat('doc', v.doc_id, '.pdf') AS file_name FROM vector_chunks v LEFT JOIN documents d ON d.doc_id = v.chunk_id)"""
 
 DENSE = f"""dense AS (SELECT q_id, chunk_id, sim, rank FROM (SELECT q_id, chunk_id, {COS.format('vec', 'embedding')} AS sim, row_number() OVER (PARTITION BY q_id ORDER BY round({COS.format('vec', 'embedding')}, 9) DESC, chunk_id) AS rank
   FROM questions, vector_chunks) AS a WHERE rank <= 12)"""

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lakeline.operators import files as fl
+from lakeline.operators import folds
 
 
 def test_delimited_files(spark):
@@ -28,3 +29,19 @@ def test_model_slot(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, prompt string")
     assert {r.id: r.answer for r in fl.generate(df, lambda ps: [p.upper() for p in ps]).collect()} == {1: "A", 2: "A", 3: None}
     assert {r.answer for r in fl.generate(df, lambda ps: 1 / 0, "none").collect()} == {"none", None}
+
+
+def test_turkish_bytes_and_returns_in_cells(spark):
+    raw = "İğne şöyle ‘ı’ €".encode("cp1254")
+    got = spark.createDataFrame([(raw,), ("düz".encode(),)], "content binary").select(fl.decode_text(F.col("content")).alias("t")).collect()
+    assert [r.t for r in got] == ["İğne şöyle ‘ı’ €", "düz"]
+    df = spark.createDataFrame([(1, 'a;b;c\r\n"x\r\ny";2;3\r\n4;5;6\r\n')], "file_id long, text string")
+    assert [r.cells for r in fl.delimited_to_rows(df).orderBy("row_idx").collect()] == [["a", "b", "c"], ["x\r\ny", "2", "3"], ["4", "5", "6"]]
+
+
+def test_folds_take_any_key_name_and_long_documents(spark):
+    df = spark.range(60_000).select(F.lit(1).alias("d"), F.col("id").alias("at"), F.lit(3).alias("done"))
+    got = folds.pack_budget(df, "d", "at", "done", 10)
+    assert got.columns == ["d", "at", "group_no"] and got.agg(F.max("group_no")).first()[0] == 19_999
+    small = spark.createDataFrame([(1, 0, 100), (1, 1, 5), (1, 2, 5), (1, 3, None), (2, 0, 5), (2, 1, 500)], "d long, at int, s int")
+    assert [r.group_no for r in folds.coalesce_small(small, "d", "at", "s").orderBy("d", "at").collect()] == [0, 1, 1, 1, 0, 1]
