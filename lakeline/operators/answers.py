@@ -6,9 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeline.functions.text import is_rejection, normalize_image_md, quality_badge, resolve_image_refs, strip_no_answer, strip_source_refs, will_cache
 from lakeline.operators.retrieval import select_context
 from lakeline.sources.shared import settle
 
+#: Fixed value: the text of an image that has no caption.
+IMAGE_WORD = "gorsel"
 MARK = r"\[IMG:(\d+)[^\]]*\]"
 
 
@@ -121,3 +124,22 @@ def embed(texts: DataFrame, column: str = "content", size: int = 64) -> DataFram
 
     distinct = texts.where(F.trim(column) != "").select(F.sha2(column, 256).alias("_k"), column).groupBy("_k").agg(F.first(column).alias("_t"))
     return texts.withColumn("_k", F.sha2(column, 256)).join(distinct.select("_k", vector("_t").alias("embedding")), "_k", "left").drop("_k")
+
+
+def finalize_answers(raw: DataFrame) -> DataFrame:
+    """``q_id, answer, images, rejected, badge, cached`` of a model's raw answers.
+
+    ``raw`` needs q_id, answer, paths, captions (arrays; marker ``[[IMG-k]]`` means the k-th), standalone, score, issues
+    and validated. A refusal loses its marker and images; an answer that names no image shows all it was given.
+    """
+    rejected = is_rejection(F.col("answer"))
+    bare = strip_source_refs(strip_no_answer(F.coalesce("answer", F.lit(""))))
+    empty = F.array().cast("array<string>")
+    paths = F.coalesce("paths", empty)
+    x = raw.select("q_id", "captions", "standalone", "score", "issues", "validated", rejected.alias("rejected"), bare.alias("a"), paths.alias("paths"))
+    named = F.transform(F.regexp_extract_all("a", F.lit(r"\[\[\s*IMG-(\d+)[^\]]*\]\]"), F.lit(1)), lambda k: k.cast("int"))
+    used = F.array_distinct(F.filter(F.transform(named, lambda k: F.when(k > 0, F.get(F.col("paths"), k - 1))), lambda p: p.isNotNull()))
+    shown = F.when(F.col("rejected"), empty).when(F.size(used) > 0, used).otherwise(F.array_distinct("paths"))
+    resolved = F.when(F.col("rejected"), F.regexp_replace("a", r"\[\[\s*IMG-\d+[^\]]*\]\]", "")).otherwise(resolve_image_refs(F.col("a"), F.col("paths"), F.coalesce("captions", empty), IMAGE_WORD))
+    keep = will_cache(F.col("standalone"), F.col("rejected"), F.col("validated"), F.col("score"), F.size(F.coalesce("issues", empty)))
+    return x.select("q_id", normalize_image_md(resolved).alias("answer"), shown.alias("images"), "rejected", quality_badge(F.col("score")).alias("badge"), F.coalesce(keep, F.lit(False)).alias("cached"))

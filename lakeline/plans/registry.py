@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeline.plans import answers, chunking, files, links, listing, retrieval, state, streams, structure
+from lakeline.plans import answers, chunking, compose, files, links, listing, retrieval, state, streams, structure
 
-MODULES = [retrieval, listing, chunking, state, streams, structure, answers, files, links]
+MODULES = [retrieval, listing, chunking, state, streams, structure, answers, files, links, compose]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_search"
