@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakeline.llm import chat, decontaminate, html, langid, packing, quality, simhash, substrings, urls, warc
+from lakeline.llm import chat, clusters, decontaminate, html, langid, packing, phrases, quality, simhash, substrings, toxicity, urls, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_html": html.op9_html,
     "op10_substrings": substrings.op10_substrings,
+    "op11_clusters": clusters.op11_clusters,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_toxicity": toxicity.op13_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op3_chat": chat.ORACLE, "op6_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_urls": urls.oracle(),
+    "op3_chat": chat.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op11_clusters": clusters.ORACLE,
+    "op12_phrases": phrases.ORACLE,
+}
