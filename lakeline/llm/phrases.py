@@ -29,7 +29,7 @@ from lakeline.llm.common import CHUNK_BYTES, batch, map_batches, mix64, read_tab
 LONGEST = 5
 PAIR_BITS = 24
 #: Words held in one numpy step, and distinct words remembered by a task.
-STEP_WORDS, MOST_WORDS = 1 << 20, 1 << 19
+STEP_WORDS, MOST_WORDS = 1 << 18, 1 << 17
 BLOCK_BITS = 18
 _SIGNS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 
