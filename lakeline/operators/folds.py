@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def number_runs(df: DataFrame, key: str, order: str, fields: dict, begin: tuple, step: Callable, out: str) -> DataFrame:
-    """``key, order, out``: the number of each item. ``step(state, *fields)`` returns the next state, a tuple whose first
-    value is the number; each key starts from ``begin``. Items of equal order follow the order of their fields; null
-    keys are one document; an empty table gives an empty one."""
-    names = [f"_field{i}" for i in range(len(fields))]
-    d = df.select(F.col(key).alias("_key"), F.col(order).cast("int").alias("_order"), *(c.alias(n) for n, c in zip(names, fields.values())))
-    schema = d.select("_key", "_order", F.lit(0).alias("_number")).schema
+def number_runs(df: DataFrame, key: str, order: str | list[str], fields: dict, begin: tuple, step: Callable, out: str, carry: list[str] | None = None) -> DataFrame:
+    """``key, order, out``: the number of each item, with the columns named by ``carry``. ``step(state, *fields)`` returns the next state, a tuple whose first
+    value is the number; each key starts from ``begin``. ``order`` may name several columns. Items of equal order follow
+    the order of their fields; null keys are one document; an empty table gives an empty one."""
+    order = [order] if isinstance(order, str) else order
+    places, names = [f"_order{i}" for i in range(len(order))], [f"_field{i}" for i in range(len(fields))]
+    carry = carry or []
+    loads = [f"_carry{i}" for i in range(len(carry))]
+    d = df.select(F.col(key).alias("_key"), *(F.col(o).alias(n) for o, n in zip(order, places)), *(c.alias(n) for n, c in zip(names, fields.values())), *(F.col(c).alias(n) for c, n in zip(carry, loads)))
+    schema = d.select("_key", *places, *loads, F.lit(0).alias("_number")).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,10 +36,12 @@ def number_runs(df: DataFrame, key: str, order: str, fields: dict, begin: tuple,
                     now, state = k, begin
                 state = step(state, *row)
                 numbers.append(state[0])
-            yield pa.RecordBatch.from_arrays([b.column("_key").cast(arrow.field(0).type), b.column("_order"), pa.array(numbers, pa.int32())], schema=arrow)
+            kept = [b.column(n).cast(arrow.field(n).type) for n in ("_key", *places, *loads)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32())], schema=arrow)
 
-    dealt = d.repartition("_key").sortWithinPartitions("_key", "_order", *names)
-    return dealt.mapInArrow(run, schema).select(F.col("_key").alias(key), F.col("_order").alias(order), F.col("_number").alias(out))
+    sortable = [n for n, c in d.dtypes if n in names and not c.startswith("map")]
+    dealt = d.repartition("_key").sortWithinPartitions("_key", *places, *sortable)
+    return dealt.mapInArrow(run, schema).select(F.col("_key").alias(key), *(F.col(n).alias(o) for o, n in zip(order, places)), *(F.col(n).alias(c) for c, n in zip(carry, loads)), F.col("_number").alias(out))
 
 
 def pack_budget(df: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:

@@ -30,11 +30,12 @@ def heading_level(line: Column) -> Column:
     )
 
 
-def blocks(pages: DataFrame) -> DataFrame:
+def blocks(pages: DataFrame, by_page: bool = False) -> DataFrame:
     """``doc_id, block, kind, text, header_path`` of pages ``(doc_id, page_index, markdown)``.
 
     Lines are classed one by one; lines between fences are code; runs of one kind are a block. Headings make no block but
-    the path of those behind them, over page ends too; lines that are a page number are left out.
+    the path of those behind them, over page ends too; lines that are a page number are left out. With ``by_page`` a
+    block ends with its page, whose index is added as ``page``.
     """
     lines = pages.select("doc_id", "page_index", F.posexplode(F.split("markdown", "\n")).alias("n", "line")).where(~F.trim("line").rlike(r"^\d{1,4}$"))
     w = Window.partitionBy("doc_id").orderBy("page_index", "n")
@@ -53,9 +54,12 @@ def blocks(pages: DataFrame) -> DataFrame:
     x = x.withColumn("header_path", F.concat_ws(" > ", *parts))
     x = x.withColumn("kind", F.when(F.col("level").isNotNull(), "heading").otherwise(F.col("kind")))
     new = (F.col("kind") != F.lag("kind").over(w)) | F.lag("kind").over(w).isNull()
+    if by_page:
+        new = new | (F.col("page_index") != F.lag("page_index").over(w))
     x = x.withColumn("block", F.sum(new.cast("int")).over(upto))
     body = x.where(~F.col("kind").isin("heading", "blank", "rule"))
-    return body.groupBy("doc_id", "block", "kind", "header_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda r: r.line), "\n").alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda r: r.line), "\n").alias("text")
+    return body.groupBy("doc_id", "block", "kind", "header_path").agg(*([F.min("page_index").alias("page")] if by_page else []), text)
 
 
 def cells_to_rows(cells: DataFrame) -> DataFrame:
@@ -111,6 +115,86 @@ def merge_split_tables(tables: DataFrame) -> DataFrame:
     return per.select("doc_id", F.posexplode(F.aggregate("t", start, step)).alias("table", "m")).select("doc_id", "table", "m.headers", "m.rows")
 
 
+def pipe_cells(line: Column) -> Column:
+    """The trimmed cells of a line of a pipe table; an escaped pipe belongs to its cell."""
+    bare = F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", "")
+    return F.transform(F.split(bare, r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+
+
+def parse_table(text: Column) -> tuple[Column, Column]:
+    """(headers, rows) of a pipe table. Blank headers are called ``colN`` by their place, as are all where the second
+    line is no rule; rows are as wide as the headers."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    ruled = F.coalesce(F.get(lines, F.lit(1)).rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*$"), F.lit(False))
+    first = pipe_cells(F.get(lines, F.lit(0)))
+    headers = F.transform(first, lambda c, i: F.when(~ruled | (c == ""), F.concat(F.lit("col"), (i + 1).cast("string"))).otherwise(c))
+    body = F.when(ruled, F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))).otherwise(lines)
+    rows = F.transform(body, lambda x: F.transform(headers, lambda _, i: F.coalesce(F.get(pipe_cells(x), i), F.lit(""))))
+    return headers, rows
+
+
+def made_header(h: Column, i: Column) -> Column:
+    """Whether a header is the placeholder of its place (from 0)."""
+    return h == F.concat(F.lit("col"), (i + 1).cast("string"))
+
+
+def low(headers: Column) -> Column:
+    return F.transform(headers, lambda h: F.lower(h))
+
+
+def join_tables(blocks: DataFrame, first_of: Column | None) -> DataFrame:
+    """One pass of ``join_split_tables``: over page ends (``first_of``: whether a block is the first of its page), else
+    within a page and header path. The chain's first table decides on every later one, so blocks stream in order."""
+    some = F.exists(F.transform("headers", made_header), lambda x: x)
+    fields = {
+        "kind": (F.col("kind") == "table") & (F.size("headers") > 0), "made": F.coalesce(some, F.lit(False)), "headers": low(F.col("headers")),
+        "first": F.lit(False) if first_of is None else first_of, "page": F.col("page"), "path": F.coalesce("header_path", F.lit("")),
+    }
+    over_pages = first_of is not None
+
+    def step(s, table, made, headers, first, page, path):
+        no, root, root_page, root_path = s
+        if not table:
+            return no + 1, None, None, None
+        near = first and page != root_page if over_pages else page == root_page and path == root_path
+        if root is not None and near and len(root) == len(headers) and (made or root == headers):
+            return no, root, root_page, root_path
+        return no + 1, headers, page, path
+
+    from lakeline.operators.folds import number_runs
+
+    x = number_runs(blocks, "doc_id", "block", fields, (-1, None, None, None), step, "_no", ["page", "kind", "header_path", "text", "headers", "rows"])
+    part = F.struct("block", "page", "kind", "header_path", "text", "headers", "rows")
+    one = x.groupBy("doc_id", "_no").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.block < b.block, -1).otherwise(1)).alias("p")).withColumn("root", F.col("p")[0])
+
+    def rows(p: Column, i: Column) -> Column:
+        known = F.exists(F.transform(p.headers, made_header), lambda m: m)
+        dropped = F.forall(F.transform(p.headers, made_header), lambda m: m) | (~known & (low(p.headers) == low(F.col("root.headers"))))
+        head = F.transform(p.headers, lambda h, k: F.when(made_header(h, k), F.lit("")).otherwise(h))
+        return F.when((i == 0) | dropped, p.rows).otherwise(F.concat(F.array(head), p.rows))
+
+    joined = F.size("p") > 1
+    return one.select(
+        "doc_id", "root.block", "root.page", "root.kind", "root.header_path", F.when(~joined, F.col("root.text")).alias("text"), "root.headers",
+        F.when(joined, F.flatten(F.transform("p", rows))).otherwise(F.col("root.rows")).alias("rows"),
+    )
+
+
+def join_split_tables(blocks: DataFrame) -> DataFrame:
+    """Blocks ``(doc_id, block, page, kind, header_path, text, headers, rows)`` with continued tables made one, which
+    keeps the first one's block, page, path and headers and has no text of its own.
+
+    First over page ends: a table that is the last block of its page goes on with a table that is the first of the next
+    block's page, and on and on where such a page holds nothing else. Then within a page: tables side by side under one
+    header path. A table goes on with one of equal width that has a placeholder among its headers or the same headers
+    (ignoring case); repeated or wholly made-up headers are dropped, others become a row with placeholders left blank.
+    """
+    at = Window.partitionBy("doc_id").orderBy("block")
+    first = F.coalesce(F.col("page") != F.lag("page").over(at), F.lit(True))
+    marked = blocks.withColumn("_first", first)
+    return join_tables(join_tables(marked, F.col("_first")), None)
+
+
 def link_images(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """``image_id, block``: the first block of the image's page whose span holds the image, else the nearest one.
 
