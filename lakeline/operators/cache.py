@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.vector import near
+from lakeline.functions.vector import similarity_join
 
 DAY = 86400
 
@@ -13,23 +13,22 @@ DAY = 86400
 def best_cache_match(questions: DataFrame, cache: DataFrame, least: float = 0.9) -> DataFrame:
     """``q_id, cache_id, sim, nearest``: the most similar entry if it reaches ``least`` (else null) and, in any case, how
     near the nearest is. Every question is returned."""
-    top = near(questions, "q_id", "vec", cache, "cache_id", "question_vec", top=1).select("q_id", F.col("item_id").alias("cache_id"), F.round("sim", 9).alias("sim"))
+    top = similarity_join(questions, "q_id", "vec", cache, "cache_id", "question_vec", top=1).select("q_id", F.col("item_id").alias("cache_id"), F.round("sim", 9).alias("sim"))
     hit = F.col("sim") >= least
     return questions.select("q_id").join(top, "q_id", "left").select("q_id", F.when(hit, F.col("cache_id")).alias("cache_id"), F.when(hit, F.col("sim")).alias("sim"), F.col("sim").alias("nearest"))
 
 
 def feedback_net(questions: DataFrame, feedback: DataFrame, least: float = 0.85) -> DataFrame:
     """``q_id, net``: dislikes less likes of the same user's feedback on similar questions; 0 where there is none."""
-    pairs = near(questions, "q_id", "vec", feedback, "feedback_id", "question_vec", least=least).join(feedback.select(F.col("feedback_id").alias("item_id"), "user_id", "rating"), "item_id")
-    net = pairs.join(questions.select("q_id", "user_id"), ["q_id", "user_id"]).groupBy("q_id").agg(F.sum(-F.col("rating")).alias("net"))
+    pairs = similarity_join(questions, "q_id", "vec", feedback, "feedback_id", "question_vec", least=least, scope="user_id")
+    net = pairs.join(feedback.select(F.col("feedback_id").alias("item_id"), "rating"), "item_id").groupBy("q_id").agg(F.sum(-F.col("rating")).alias("net"))
     return questions.select("q_id").join(net, "q_id", "left").select("q_id", F.coalesce("net", F.lit(0)).cast("long").alias("net"))
 
 
 def nearest_feedback(questions: DataFrame, feedback: DataFrame, since: int, least: float = 0.75, n: int = 30) -> DataFrame:
     """``q_id, feedback_id, sim, place``: the same user's feedback since a time on similar questions, nearest first."""
     recent = feedback.where(F.col("created") >= since)
-    pairs = near(questions, "q_id", "vec", recent, "feedback_id", "question_vec", least=least).join(recent.select(F.col("feedback_id").alias("item_id"), "user_id"), "item_id")
-    own = pairs.join(questions.select("q_id", "user_id"), ["q_id", "user_id"]).select("q_id", F.col("item_id").alias("feedback_id"), "sim")
+    own = similarity_join(questions, "q_id", "vec", recent, "feedback_id", "question_vec", least=least, scope="user_id").select("q_id", F.col("item_id").alias("feedback_id"), "sim")
     w = Window.partitionBy("q_id").orderBy(F.round("sim", 9).desc(), "feedback_id")
     return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

@@ -5,47 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.vector import near
+from lakeline.functions.compose import search_texts
+from lakeline.functions.vector import similarity_join
+from lakeline.operators.index import Index, build_index, terms, text_topk
 
 RRF_K = 60
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 12) -> DataFrame:
     """``q_id, chunk_id, sim, rank``: the ``n`` chunks with the highest cosine for each question."""
-    found = near(questions, "q_id", "vec", chunks, "chunk_id", "embedding", top=n)
+    found = similarity_join(questions, "q_id", "vec", chunks, "chunk_id", "embedding", top=n)
     return found.select("q_id", F.col("item_id").alias("chunk_id"), "sim", "rank")
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
 def postings(chunks: DataFrame, content: str = "content", chunk_id: str = "chunk_id") -> DataFrame:
     """``term, chunk_id, tf, len``: how often each term occurs in each chunk, with the chunk's number of terms."""
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("w"))
     return words.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, posted: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``q_id, chunk_id, score`` of every chunk with a term of the question (Okapi BM25, repeated terms count once)."""
-    lengths = posted.groupBy("chunk_id", "len").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-    asked = questions.select("q_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    used = asked.select("term").distinct()
-    hits = posted.join(used, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = hits.join(df, "term").crossJoin(F.broadcast(lengths))  # one row
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return asked.join(weight.select("term", "chunk_id", part.alias("part")), "term").groupBy("q_id", "chunk_id").agg(F.sum("part").alias("score"))
-
-
-def text_topk(questions: DataFrame, posted: DataFrame, n: int = 12) -> DataFrame:
-    """``q_id, chunk_id, score, rank`` of the ``n`` best chunks; equal scores (to nine digits) by chunk_id."""
-    w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return bm25(questions, posted).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def rrf(dense: DataFrame, text: DataFrame, n: int = 12, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: ``q_id, chunk_id, score, rank``.
 
@@ -119,13 +97,28 @@ def overlap_score(question: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, terms(content))) / F.size(asked))
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, n: int = 12) -> DataFrame:
+def asked_text(questions: DataFrame) -> Column:
+    """What is looked up in full text: the enriched question where there is one, else the question."""
+    enriched = F.col("enriched") if "enriched" in questions.columns else F.lit(None).cast("string")
+    return search_texts(F.col("question"), enriched, F.lit(None).cast("string"), F.lit(True))[0]
+
+
+def hybrid_search(questions: DataFrame, chunks: DataFrame, n: int = 12, index: Index | None = None, placed: DataFrame | None = None) -> DataFrame:
     """Dense and text candidates fused, re-ranked, made diverse, cut and stitched with their neighbours.
 
-    ``chunks`` needs chunk_id, doc_id, file_name, embedding, content, prev_id, next_id. Returns q_id, chunk_id, doc_id,
-    score, diverse_rank and stitched.
+    ``questions`` needs q_id, vec, question and may have enriched; ``chunks`` chunk_id, doc_id, file_name, header,
+    embedding, content, prev_id, next_id. The text side ranks by BM25 on ``index`` (built here if not given), or, with
+    ``placed`` (see websearch.positions), takes the query syntax and ranks by cover density. Returns q_id, chunk_id,
+    doc_id, score, diverse_rank and stitched.
     """
-    fused = rrf(dense_topk(questions, chunks, n), text_topk(questions, postings(chunks), n), n)
+    looked_up = questions.select("q_id", asked_text(questions).alias("question"))
+    if placed is not None:
+        from lakeline.operators.websearch import web_search
+
+        found = web_search(looked_up, placed, n)
+    else:
+        found = text_topk(looked_up, index or build_index(chunks), n)
+    fused = rrf(dense_topk(questions, chunks, n), found, n)
     rich = fused.select("q_id", "chunk_id", "rank").join(chunks.select("chunk_id", "doc_id", "file_name", "content"), "chunk_id").join(questions.select("q_id", "question"), "q_id")
     scored = rich.withColumn("score", overlap_score(F.col("question"), F.col("content")))
     kept = round_robin(rerank_filter(scored), rank="place")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeline.functions.vector import near
+from lakeline.functions.vector import similarity_join
+from lakeline.operators import index as ix
 from lakeline.operators import retrieval as r
 from lakeline.sources import tables as t
 
@@ -13,18 +14,22 @@ COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 
 
 def text_chunks(spark, d):
-    """The documents' whole texts under the numbers of the vectors: chunks with a vector and a text."""
-    docs = t.load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
-    return t.vector_chunks(spark, d).join(docs, "chunk_id", "left").withColumn("content", F.coalesce("content", F.lit(""))).withColumn("file_name", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")))
+    """A chunk for each number of a document or a vector: the document's whole text, its source as header, and the vector
+    of that number. Those without a vector belong to a document of their own."""
+    docs = t.load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("header"))
+    x = docs.join(t.vector_chunks(spark, d), "chunk_id", "full_outer").withColumn("doc_id", F.coalesce("doc_id", F.col("chunk_id") + 1000))
+    return x.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("file_name", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")))
 
 
-TEXT_CHUNKS = """text_chunks AS (SELECT v.*, coalesce(d.text, '') AS content, concat('doc', v.doc_id, '.pdf') AS file_name FROM vector_chunks v LEFT JOIN documents d ON d.doc_id = v.chunk_id)"""
+TEXT_CHUNKS = """text_chunks AS (SELECT coalesce(v.chunk_id, d.doc_id) AS chunk_id, coalesce(v.doc_id, d.doc_id + 1000) AS doc_id, v.chunk_idx, v.prev_id, v.next_id, v.embedding, coalesce(d.text, '') AS content, d.source AS header,
+  concat('doc', coalesce(v.doc_id, d.doc_id + 1000), '.pdf') AS file_name FROM documents d FULL OUTER JOIN vector_chunks v ON d.doc_id = v.chunk_id)"""
 
 DENSE = f"""dense AS (SELECT q_id, chunk_id, sim, rank FROM (SELECT q_id, chunk_id, {COS.format('vec', 'embedding')} AS sim, row_number() OVER (PARTITION BY q_id ORDER BY round({COS.format('vec', 'embedding')}, 9) DESC, chunk_id) AS rank
   FROM questions, vector_chunks) AS a WHERE rank <= 12)"""
 
-BM25 = f"""words AS (SELECT chunk_id, {TERMS.format('content')} AS w FROM __chunks),
-posted AS (SELECT term, chunk_id, len, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM words) AS a GROUP BY ALL),
+BM25 = f"""words AS (SELECT chunk_id, {TERMS.format("coalesce(content, '')")} AS w, {TERMS.format("coalesce(header, '')")} AS h FROM __chunks),
+posted AS (SELECT term, chunk_id, len, sum(x) AS tf FROM (SELECT chunk_id, len(w) + 0.4::DOUBLE * len(h) AS len, unnest(w) AS term, 1.0::DOUBLE AS x FROM words
+  UNION ALL SELECT chunk_id, len(w) + 0.4::DOUBLE * len(h), unnest(h), 0.4::DOUBLE FROM words) AS a GROUP BY ALL),
 stats AS (SELECT count(*) AS n_chunks, avg(len) AS avg_len FROM (SELECT DISTINCT chunk_id, len FROM posted) AS a),
 asked AS (SELECT DISTINCT q_id, unnest({TERMS.format('question')}) AS term FROM __questions),
 dfs AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
@@ -33,7 +38,6 @@ bm25 AS (SELECT q_id, chunk_id, sum(ln(1 + (n_chunks - df + 0.5::DOUBLE) / (df +
 texts AS (SELECT q_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25) AS a WHERE rank <= 12)"""
 
 
-
 def bm25_sql(chunks: str, questions: str) -> str:
     return BM25.replace("__chunks", chunks).replace("__questions", questions)
 
@@ -61,7 +65,7 @@ def dense(spark, d):
 
 
 def texts(spark, d):
-    return r.text_topk(t.questions(spark, d).where("question IS NOT NULL"), r.postings(text_chunks(spark, d)))
+    return ix.text_topk(t.questions(spark, d), ix.build_index(text_chunks(spark, d)))
 
 
 def bench_questions(spark, d):
@@ -77,13 +81,13 @@ def rounded(df, *names):
 QUERIES = {
     "dense_topk": lambda s, d: rounded(dense(s, d), "sim"),
     "postings": lambda s, d: r.postings(t.chunks(s, d)).select("term", "chunk_id", F.col("tf").cast("long"), F.col("len").cast("long")),
-    "text_topk": lambda s, d: rounded(r.text_topk(bench_questions(s, d), r.postings(t.chunks(s, d))), "score"),
+    "text_topk": lambda s, d: rounded(ix.text_topk(bench_questions(s, d), ix.build_index(t.chunks(s, d))), "score"),
     "rrf": lambda s, d: rounded(r.rrf(dense(s, d), texts(s, d)).select("q_id", "chunk_id", "score", "rank"), "score"),
     "fuse_full_outer": lambda s, d: rounded(r.fuse_full_outer(dense(s, d), texts(s, d)), "score"),
     "union_candidates": lambda s, d: dense(s, d).select("q_id", "chunk_id").union(texts(s, d).select("q_id", "chunk_id")).distinct(),
     "round_robin": lambda s, d: r.round_robin(dense(s, d).join(t.vector_chunks(s, d).select("chunk_id", "doc_id"), "chunk_id")).select("q_id", "chunk_id", "doc_id", "diverse_rank"),
     "rerank_filter": lambda s, d: rounded(r.rerank_filter(dense(s, d).withColumn("score", F.round(F.col("sim") - 0.3, 6))).select("q_id", "chunk_id", "score", "place"), "score"),
-    "dynamic_k": lambda s, d: near(t.questions(s, d), "q_id", "vec", t.vector_chunks(s, d), "chunk_id", "embedding", least=0.3).groupBy("q_id").agg(F.count("*").alias("n")).select("q_id", "n", r.dynamic_k(F.col("n")).alias("k")),
+    "dynamic_k": lambda s, d: similarity_join(t.questions(s, d), "q_id", "vec", t.vector_chunks(s, d), "chunk_id", "embedding", least=0.3).groupBy("q_id").agg(F.count("*").alias("n")).select("q_id", "n", r.dynamic_k(F.col("n")).alias("k")),
     "select_context": lambda s, d: r.select_context(
         t.chunks(s, d).select("doc_id", "chunk_idx", F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")).alias("tokens")), 200, 16, key="doc_id", rank="chunk_idx"
     ).select("doc_id", "chunk_idx", "tokens"),
