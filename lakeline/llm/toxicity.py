@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.llm.common import batch, map_batches, read_table, settle, text_bytes
+from lakeline.llm.common import batch, map_batches, mix64, read_table, settle, text_bytes
 from lakeline.llm.langid import held_out
 from lakeline.llm.phrases import spans
 
@@ -34,20 +34,42 @@ MOST_CONFIRMED = 200_000
 #: Features of a model at most, and how far beyond chance (in standard deviations) and how often one must occur.
 MOST_FEATURES, STAND_OUT, SEEN = 4096, 6.0, 3
 RATE, SMOOTH = 300, 30
-MOST_WORDS = 1 << 19
+#: Distinct words that a task remembers, and bytes of text handled in one numpy step.
+MOST_WORDS, STEP_BYTES = 1 << 18, 1 << 20
 #: A model's sums are whole multiples of this.
 GRAIN = 2.0**-20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def word_features(word: bytes) -> list[int]:
-    """The word and its beginnings of 4 to 8 bytes as numbers of FEATURE_BITS bits."""
-    shift = 64 - FEATURE_BITS
-    return [xxhash.xxh64_intdigest(word, seed=1) >> shift, *(xxhash.xxh64_intdigest(word[:k], seed=2) >> shift for k in STARTS if len(word) > k)]
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of FEATURE_BITS bits for each word and its beginnings of 4 to 8 bytes, and how many each word has."""
+    shift = np.uint64(64 - FEATURE_BITS)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    head = np.array(words, dtype="S8").view("<u8").astype(np.uint64)  # the first eight bytes, zeros behind
+    grid = np.full((len(words), 1 + len(STARTS)), -1, np.int64)
+    grid[:, 0] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> shift
+    for j, k in enumerate(STARTS, 1):
+        start = mix64((head & np.uint64((1 << 8 * k) - 1)) + np.uint64(k)) >> shift
+        grid[:, j] = np.where(size > k, start.astype(np.int64), -1)
+    return grid[grid >= 0], (grid >= 0).sum(1)
+
+
+def groups(texts: list[bytes | None]) -> Iterator[range]:
+    """Runs of texts of about STEP_BYTES together; a longer text is a run of its own."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or b"")
+        if held and held + n > STEP_BYTES:
+            yield range(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield range(begin, len(texts))
 
 
 class Lexicon:
-    """Features of the words that a task has met, as arrays: those of word ``i`` are ``flat[begin[i]:begin[i + 1]]``."""
+    """Features of the words that a task has met, as arrays: those of word ``i`` are ``flat[begin[i]:begin[i + 1]]``.
+    With ``picked`` only those features count, by their place in it."""
 
     def __init__(self, picked: np.ndarray | None = None) -> None:
         self.picked = picked
@@ -58,19 +80,20 @@ class Lexicon:
         self.flat, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def look_up(self, tokens: list[bytes]) -> np.ndarray:
-        """Numbers of the words; with ``picked`` features only those words that have some, and -1 for the others."""
-        known, new = self.number, []
-        for w in set(tokens).difference(known):
-            found = word_features(w)
-            if self.picked is not None:
-                at = np.minimum(np.searchsorted(self.picked, found), len(self.picked) - 1)
-                found = [int(i) for i, f in zip(at, found) if self.picked[i] == f]
-            known[w] = len(self.begin) - 1 + len(new) if found else -1
-            if found:
-                new.append(found)
+        """Numbers of the words, -1 for those without a feature."""
+        known = self.number
+        new = list(set(tokens).difference(known))
         if new:
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in new])])
-            self.flat = np.concatenate([self.flat, np.fromiter((f for x in new for f in x), np.int64)])
+            f, size = word_features(new)
+            if self.picked is not None:
+                at = np.minimum(np.searchsorted(self.picked, f), len(self.picked) - 1)
+                good = self.picked[at] == f
+                f, size = at[good], np.bincount(np.repeat(np.arange(len(new)), size)[good], minlength=len(new))
+            some = size > 0
+            number = np.where(some, len(self.begin) - 2 + np.cumsum(some), -1)
+            known.update(zip(new, number.tolist()))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size[some])])
+            self.flat = np.concatenate([self.flat, f])
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
     def expand(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,27 +102,45 @@ class Lexicon:
         place = np.repeat(np.arange(len(words)), size)
         return self.flat[np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[words], size)], place
 
-    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Feature numbers of a whole text, how often each occurs, and the number of words."""
-        if len(self.number) > MOST_WORDS:
-            self.forget()
-        words, feature, many = 0, [], []
-        for part in spans((text or b"").translate(_FOLD)):
-            tokens = part.split()
-            words += len(tokens)
-            ids = self.look_up(tokens)
-            ids, n = np.unique(ids[ids >= 0], return_counts=True)
-            if len(ids):
-                f, place = self.expand(ids)
-                feature.append(f)
-                many.append(n[place])
-        if not feature:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), words
-        f, place = np.unique(np.concatenate(feature), return_inverse=True)
-        return f, np.bincount(place, np.concatenate(many)).astype(np.int64), words
-
-
-def weights_of(n: np.ndarray, words: int) -> np.ndarray:
+    def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, feature, n)`` in order, how often each feature occurs in each whole text, and the words of each text."""
+        words = np.zeros(len(texts), np.int64)
+        keys, many = [], []
+        for run in groups(texts):
+            if len(self.number) > MOST_WORDS:
+                self.forget()
+            for tokens, owner in self.tokens(texts, run):
+                words += np.bincount(owner, minlength=len(texts))
+                ids = self.look_up(tokens)
+                own = np.flatnonzero(ids >= 0)
+                pair, n = np.unique(owner[own] << 32 | ids[own], return_counts=True)
+                f, place = self.expand(pair & 0xFFFFFFFF)
+                key, back = np.unique((pair[place] >> 32) << FEATURE_BITS | f, return_inverse=True)
+                keys.append(key)
+                many.append(np.bincount(back, n[place], minlength=len(key)).astype(np.int64))
+        key, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, many))
+        if len(keys) > 1 and (np.diff(key) <= 0).any():  # a text in several parts
+            key, back = np.unique(key, return_inverse=True)
+            n = np.bincount(back, n, minlength=len(key)).astype(np.int64)
+        return key >> FEATURE_BITS, key & ((1 << FEATURE_BITS) - 1), n, words
+
+    @staticmethod
+    def tokens(texts: list[bytes | None], run: range) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """The words of a run of texts with their text's number; a longer text comes in parts."""
+        if len(run) == 1:
+            for part in spans((texts[run[0]] or b"").translate(_FOLD)):
+                tokens = part.split()
+                yield tokens, np.full(len(tokens), run[0], np.int64)
+            return
+        held, sizes = [], []
+        for i in run:
+            tokens = (texts[i] or b"").translate(_FOLD).split()
+            held += tokens
+            sizes.append(len(tokens))
+        yield held, np.repeat(np.arange(run.start, run.stop), sizes)
+
+
+def weights_of(n: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.log1p(RATE * n / (words + SMOOTH))
 
 
@@ -113,12 +154,11 @@ def pick(train: DataFrame) -> np.ndarray:
         seen, lexicon = np.zeros((2, 1 << FEATURE_BITS), np.int32), Lexicon()
         texts = np.zeros(2, np.int64)
         for b in batches:
-            for text, toxic in zip(text_bytes(b.column("text")), b.column("toxic").to_pylist()):
-                f, _, _ = lexicon.counts(text)
-                seen[1, f] += 1
-                texts += [toxic, 1]
-                if toxic:
-                    seen[0, f] += 1
+            toxic = np.asarray(b.column("toxic"))
+            texts += [toxic.sum(), len(toxic)]
+            row, f, _, _ = lexicon.counts(text_bytes(b.column("text")))
+            np.add.at(seen[1], f, 1)
+            np.add.at(seen[0], f[toxic[row] == 1], 1)
         at = np.flatnonzero(seen[1])
         yield batch(FOUND, feature=np.append(at, -1), confirmed=np.append(seen[0, at], texts[0]).astype(np.int64), all=np.append(seen[1, at], texts[1]).astype(np.int64))
 
@@ -143,8 +183,10 @@ def patterns(train: DataFrame, picked: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
         for b in batches:
-            rows = [lexicon.counts(t) for t in text_bytes(b.column("text"))]
-            yield batch(PATTERN, toxic=b.column("toxic"), at=[f.astype(np.int32) for f, _, _ in rows], x=[np.round(weights_of(n, words), 1).astype(np.float32) for _, n, words in rows])
+            row, f, n, words = lexicon.counts(text_bytes(b.column("text")))
+            x = np.round(weights_of(n, words[row]), 1).astype(np.float32)
+            ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            yield batch(PATTERN, toxic=b.column("toxic"), at=pa.ListArray.from_arrays(ends, pa.array(f.astype(np.int32))), x=pa.ListArray.from_arrays(ends, pa.array(x)))
 
     return settle(map_batches(train, run, "toxic int, at array<int>, x array<float>").groupBy("toxic", "at", "x").agg(F.count("*").alias("n")))
 
@@ -225,9 +267,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             g = np.full(b.num_rows, m.bias)
             if len(m.features):
-                for i, text in enumerate(text_bytes(b.column("text"))):
-                    f, n, words = lexicon.counts(text)
-                    g[i] += m.weights[f] @ weights_of(n, words)
+                row, f, n, words = lexicon.counts(text_bytes(b.column("text")))
+                g += np.bincount(row, m.weights[f] * weights_of(n, words[row]), minlength=b.num_rows)
             with np.errstate(over="ignore"):
                 yield batch(SCORED, doc_id=b.column("doc_id"), score=1 / (1 + np.exp(-g)))
 

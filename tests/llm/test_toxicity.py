@@ -58,12 +58,24 @@ def test_gradients_against_brute_force(spark):
     assert np.allclose(toxicity.gradients(df, w), want, atol=1e-3)
 
 
+def features(word):
+    return set(toxicity.word_features([word])[0].tolist())
+
+
 def test_counts_of_whole_texts(monkeypatch):
     lexicon = toxicity.Lexicon()
     long = b"Foobar, foo! " * 700_000  # several parts
-    f, n, words = lexicon.counts(long)
-    assert words == 1_400_000 and set(n.tolist()) == {700_000} and len(f) == len(set(toxicity.word_features(b"foobar") + toxicity.word_features(b"foo")))
-    assert lexicon.counts(None)[2] == 0 and len(lexicon.counts(b"1 2 ?")[0]) == 0
+    row, f, n, words = lexicon.counts([b"foo bar", long, None, b"1 2 ?", b"bar bar"])
+    assert words.tolist() == [2, 1_400_000, 0, 0, 2] and set(n[row == 1].tolist()) == {700_000}
+    assert set(f[row == 1].tolist()) == features(b"foobar") | features(b"foo") and set(n[row == 4].tolist()) == {2} and 2 not in row and 3 not in row
+    assert len(features(b"foobarbazqux")) == 6 and len(features(b"foob")) == 1
+    assert features(b"foobarx") & features(b"foobary") and len(features(b"foobarx") & features(b"foobary")) == 3
+    monkeypatch.setattr(toxicity, "STEP_BYTES", 5)
+    again = toxicity.Lexicon().counts([b"foo bar", b"Foobar, foo! " * 9, None, b"1 2 ?", b"bar bar"])
+    assert [x[row == 0].tolist() for x in (f, n)] == [x[again[0] == 0].tolist() for x in again[1:3]]
+    picked = np.array(sorted(features(b"foobar")))
+    row, f, n, _ = toxicity.Lexicon(picked).counts([b"x foobar foobaz", b"y", b"foobar foobar"])
+    assert f[row == 2].tolist() == list(range(len(picked))) and set(n[row == 2].tolist()) == {2} and len(f[row == 0]) == len(picked) and 1 not in row
 
 
 @pytest.mark.parametrize("labels", [[], [(1, None), (None, 1)], [(1, 0)], [(1, 1)], [(1, 1), (1, 0), (2, 0), (77, 0)]])
