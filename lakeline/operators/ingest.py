@@ -67,8 +67,8 @@ def ingest_documents(pages: DataFrame, store: str, run: int, hashes: DataFrame |
     Each stage is a table of the run; a run that is started again goes on behind its last finished stage, and changes
     nothing once it was committed. Tables: ``blocks``, ``pieces``, ``chunks``, ``images`` and ``image_links`` (the
     documents' pictures, first by path and then by ``hashes(path, hash)``), ``documents`` (doc_id, status, n_chunks):
-    Ready with chunks, Failed without; a Failed document keeps nothing of an earlier run but its rows in ``documents``
-    say so. Returns the run's ``documents``.
+    Ready with chunks; without, Stale if an earlier run has some, which stay, and Failed otherwise. Returns the run's
+    ``documents``; ``store.latest_rows`` gives those of all runs.
     """
     spark = pages.sparkSession
     if st.committed(spark, store, run):
@@ -81,7 +81,10 @@ def ingest_documents(pages: DataFrame, store: str, run: int, hashes: DataFrame |
     st.stage(spark, store, "images", run, lambda: images)
     st.stage(spark, store, "image_links", run, lambda: links.join(chunks.select("chunk_id", "doc_id"), "chunk_id"))
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    state = pages.select("doc_id").distinct().join(counts, "doc_id", "left").select("doc_id", F.when(F.col("n_chunks") > 0, "Ready").otherwise("Failed").alias("status"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    before = st.latest(spark, store)
+    had = (before if before is not None else spark.createDataFrame([], pages.select("doc_id").schema)).select("doc_id", F.lit(True).alias("had"))
+    status = F.when(F.col("n_chunks") > 0, "Ready").when(F.col("had"), "Stale").otherwise("Failed")
+    state = pages.select("doc_id").distinct().join(counts, "doc_id", "left").join(had, "doc_id", "left").select("doc_id", status.alias("status"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
     documents = st.stage(spark, store, "documents", run, lambda: state)
-    st.commit(documents, store, run)
+    st.commit(documents.where("status = 'Ready'"), store, run)
     return documents

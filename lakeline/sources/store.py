@@ -68,6 +68,13 @@ def read_table(spark: SparkSession, store: str, table: str) -> DataFrame:
     return rows.withColumn("run", F.col("run").cast("long")).join(now, ["doc_id", "run"]).drop("run")
 
 
+def latest_rows(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """The rows of each document's last appearance in a table of any committed run, replaced documents or not."""
+    runs = [r.number for r in spark.read.parquet(f"{store}/{COMMITS}/run=*").distinct().collect()]
+    rows = spark.read.option("basePath", f"{store}/{table}").parquet(*(path_of(store, table, r) for r in runs)).withColumn("run", F.col("run").cast("long"))
+    return rows.join(rows.groupBy("doc_id").agg(F.max("run").alias("run")), ["doc_id", "run"]).drop("run")
+
+
 def write_chunks(chunks: DataFrame, store: str, run: int, documents: DataFrame | None = None) -> None:
     """Replace the chunks of all documents in ``chunks``, all or nothing. ``documents(doc_id)`` names more documents that
     the run stands for, whose chunks go. A null doc_id is a document like others, but never found again by readers."""

@@ -108,8 +108,10 @@ def test_a_failed_run_is_invisible_and_goes_on(spark, tmp_path, monkeypatch, sta
     assert kept and {p: p.stat().st_mtime_ns for p in kept} == kept  # finished stages were not made again
     after = snapshot(spark, store)
     assert [x for x in after if "doc_id=2" in x] == [x for x in before if "doc_id=2" in x] and sum("doc_id=1" in x for x in after) == 1 and any("fifth" in x for x in after)
-    status = {r.doc_id: r.status for r in st.read_table(spark, store, "documents").collect()}
-    assert status == {1: "Ready", 2: "Ready", 3: "Failed", 4: "Failed", 5: "Ready"}
+    ingest.ingest_documents(pages(spark, [(2, 0, " "), (3, 0, "")]), store, 3)
+    assert snapshot(spark, store) == after
+    status = {r.doc_id: r.status for r in st.latest_rows(spark, store, "documents").collect()}
+    assert status == {1: "Ready", 2: "Stale", 3: "Failed", 4: "Failed", 5: "Ready"}
     assert ingest.ingest_documents(pages(spark, []), store, 2).count() == 2 and snapshot(spark, store) == after
 
 
