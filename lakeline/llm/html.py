@@ -4,7 +4,8 @@ Every element of a page is hashed twice: with all it holds, and by its structure
 texts, runs of equal children once). Spark counts for each host on how many of its pages each hash stands and which share
 of a page's text it holds. Subtrees that recur across many pages of their host are template and deleted: equal ones
 anywhere, those of equal structure outside the main text. Recurring structures that hold much of the text of their pages
-lead to the main text. Pages that copy one main text count once.
+lead to the main text; where the main text's own structure varies from page to page, the element is taken that holds most
+of the text outside links and template. Pages that copy one main text count once.
 
 Elements that HTML itself marks as surroundings (menus, footers, asides, forms, scripts) are deleted by their tag. Names
 such as ``sidebar`` or ``comments`` decide outside the main text; inside it only where the structure recurs. A host with
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from lakeline.llm.common import ascii_lower, batch, map_batches, read_table, settle
 
-#: A subtree is template if it stands on so many pages of its host, and on this share of them.
-LEAST_PAGES, SHARE = 5, 0.1
+#: A subtree is template if it stands on so many pages of its host, and on this share of them; within the main text an
+#: equal one must stand on the larger share, as pages of a series may share a passage.
+LEAST_PAGES, SHARE, SHARE_WITHIN = 5, 0.1, 0.3
 
 #: A recurring structure that holds so many thousandths of the text of its pages (mean) holds the main text.
 CONTENT = 400
@@ -35,7 +37,7 @@ DEPTH = 512
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-RAW = {"script", "style", "noscript", "iframe", "xmp", "noembed", "noframes", "textarea", "title", "template", "svg", "math"}
+RAW = {"script", "style", "noscript", "iframe", "xmp", "noembed", "noframes", "textarea", "title", "template", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"div", "section", "aside", "ul", "ol", "dl", "table", "nav", "header", "footer", "form", "details", "menu", "center", "fieldset", "figure"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", "address", "summary", "caption"}
@@ -112,8 +114,9 @@ def markup(source: str) -> Iterator[tuple[str, str, str]]:
         tag = name[0].lower()
         yield ("end" if slash else "start"), tag, source[name.end() : stop]
         if tag in RAW and not slash:
-            close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, place)
-            place = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(source, place)
+            stop = source.find(">", close.end()) if close else -1
+            place = stop + 1 if stop >= 0 else end
 
 
 def parse(source: str) -> Node:
@@ -215,33 +218,37 @@ def content(root: Node) -> list[Node]:
 
 
 class Marks:
-    """Of each element, by id(): the hash of all it holds, the hash of its structure, and its characters of text."""
+    """Of each element, by id(): the hash of all it holds, the hash of its structure, its characters of text, and those of
+    them outside links."""
 
     def __init__(self, root: Node):
         self.exact: dict[int, int] = {}
         self.shape: dict[int, int] = {}
         self.chars: dict[int, int] = {}
+        self.prose: dict[int, int] = {}
         inner: dict[int, list[str]] = {}
         self.order = list(walk(root))
         for node in reversed([root, *self.order]):
-            parts, form, chars = [node.tag], [], 0
+            parts, form, chars, prose = [node.tag], [], 0, 0
             for x in node.items:
                 if isinstance(x, Node):
                     k = id(x)
                     parts.append(f"\x01{self.exact[k]:x}")
                     own = [f"\x01{self.shape[k]:x}"] if x.tag in BLOCKS or x.tag == "a" else inner[k]
                     chars += self.chars[k]
+                    prose += self.prose[k]
                 else:
                     words = " ".join(x.split())
                     parts.append(f"\x02{words}")
                     own = ["\x02"] if words else []
                     chars += len(words)
+                    prose += len(words)
                 form += [o for i, o in enumerate(own) if o != ((own[i - 1] if i else None) or (form[-1] if form else None))]
             k = id(node)
             self.exact[k] = xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
             names = " ".join(sorted(re.sub("[0-9]+", "0", n) for n in node.names()))
             self.shape[k] = xxhash.xxh64_intdigest("\x00".join(["\x03", node.tag, names, *form])) >> 1
-            self.chars[k], inner[k] = chars, form
+            self.chars[k], self.prose[k], inner[k] = chars, 0 if node.tag == "a" else prose, form
 
 
 def counted(root: Node, marks: Marks) -> dict[int, int]:
@@ -254,17 +261,17 @@ def counted(root: Node, marks: Marks) -> dict[int, int]:
         k = id(n)
         if marks.chars[k] and n.tag in BLOCKS and n.tag not in ("html", "body", "head"):
             share = marks.chars[k] * 1000 // total
-            out[marks.shape[k]] = max(share, out.get(marks.shape[k], 0))
+            out[marks.shape[k]] = min(1000, share + out.get(marks.shape[k], 0))
             if n.tag in tags:
                 out.setdefault(marks.exact[k], 0)
     return out
 
 
-def extract(source: str, template: set[int], main: set[int] = frozenset(), known: bool = False) -> str:
+def extract(source: str, template: set[int], main: set[int] = frozenset(), known: bool = False, firm: set[int] = frozenset()) -> str:
     """The blocks of the main text joined by newlines.
 
-    ``template`` holds hashes that recur on the page's host, ``main`` structures that hold the main text there;
-    ``known``: the host has pages enough to tell.
+    ``template`` holds hashes that recur on the page's host, ``firm`` those that recur on many of its pages, ``main``
+    structures that hold the main text there; ``known``: the host has pages enough to tell.
     """
     root = parse(source)
     marks = Marks(root) if known else None
@@ -284,26 +291,36 @@ def extract(source: str, template: set[int], main: set[int] = frozenset(), known
             return named(x, inside)
         shape, equal = marks.shape[id(x)] in template, marks.exact[id(x)] in template
         if inside:
-            return shape and named(x, False) or equal and x.tag in CONTAINERS
+            return shape and named(x, False) or marks.exact[id(x)] in firm and x.tag in CONTAINERS
         if x.tag in ("article", "main", "body", "html"):
             return x.tag == "article" and named(x, True)
-        return shape and x.tag in BLOCKS or equal and x.tag in CONTAINERS | PROSE or named(x, False)
+        return shape and x.tag in BLOCKS and x.tag not in PROSE or equal and x.tag in CONTAINERS | PROSE or named(x, False)
 
     def heart(node: Node) -> Node:
         """The deepest element that leads to the main text of the host."""
         while True:
-            own = [x for x in node.items if isinstance(x, Node) and (x.tag in ("html", "body") or marks.shape[id(x)] in main) and not surrounding(x, False)]
+            own = [x for x in node.items if isinstance(x, Node) and (x.tag in ("html", "body") or marks.shape[id(x)] in main and x.tag not in PROSE) and not surrounding(x, False)]
             if not own:
                 return node
             node = max(own, key=lambda x: marks.chars[id(x)])
 
+    def densest(node: Node) -> Node:
+        """The deepest element that holds more than half of the prose of its parent, surroundings and template aside."""
+        while True:
+            own = [x for x in node.items if isinstance(x, Node) and not deleted(x, False)]
+            best = max(own, key=lambda x: marks.prose[id(x)], default=None)
+            if best is None or best.tag not in BLOCKS or best.tag in PROSE or 2 * marks.prose[id(best)] <= sum(marks.prose[id(x)] for x in own):
+                return node
+            node = best
+
     tops = content(root) if not known else [root]
     centre = None
     if known:
         centre = heart(root)
         if centre.tag in ("html", "body") or centre is root:
-            marked = content(root)
-            centre = None if marked != [root] else centre
+            centre = densest(root) if content(root) == [root] else None
+            if centre is not None and (centre is root or centre.tag in ("html", "body")):
+                centre = None
     for top in tops:
         # a page without statistics: inside the marked main text, or everywhere outside of it
         todo: list[tuple[Node | str | None, bool]] = [(top, top is not root)]
@@ -323,7 +340,8 @@ def extract(source: str, template: set[int], main: set[int] = frozenset(), known
                 if block:
                     flush()
                     todo.append((None, inside))
-                within = inside or x is centre or x is not root and is_content(x)
+                beside = centre is not None and x.up is centre.up and x.tag not in PROSE and marks.shape[id(x)] in main
+                within = inside or x is centre or beside or x is not root and is_content(x)
                 todo += [(y, within) for y in reversed(x.items)]
         flush()
     return "\n".join(blocks)
@@ -333,7 +351,7 @@ SEEN = pa.schema([("host", pa.string()), ("body", pa.int64()), ("marks", pa.list
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, template array<long>, main array<long>)`` of hosts with pages enough; the arrays are bounded, as each hash
+    """``(host, template array<long>, main array<long>, firm array<long>)`` of hosts with pages enough; the arrays are bounded, as each hash
     stands on at least ``share`` of the host's pages. Of pages with one main text one is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +370,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     counts = once.select("host", F.explode("marks").alias("m")).groupBy("host", "m.hash").agg(F.count("*").alias("n"), F.sum("m.share").alias("held"))
     often = counts.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") >= share * F.col("pages"))
     main = F.col("held") >= CONTENT * F.col("n")
-    marked = often.groupBy("host").agg(F.collect_set(F.when(~main, F.col("hash"))).alias("template"), F.collect_set(F.when(main, F.col("hash"))).alias("main"))
+    marked = often.groupBy("host").agg(F.collect_set(F.when(~main, F.col("hash"))).alias("template"), F.collect_set(F.when(main, F.col("hash"))).alias("main"), F.collect_set(F.when(~main & (F.col("n") >= SHARE_WITHIN * F.col("pages")), F.col("hash"))).alias("firm"))
     return total.select("host").join(marked, "host", "left")
 
 
@@ -374,8 +392,8 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(n).to_pylist() for n in ("html", "template", "main", "known")))
-            texts = [extract(s or "", set(t or ()), set(m or ()), bool(k)) for s, t, m, k in rows]
+            rows = zip(*(b.column(n).to_pylist() for n in ("html", "template", "main", "known", "firm")))
+            texts = [extract(s or "", set(t or ()), set(m or ()), bool(k), set(f or ())) for s, t, m, k, f in rows]
             yield batch(TEXT, page_id=b.column("page_id"), url=b.column("url"), text=texts, n_chars=list(map(len, texts)))
 
     told = known.withColumn("known", F.lit(True))
@@ -384,7 +402,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     else:  # a host may hold a third of all pages
         told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(told, ["host", "salt"], "left")
-    return map_batches(joined.select("page_id", "url", "html", "template", "main", "known"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "template", "main", "known", "firm"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,34 @@ def test_edges(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in hx.main_text(df).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (3, 999_999)]
     assert hx.main_text(df.limit(0)).count() == 0
+
+
+def test_varying_bodies_and_menus_with_neutral_names(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rnd.randint(0, 999)) for _ in range(n))
+
+    def page(i):
+        menu = "".join(f"<li><a href=/{rnd.randint(0, 99)}>{words(1)}</a></li>" for _ in range(rnd.randint(2, 9)))
+        kinds = [lambda: ("p", words(30)), lambda: ("h3", words(4)), lambda: ("pre", words(12)), lambda: ("blockquote", words(15))]
+        parts = [rnd.choice(kinds)() for _ in range(rnd.randint(4, 12))] + [("p", words(60))]
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in parts) + f"<ul><li>{(item := words(3))}</li></ul>"
+        blocks = [x for _, x in parts] + [item]
+        wrap = [("<div class=f1>", "</div>"), ("<div class=f1><div class=f2>", "</div></div>")][i % 2]
+        return f"<body><div class=f0><ul>{menu}</ul></div>{wrap[0]}{body}{wrap[1]}<div class=f3><p>{words(6)}</p></div></body>", "\n".join(blocks)
+
+    pages = [page(i) for i in range(40)]
+    got = run(spark, [(i, "http://h.com/", p) for i, (p, _) in enumerate(pages)])
+    assert [i for i, (_, text) in enumerate(pages) if got[i] != text] == []
+
+
+def test_a_passage_shared_by_a_series_stays(spark):
+    abstract = "<div><p>This series tells of the sea.</p></div>"
+    rows = [(i, "http://h.com/", f"<nav>m</nav><article><h1>T{i}</h1>{abstract if i < 6 else ''}<p>Body {i}.</p><div><p>Read our letters.</p></div></article>") for i in range(40)]
+    got = run(spark, rows)
+    assert got[0] == "T0\nThis series tells of the sea.\nBody 0." and got[20] == "T20\nBody 20."
+
+
+def test_unclosed_raw_elements_take_linear_time():
+    began = time.time()
+    assert hx.extract("<p>x</p><script>" + "</script " * 400_000, set()) == "x"
+    assert hx.extract("<p>a <math><mi>b</mi></math></p><script>1</SCRIPT ><p>c", set()) == "a b\nc" and time.time() - began < 10
