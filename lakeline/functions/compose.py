@@ -21,7 +21,8 @@ EARLIER_QUESTION, EARLIER_ANSWER, CATEGORIES, REASON = "Önceki soru", "Verilen
 
 
 def blank(s: Column) -> Column:
-    return F.coalesce(F.trim(s) == "", F.lit(True))
+    """Null, empty, or white space of any kind only."""
+    return F.coalesce(s.rlike(r"^[\s\p{Z}\x{85}]*$"), F.lit(True))
 
 
 def each_marker(s: Column, opening: str, one: Callable[[Column], Column]) -> Column:
@@ -42,11 +43,12 @@ def parse_flag(s: Column, key: str) -> Column:
 def parse_contexts(s: Column, n: Column) -> Column:
     """``n`` contexts by position from a JSON array of ``{"context": …}`` or strings: at most 300 characters each, empty
     where missing or blank; what is more than ``n`` or no array counts for nothing."""
-    given = F.from_json(unfenced(s), "array<string>")
+    given = F.from_json(unfenced(s), "array<variant>")
 
     def one(i: Column) -> Column:
         x = F.get(given, i)
-        v = F.when(x.startswith("{"), F.from_json(x, "context string")["context"]).otherwise(x)
+        kind = F.schema_of_variant(x)
+        v = F.when(kind.startswith("OBJECT"), F.try_variant_get(x, "$.context", "string")).when(~kind.startswith("ARRAY"), F.try_variant_get(x, "$", "string"))
         return F.when(blank(v), "").otherwise(F.left(v, F.lit(300)))
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), one)).otherwise(F.array().cast("array<string>"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeline.functions.text import is_rejection, normalize_image_md, quality_badge, resolve_image_refs, strip_no_answer, strip_source_refs, will_cache
+from lakeline.operators.folds import number_runs
+from lakeline.operators.graph import connected
 from lakeline.operators.retrieval import select_context
 from lakeline.sources.shared import settle
 
@@ -79,27 +83,59 @@ def parse_quality(s: Column) -> tuple[Column, Column, Column]:
     return score, F.when(known, F.filter(F.coalesce(j.issues, F.array().cast("array<string>")), lambda x: F.trim(x) != "")).otherwise(F.array().cast("array<string>")), known
 
 
-def bulk_import_users(existing: DataFrame, rows: DataFrame) -> DataFrame:
-    """``row_no, outcome`` of rows ``(row_no, email, personnel_code)`` taken in order of row_no.
+def bulk_import_users(existing: DataFrame, rows: DataFrame, rounds: int = 6) -> DataFrame:
+    """``row_no, outcome, broken`` of rows ``(row_no, full_name, email, personnel_code)`` taken in order of row_no.
+
+    Rows that are blank as a whole are left out. A row that breaks rules (see listing.user_rules; ``broken`` names them)
+    is ``invalid`` and reserves nothing; others are skipped if their e-mail (ignoring case), or else their code, is taken
+    by a user or an accepted earlier row. ``full_name`` may be missing as a column; names then break no rule.
 
-    A row is skipped if its e-mail (ignoring case) or else its code is taken by a user or an accepted earlier row. Rows
-    that come first for both are accepted together, rows that meet them are skipped, and so on until all are decided,
-    which gives what one pass in order gives.
+    ``rounds`` times, rows that come first for both e-mail and code are accepted and rows that meet them are skipped,
+    which settles all but long chains of conflicts. What is left is divided into groups that share no e-mail or code, and
+    each streams through a task once, in order, carrying what it has reserved.
     """
+    from lakeline.operators.listing import user_rules, violations
+
+    named = "full_name" in rows.columns
+    trimmed = rows.select("row_no", *(F.trim(c).alias(c) for c in ("full_name", "email", "personnel_code") if c in rows.columns))
+    some = F.concat_ws("", *trimmed.columns[1:]) != ""
+    rules = {k: bad for k, bad in user_rules().items() if named or k != "name"}
+    y = trimmed.where(some).withColumn("broken", violations(rules))
+    bad = y.where(F.size("broken") > 0).select("row_no", F.lit("invalid").alias("outcome"), "broken")
     e = existing.select(F.lower("email").alias("m")).distinct()
     c = existing.select(F.col("personnel_code").alias("c")).distinct()
-    x = rows.select("row_no", F.lower("email").alias("m"), F.col("personnel_code").alias("c"))
-    left, accepted = settle(x.join(e, "m", "left_anti").join(c, "c", "left_anti")), None
-    while not left.isEmpty():
+    x = settle(y.where(F.size("broken") == 0).select("row_no", F.lower("email").alias("m"), F.col("personnel_code").alias("c")))
+    left, accepted = settle(x.join(e, "m", "left_anti").join(c, "c", "left_anti")), []
+    for _ in range(rounds):
         first_m, first_c = F.min("row_no").over(Window.partitionBy("m")), F.min("row_no").over(Window.partitionBy("c"))
         ok = settle(left.withColumn("a", first_m).withColumn("b", first_c).where("row_no = a AND row_no = b").select("row_no", "m", "c"))
-        accepted = ok if accepted is None else accepted.unionByName(ok)
+        accepted.append(ok)
         left = settle(left.join(ok.select("m"), "m", "left_anti").join(ok.select("c"), "c", "left_anti"))
-    out = x.join(e.withColumn("had", F.lit(True)), "m", "left")
-    if accepted is None:
-        return out.select("row_no", F.when(F.col("had"), "email taken").otherwise("code taken").alias("outcome"))
-    out = out.join(accepted.select("m", F.col("row_no").alias("by")), "m", "left")
-    return out.select("row_no", F.when(F.col("had") | (F.col("by") < F.col("row_no")), "email taken").when(F.col("by") == F.col("row_no"), "ok").otherwise("code taken").alias("outcome"))
+    accepted.append(accept_in_order(left))
+    by = settle(reduce(DataFrame.unionByName, accepted).select("m", F.col("row_no").alias("by")))
+    out = x.join(e.withColumn("had", F.lit(True)), "m", "left").join(by, "m", "left")
+    told = F.when(F.col("had") | (F.col("by") < F.col("row_no")), "email taken").when(F.col("by") == F.col("row_no"), "ok").otherwise("code taken")
+    return out.select("row_no", told.alias("outcome"), F.array().cast("array<string>").alias("broken")).unionByName(bad)
+
+
+def accept_in_order(left: DataFrame) -> DataFrame:
+    """``row_no, m, c`` of the rows that one pass in order accepts, each group of rows without a common ``m`` or ``c`` to
+    any other for itself."""
+    node = lambda side: F.xxhash64(F.lit(side), F.col(side))  # noqa: E731  (equal hashes would only join two groups)
+    group = connected(left.select(node("m").alias("u"), node("c").alias("v"))).withColumnRenamed("node", "_node")
+    x = left.withColumn("_node", node("m")).join(group, "_node").select("group", "row_no", "m", "c")
+
+    def step(s, row_no, m, c):
+        _, taken = s
+        mails, codes = taken or (set(), set())
+        free = m not in mails and c not in codes
+        if free:
+            mails.add(m)
+            codes.add(c)
+        return int(free), (mails, codes)
+
+    kept = number_runs(x, "group", "row_no", {n: F.col(n) for n in ("row_no", "m", "c")}, (0, None), step, "kept", ["m", "c"])
+    return kept.where("kept = 1").select("row_no", "m", "c")
 
 
 def embed(texts: DataFrame, column: str = "content", size: int = 64) -> DataFrame:

@@ -36,6 +36,20 @@ def search_any(df: DataFrame, cols: list[str], needle: str | None) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{needle}%"), F.lit(False)) for c in cols]))
 
 
+def ieq(a: Column, b: Column) -> Column:
+    """Equal but for case, the rule by which file names are unique; ``%`` and ``_`` are plain characters here, while the
+    pattern match ``a.ilike(b)`` would take them as wildcards."""
+    return F.lower(a) == F.lower(b)
+
+
+def name_taken(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """``request_id, taken``: whether the user of each request ``(request_id, user_id, file_name)`` has a document of that
+    name (ignoring case) in ``docs(user_id, file_name)``."""
+    had = docs.select("user_id", F.lower("file_name").alias("_n"), F.lit(True).alias("_had")).distinct()
+    x = requests.withColumn("_n", F.lower("file_name")).join(had, ["user_id", "_n"], "left")
+    return x.select("request_id", F.coalesce("_had", F.lit(False)).alias("taken"))
+
+
 def filter_sessions(df: DataFrame, user_id: int | None = None, archived: bool | None = False, since: int | None = None, until: int | None = None) -> DataFrame:
     """Sessions of a user, archived or not (None: all), made from ``since`` up to the end of the day after ``until``."""
     if user_id is not None:

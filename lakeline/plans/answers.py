@@ -23,17 +23,23 @@ def image_context(s, d):
 
 def imports(s, d):
     o = t.load(s, d, "orders")
-    return o.select(F.col("o_orderkey").alias("row_no"), F.concat(F.lit("CUSTOMER#"), F.lpad((F.col("o_custkey") * 3 % 401).cast("string"), 9, "0"), F.lit("@X.test")).alias("email"), F.concat(F.lit("EMP"), F.col("o_orderkey") % 307).alias("personnel_code"))
+    return o.select(F.col("o_orderkey").alias("row_no"), F.concat(F.lit("CUSTOMER#"), F.lpad((F.col("o_custkey") * 3 % 401).cast("string"), 9, "0"), F.lit("@X.test")).alias("email"), F.concat(F.lit("EMP"), F.lpad((F.col("o_orderkey") % 307).cast("string"), 3, "0")).alias("personnel_code"))
 
 
 QUERIES = {
     "complaint_context": lambda s, d: an.complaint_context(asking(s, d), t.feedback(s, d), t.START - 2000 * t.DAY, 0.2, 0.5),
     "answer_context": lambda s, d: an.answer_context(results(s, d), 120),
     "global_image_numbers": lambda s, d: an.global_image_numbers(image_context(s, d)).select("q_id", "rank", F.col("at").cast("int").alias("place"), "local", "number"),
-    "bulk_import_users": lambda s, d: an.bulk_import_users(t.users(s, d).where("user_id % 2 = 0"), imports(s, d)),
+    "bulk_import_users": lambda s, d: an.bulk_import_users(t.users(s, d).where("user_id % 2 = 0"), imports(s, d)).select("row_no", "outcome"),
     "embed_texts": lambda s, d: an.embed(t.chunks(s, d).select("chunk_id", "content")).select("chunk_id", F.size("embedding").alias("size")),
 }
 ORACLE_SQL = {
+    "bulk_import_users": "WITH RECURSIVE " + t.with_tables("""MORE had AS (SELECT list(lower(email)) AS m, list(personnel_code) AS c FROM users WHERE user_id % 2 = 0),
+      r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS row_no, lower(concat('CUSTOMER#', lpad(CAST(o_custkey * 3 % 401 AS VARCHAR), 9, '0'), '@X.test')) AS m, concat('EMP', lpad(CAST(o_orderkey % 307 AS VARCHAR), 3, '0')) AS c FROM orders),
+      w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS row_no, '' AS outcome, m, c FROM had UNION ALL
+        SELECT r.i, r.row_no, x.o, CASE WHEN x.o = 'ok' THEN list_append(w.m, r.m) ELSE w.m END, CASE WHEN x.o = 'ok' THEN list_append(w.c, r.c) ELSE w.c END
+        FROM w JOIN r ON r.i = w.i + 1, LATERAL (SELECT CASE WHEN list_contains(w.m, r.m) THEN 'email taken' WHEN list_contains(w.c, r.c) THEN 'code taken' ELSE 'ok' END AS o) AS x)
+      SELECT row_no, outcome FROM w WHERE i > 0""", "users").removeprefix("WITH "),
     "answer_context": t.with_tables(rf"""MORE {TEXT_CHUNKS}, {DENSE}, g AS (SELECT d.q_id, d.rank, c.file_name, c.content, len(list_filter(regexp_split_to_array(c.content, '\s+'), lambda w: w <> '')) AS tokens FROM dense d JOIN text_chunks c USING (chunk_id) WHERE length(trim(c.content)) > 20),
       p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS used FROM g WINDOW w AS (PARTITION BY q_id ORDER BY rank)) SELECT q_id, string_agg(concat('[', place, '] ', file_name, chr(10), content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place = 1 OR (used <= 120 AND place <= 16) GROUP BY q_id""", "vector_chunks", "questions"),
     "global_image_numbers": t.with_tables("""MORE c AS (SELECT doc_id % 50 AS q_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id, chunk_idx) AS rank, concat(left(content, 5), '[IMG:', chunk_idx % 4, ' x] [IMG:2]') AS content FROM chunks),

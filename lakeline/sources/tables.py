@@ -17,6 +17,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scan_pages(pages: DataFrame) -> DataFrame:
+    """``doc_id, page_no, place, markdown`` of ``(doc_id, page_index, markdown)``: the number that readers see counts from
+    1, ``place`` is the page's rank within its document, whatever gaps the indexes have."""
+    at = Window.partitionBy("doc_id").orderBy("page_index", "markdown")
+    return pages.select("doc_id", (F.col("page_index") + 1).alias("page_no"), F.row_number().over(at).alias("place"), "markdown")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return d.select(
