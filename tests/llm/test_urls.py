@@ -39,3 +39,102 @@ def test_paths_that_differ_only_far_down_have_templates_of_their_own(spark):
     rows = [(i, f"http://s.com/en/a/b/c/d/e/{i}") for i in range(40)] + [(100 + i, f"http://s.com/x/a/b/c/d/f/{i}") for i in range(40)]
     got = {r.page_id: (r.template, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1] == ("/en/a/b/c/d/e/<n>", "block") and got[101] == ("/x/a/b/c/d/f/<n>", "allow")
+
+
+def test_variable_segments_below_variable_segments(spark):
+    rows = [(i, f"http://s.com/u/{chr(97 + i % 26)}{chr(97 + i // 26)}/slug-{i * 7}-a") for i in range(600)]
+    got = {r.template for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {"/u/*/*"}
+
+
+def brute(rows):
+    """Template of each URL by plain loops over a tree of the paths; fractions instead of whole-number tests."""
+    from collections import Counter, defaultdict
+    from fractions import Fraction
+
+    import re
+
+    def shape(x):
+        if re.fullmatch("[0-9]+", x):
+            return "<n>"
+        if re.fullmatch("[0-9]+[.][a-z0-9]+", x):
+            return "<n>" + x[x.rindex(".") :]
+        return "<h>" if len(x) >= 8 and re.fullmatch("[0-9a-f]+", x) else "<s>" if len(x) > 32 else x
+
+    def verdict(host, path):
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    pages = []
+    for _, url in rows:
+        host, _, path = url.split("://")[1].partition("/")
+        path = "/" + path
+        pages.append({"host": host.lower(), "label": verdict(host.lower(), path), "segs": [shape(x) for x in path.split("/") if x], "up": [], "rest": ""})
+    depth = max(len(p["segs"]) for p in pages)
+    for k in range(depth):
+        below = defaultdict(list)
+        for p in pages:
+            if len(p["segs"]) > k:
+                below[p["host"], tuple(p["up"])].append(p)
+        for group in below.values():
+            kinds = {p["segs"][k] for p in group}
+            wild = len(kinds) >= 16 and len(group) < 4 * len(kinds)
+            for p in group:
+                p["up"] = [*p["up"], "*" if wild else p["segs"][k]]
+    for k in range(depth - 1, -1, -1):
+        below = defaultdict(lambda: defaultdict(list))
+        for p in pages:
+            if len(p["up"]) > k:
+                below[p["host"], tuple(p["up"][:k])][p["up"][k]].append(p)
+        for branches in below.values():
+            rests = {b: Counter(p["rest"] for p in ps) for b, ps in branches.items()}
+            families = defaultdict(list)
+            for b, c in rests.items():
+                families[min(c, key=lambda r: (-c[r], r.encode()))].append(b)
+            for own in families.values():
+                total = sum((rests[b] for b in own), Counter())
+                size = total.total()
+                alike = [b for b in own if rests[b].total() >= 10 and sum(abs(Fraction(rests[b][r], rests[b].total()) - Fraction(total[r], size)) for r in total) <= Fraction(1, 2)]
+                tally = {b: (sum(p["label"] is not None for p in branches[b]), sum(p["label"] == "block" for p in branches[b])) for b in alike}
+                for b in alike:
+                    n1, b1 = tally[b]
+                    n2, b2 = (sum(t[i] for t in tally.values()) - tally[b][i] for i in (0, 1))
+                    if len(alike) >= 2 and (n1 == 0 or n2 == 0 or (b1 * n2 - b2 * n1) ** 2 * (n1 + n2) <= 3.84 * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2):
+                        for p in branches[b]:
+                            p["one"] = True
+            for b, ps in branches.items():
+                for p in ps:
+                    p["rest"] = "/" + ("*" if p.pop("one", False) else b) + p["rest"]
+    votes = defaultdict(list)
+    for p in pages:
+        p["template"] = p["rest"] or "/"
+        votes[p["host"], p["template"]] += [p["label"]] * (p["label"] is not None)
+    out = []
+    for p in pages:
+        v = votes[p["host"], p["template"]]
+        out.append((p["template"], p["label"] or ("block" if len(v) >= 10 and Fraction(v.count("block") + 1, len(v) + 2) >= Fraction(8, 10) else "allow")))
+    return out
+
+
+def test_templates_and_verdicts_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    hosts, tops, kinds = ["a.com", "b.net", "c.org", "d.com"], ["en", "de", "es", "fr", "it", "x"], ["news", "blog", "shop"]
+    rows = []
+    for i in range(1500):
+        parts = [rng.choice(tops)]
+        if rng.random() < 0.9:
+            parts.append(rng.choice(kinds))
+        if rng.random() < 0.7:
+            parts.append(rng.choice([f"name{rng.randrange(400)}", str(rng.randrange(99)), "all"]))
+        if rng.random() < 0.5:
+            parts.append(rng.choice([f"s-{rng.randrange(900)}", "about", "7.html"]))
+        host = rng.choice(hosts)
+        if host in ("b.net", "d.com"):  # branches that go on alike
+            parts = [rng.choice(tops), rng.choice(kinds), str(rng.randrange(999))][: rng.choice([3, 3, 3, 1])]
+        rows.append((i, f"http://{host}/" + "/".join(parts) * (rng.random() < 0.98)))
+    got = {r.page_id: (r.template, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(5)).collect()}
+    want = brute(rows)
+    assert [got[i] for i, _ in rows] == want and len({t for t, _ in want}) > 10 and any("*" in t.split("/")[1:2] for t, _ in want)
+    assert sum(t.count("*") > 1 for t, _ in want) > 20
