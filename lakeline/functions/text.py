@@ -219,6 +219,21 @@ def recursive_split(s: Column, most: int) -> Column:
     return F.when(F.size(words) == 0, empty).otherwise(F.aggregate(parts, empty, step))
 
 
+def content_hash(content: Column, least: int = 0) -> Column:
+    """SHA-256 of bytes in upper-case hex; null for fewer than ``least`` bytes, as pictures of under 64 are."""
+    return F.when(F.octet_length(content) >= least, F.upper(F.sha2(content.cast("binary"), 256)))
+
+
+def months_ago(now: Column, months: int) -> Column:
+    """Seconds of the time so many months before; a day that the month lacks is its last."""
+    return F.unix_timestamp(F.timestamp_seconds(now) - F.make_interval(months=F.lit(months)))
+
+
+def day_end(day: Column) -> Column:
+    """Seconds of the last moment that still counts to a day given by its first."""
+    return day + 86400
+
+
 def format_date(seconds: Column) -> Column:
     """Day, Turkish month name and year."""
     months = F.array(*map(F.lit, "Ocak Şubat Mart Nisan Mayıs Haziran Temmuz Ağustos Eylül Ekim Kasım Aralık".split()))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeline.functions.compose import blank, feedback_prompt
 from lakeline.functions.text import is_rejection, normalize_image_md, quality_badge, resolve_image_refs, strip_no_answer, strip_source_refs, will_cache
 from lakeline.operators.folds import number_runs
 from lakeline.operators.graph import connected
@@ -74,8 +75,42 @@ def answer_context(results: DataFrame, budget: int = 12000, most: int = 16) -> D
     return kept.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x.b), "\n\n---\n\n").alias("context"))
 
 
-def parse_quality(s: Column) -> tuple[Column, Column, Column]:
-    """(score, issues, validated) of a judge's JSON, with or without a code fence; what can't be read is not validated."""
+def source_block(place: Column, file_name: Column, page: Column, header: Column, body: Column) -> Column:
+    """A numbered source as a model reads it: its file, page and header between two rules, then its text."""
+    rule = F.lit("\u2550" * 59)
+    page_part = F.coalesce(F.concat(F.lit(" | Sayfa "), page), F.lit(""))
+    header_part = F.when(blank(header), "").otherwise(F.concat(F.lit(" | "), header))
+    return F.concat(rule, F.lit("\n  KAYNAK ["), place, F.lit("]  \u2022  Belge: "), file_name, page_part, header_part, F.lit("\n"), rule, F.lit("\n\n"), body)
+
+
+def numbered_context(results: DataFrame, budget: int = 12000, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(``q_id, context``, images): ``answer_context`` with the images of all its sources numbered through (see
+    pictures.number_images) and sources told by file, page and header. ``results`` needs q_id, rank, file_name, content,
+    tokens, page, header and paths."""
+    from lakeline.operators.pictures import number_images
+
+    kept = select_context(results.where(F.length(F.trim("content")) > 20), budget, most).withColumn("content", F.trim("content"))
+    texts, images = number_images(kept.select("q_id", "rank", "content", "paths"))
+    block = source_block(F.col("place"), F.col("file_name"), F.col("page"), F.col("header"), F.col("t.content"))
+    x = kept.alias("k").join(texts.alias("t"), ["q_id", "rank"])
+    context = x.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda r: r.b), "\n\n---\n\n").alias("context"))
+    return context, images
+
+
+def complaint_prompts(questions: DataFrame, feedback: DataFrame, since: int, least: float = 0.75, same: float = 0.85) -> DataFrame:
+    """``q_id, prompt``: the complaints of ``complaint_context`` as numbered text, the worst first. ``feedback`` also needs
+    question, answer, reason and categories."""
+    told = complaint_context(questions, feedback, since, least, same).join(feedback.select("feedback_id", "question", "answer", "reason", "categories"), "feedback_id")
+    item = F.struct((-F.col("net")).alias("net"), "cluster", "question", "answer", "reason", "categories")
+    return told.groupBy("q_id").agg(feedback_prompt(F.array_sort(F.collect_list(item))).alias("prompt"))
+
+
+def parse_quality(s: Column, answer: Column | None = None) -> tuple[Column, Column, Column]:
+    """(score, issues, validated) of a judge's JSON, with or without a code fence; what can't be read is not validated.
+    A blank ``answer`` is validated with score 0 and the issue ``empty_answer``, whatever the judge says."""
+    if answer is not None:
+        empty, (score, issues, known) = blank(answer), parse_quality(s)
+        return F.when(empty, 0.0).otherwise(score), F.when(empty, F.array(F.lit("empty_answer"))).otherwise(issues), empty | known
     body = F.regexp_replace(F.trim(s), r"^```(?:json)?\s*|\s*```$", "")
     j = F.from_json(body, "score double, issues array<string>")
     known = j.isNotNull() & F.coalesce(j.score.isNotNull() | j.issues.isNotNull(), F.lit(False))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeline.functions.vector import similarity_join
+from lakeline.operators.folds import number_runs
 
 DAY = 86400
+#: What a new answer brings along beside its text.
+UPSERTED = ("question_vec", "images", "source_doc_ids")
 
 
 def best_cache_match(questions: DataFrame, cache: DataFrame, least: float = 0.9) -> DataFrame:
@@ -46,17 +49,19 @@ def answer_from_cache(questions: DataFrame, cache: DataFrame, feedback: DataFram
 def cache_upsert(cache: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """Entries whose lower-cased question equals a new trimmed, lower-cased question take its answer and keep their hits;
     other new questions are added with no hits. ``new`` needs question, answer, new_id; of equal questions the last
-    new_id counts."""
-    n = new.withColumn("k", F.lower(F.trim("question"))).groupBy("k").agg(F.max_by(F.struct("question", "answer", "new_id"), "new_id").alias("n"))
+    new_id counts. Columns of UPSERTED that ``new`` has are taken over too, those it lacks stay out."""
+    more = [c for c in UPSERTED if c in new.columns]
+    n = new.withColumn("k", F.lower(F.trim("question"))).groupBy("k").agg(F.max_by(F.struct("question", "answer", "new_id", *more), "new_id").alias("n"))
     both = cache.withColumn("k", F.lower("question")).join(n, "k", "full_outer")
-    old = F.col("cache_id").isNotNull()
+    old, hit = F.col("cache_id").isNotNull(), F.col("n").isNotNull()
     return both.select(
         F.coalesce("cache_id", "n.new_id").alias("cache_id"),
         F.when(old, F.col("question")).otherwise(F.trim("n.question")).alias("question"),
         F.coalesce("n.answer", "answer").alias("answer"),
         F.coalesce("hit_count", F.lit(0)).alias("hit_count"),
         "last_hit",
-        F.when(F.col("n").isNotNull(), F.lit(now)).alias("updated"),
+        F.when(hit, F.lit(now)).alias("updated"),
+        *(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c) if c in cache.columns else None).alias(c) for c in more),
     )
 
 
@@ -87,16 +92,33 @@ def normalize_cache(cache: DataFrame) -> DataFrame:
 def lookup_stats(lookups: DataFrame, sliding: int = 1800, absolute: int = 7200) -> DataFrame:
     """``key, hits, misses``: a lookup hits if the key was used within ``sliding`` seconds and loaded within ``absolute``.
 
-    ``lookups`` needs key and at (seconds). The load time follows by a fold over the lookups of the key.
+    ``lookups`` needs key and at (seconds). The lookups of a key stream in order through a task that carries the times of
+    its loading and last use.
     """
-    per = lookups.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("a"))
-    state = F.expr("named_struct('loaded', -1L, 'last', -1L, 'hits', 0L, 'misses', 0L)")
 
-    def step(s, t):
-        hit = (s.loaded >= 0) & (t - s.last < sliding) & (t - s.loaded < absolute)
-        return F.struct(F.when(hit, s.loaded).otherwise(t).alias("loaded"), t.alias("last"), (s.hits + hit.cast("long")).alias("hits"), (s.misses + (~hit).cast("long")).alias("misses"))
+    def step(s, at):
+        _, loaded, last = s
+        if loaded is not None and at - last < sliding and at - loaded < absolute:
+            return 1, loaded, at
+        return 0, at, at
 
-    return per.select("key", F.aggregate("a", state, step).alias("s")).select("key", "s.hits", "s.misses")
+    told = number_runs(lookups, "key", "at", {"at": F.col("at")}, (0, None, None), step, "hit")
+    return told.groupBy("key").agg(F.count_if(F.col("hit") == 1).alias("hits"), F.count_if(F.col("hit") == 0).alias("misses"))
+
+
+def hit_rate(stats: DataFrame) -> DataFrame:
+    """Adds ``rate``: the share of hits, 0 where there was no lookup."""
+    n = F.col("hits") + F.col("misses")
+    return stats.withColumn("rate", F.when(n > 0, F.col("hits") / n).otherwise(F.lit(0.0)))
+
+
+def serve_from_cache(questions: DataFrame, cache: DataFrame, feedback: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache): ``q_id, route, answer`` of the questions, the answer where it is served at once, and the entries
+    with the hits of those that served; ``answer_from_cache`` and then ``cache_hits``."""
+    routed = answer_from_cache(questions, cache, feedback)
+    served = routed.join(cache.select("cache_id", "answer"), "cache_id", "left").select("q_id", "route", "cache_id", F.when(F.col("route") == "FAST", F.col("answer")).alias("answer"))
+    hits = routed.where("route = 'FAST'").select("cache_id", F.lit(now).cast("long").alias("at"))
+    return served, cache_hits(cache, hits)
 
 
 def rate_quota(events: DataFrame, permits: int, window: int = 60) -> DataFrame:

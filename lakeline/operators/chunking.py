@@ -95,6 +95,21 @@ def build_history(messages: DataFrame, budget: int, raw: int = 6) -> DataFrame:
     return messages.withColumn("kept", (back == 1) | ((back <= raw) & (used <= budget)))
 
 
+def history_plan(messages: DataFrame, budget: int, summary_cost: int = 0, raw: int = 6, most: int = 20) -> DataFrame:
+    """``session_id, message_id, part`` of the last ``most`` messages of each session: ``raw`` for those ``build_history``
+    keeps when the summary's tokens are taken off the budget, else ``summary``: what a summary has to tell."""
+    w = Window.partitionBy("session_id").orderBy(F.col("turn").desc())
+    recent = messages.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= most).drop("_back")
+    kept = build_history(recent, budget - summary_cost, raw)
+    return kept.select("session_id", "message_id", F.when(F.col("kept"), "raw").otherwise("summary").alias("part"))
+
+
+def block_weight(kind: Column, text: Column) -> Column:
+    """The share of a page's height that a block of a kind is taken to need."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    return F.when(kind == "table", F.greatest(n, F.lit(200))).when(kind == "code", F.greatest(n, F.lit(100))).when(kind == "figure", 100).when(kind == "rule", 10).otherwise(F.greatest(n, F.lit(20)))
+
+
 def sniff_delimiter(lines: DataFrame, most: int = 30) -> DataFrame:
     """``file_id, delimiter``: the candidate whose count in the first lines is the most regular; a comma if none is found.
 

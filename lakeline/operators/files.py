@@ -101,13 +101,20 @@ def append_exchange(messages: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def split_items(items: DataFrame, key: str, order: str, cost: str, budget: int, head_cost: Column | int = 0) -> DataFrame:
-    """``key, piece, first, n, cost``: a list or table cut into pieces within ``budget``; ``head_cost`` (a repeated header)
-    is charged to each piece. ``first`` keeps the number at which a list goes on."""
-    from lakeline.operators.folds import pack_budget
+    """``key, piece, first, n, cost``: a list or table cut into pieces within ``budget``; ``head_cost`` (a repeated header,
+    a number or a column that is one number within a key) is charged to each piece. ``first`` keeps the number at which a
+    list goes on. A piece that is only one item may exceed the budget; null costs count as 0."""
+    from lakeline.operators.folds import number_runs
+
+    head = F.coalesce((F.lit(head_cost) if isinstance(head_cost, int) else head_cost).cast("long"), F.lit(0))
+
+    def step(s, cost, head):
+        no, used = s
+        return (no + 1, cost) if used > 0 and head + used + cost > budget else (no, used + cost)
 
-    room = budget - head_cost if isinstance(head_cost, int) else budget
-    numbered = pack_budget(items, key, order, cost, room)
-    return items.join(numbered, [key, order]).groupBy(key, F.col("group_no").alias("piece")).agg(F.min(order).alias("first"), F.count("*").alias("n"), (F.sum(cost) + head_cost).alias("cost"))
+    x = items.select(key, order, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost"), head.alias("_head"))
+    numbered = number_runs(x, key, order, {"cost": F.col("_cost"), "head": F.col("_head")}, (0, 0), step, "piece", ["_cost", "_head"])
+    return numbered.groupBy(key, "piece").agg(F.min(order).alias("first"), F.count("*").alias("n"), (F.sum("_cost") + F.max("_head")).alias("cost"))
 
 
 def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int = 400) -> DataFrame:
@@ -123,6 +130,31 @@ def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int
     return number_runs(windows, "doc_id", "idx", fields, (0, 0), step, "piece")
 
 
+def semantic_pieces(texts: DataFrame, most: int = 400, window: int = 80, p: float = 0.85, model=None) -> DataFrame:
+    """``doc_id, piece, text`` of ``texts(doc_id, text)``: a text within ``most`` words is one piece as it is; others are
+    cut into windows of ``window`` words, embedded, and broken where neighbours are farther apart than the document's
+    percentile or the piece is full. Pieces are trimmed, blank texts give none. ``model(table, column)`` adds embeddings.
+    ``doc_id`` must be unique."""
+    from lakeline.functions.text import count_tokens
+    from lakeline.operators.answers import embed
+    from lakeline.operators.chunking import adjacent_distance, breakpoints
+    from lakeline.sources.shared import settle
+
+    x = texts.select("doc_id", "text").where(F.trim("text") != "")
+    whole = x.where(count_tokens(F.col("text")) <= most).select("doc_id", F.lit(0).alias("piece"), "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    cut = x.where(count_tokens(F.col("text")) > most).select("doc_id", words.alias("w"))
+    rows = cut.select("doc_id", "w", F.posexplode(F.sequence(F.lit(1), F.size("w"), F.lit(window))).alias("chunk_idx", "at"))
+    rows = rows.select("doc_id", "chunk_idx", F.concat_ws("-", "doc_id", "chunk_idx").alias("chunk_id"), F.array_join(F.slice("w", F.col("at"), F.lit(window)), " ").alias("text"))
+    told = settle((model or embed)(rows, "text"))
+    far = adjacent_distance(told)
+    before = far.join(told.select("chunk_id", "chunk_idx"), "chunk_id").select("doc_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "distance")
+    w = told.join(before, ["doc_id", "chunk_idx"], "left").join(breakpoints(far, p), "doc_id", "left").select("doc_id", F.col("chunk_idx").alias("idx"), count_tokens(F.col("text")).alias("tokens"), "distance", "threshold")
+    broken = semantic_breaks(w, most=most).withColumnRenamed("idx", "chunk_idx").join(told.select("doc_id", "chunk_idx", "text"), ["doc_id", "chunk_idx"])
+    joined = broken.groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda r: r.text), " ").alias("text"))
+    return whole.unionByName(joined)
+
+
 def merge_same_header(chunks: DataFrame, most: int) -> DataFrame:
     """``doc_id, chunk_idx, merged``: consecutive chunks ``(doc_id, chunk_idx, header, tokens)`` of one header whose tokens
     together stay within ``most`` share a number."""

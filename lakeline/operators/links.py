@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeline.functions.compose import blank
+
 from lakeline.functions.text import json_string_array
 
 
@@ -58,6 +60,13 @@ def chunk_stats(docs: DataFrame, parsed: DataFrame, embedded: DataFrame) -> Data
     return docs.select("doc_id").join(p, "doc_id", "left").join(e, "doc_id", "left").select("doc_id", F.coalesce("e", zero).alias("chunks"), (F.coalesce("p", zero) - F.coalesce("e", zero)).alias("skipped"))
 
 
+def processing_notes(stats: DataFrame, notes: DataFrame) -> DataFrame:
+    """``chunk_stats`` with ``notes``: those of ``(doc_id, pos, note)`` that are not blank, in order, divided by `` | ``;
+    null where there are none."""
+    told = notes.where(~blank(F.col("note"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("note").alias("n")))), lambda x: x.n), " | ").alias("notes"))
+    return stats.join(told, "doc_id", "left")
+
+
 def neighbor_ids(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """``q_id, chunk_id`` of the neighbours of a question's matches that are no matches themselves."""
     m = matches.select("q_id", "chunk_id").join(chunks.select("chunk_id", "prev_id", "next_id"), "chunk_id")

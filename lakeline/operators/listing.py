@@ -50,6 +50,35 @@ def name_taken(requests: DataFrame, docs: DataFrame) -> DataFrame:
     return x.select("request_id", F.coalesce("_had", F.lit(False)).alias("taken"))
 
 
+def ids_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a table of keys, however often it is there."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def exists_flag(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``: whether ``other`` has a row of equal keys; a null key never has."""
+    found = other.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(found, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def new_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """``file_id, doc_id, file_name``: for each new file with the bytes of one of the user's documents, the first such."""
+    had = existing.groupBy("user_id", "content_hash").agg(F.min(F.struct("doc_id", "file_name")).alias("d"))
+    return new.join(had, ["user_id", "content_hash"]).select("file_id", "d.doc_id", "d.file_name")
+
+
+def selectable_docs(docs: DataFrame) -> DataFrame:
+    """Documents that are neither waiting nor being processed (statuses 0 and 1)."""
+    return docs.where(~F.col("status").isin(0, 1))
+
+
+def may_see(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``request_id, allowed``: whether the user of each request ``(request_id, session_id, user_id, is_admin)`` owns the
+    session or is an admin; null where there is no such session."""
+    x = requests.join(sessions.select("session_id", F.col("user_id").alias("owner"), F.lit(True).alias("there")), "session_id", "left")
+    return x.select("request_id", F.when(F.col("there"), F.coalesce(F.col("is_admin"), F.lit(False)) | F.col("owner").eqNullSafe(F.col("user_id"))).alias("allowed"))
+
+
 def filter_sessions(df: DataFrame, user_id: int | None = None, archived: bool | None = False, since: int | None = None, until: int | None = None) -> DataFrame:
     """Sessions of a user, archived or not (None: all), made from ``since`` up to the end of the day after ``until``."""
     if user_id is not None:

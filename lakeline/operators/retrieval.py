@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.compose import search_texts
+from lakeline.functions.compose import blank, search_texts
 from lakeline.functions.vector import similarity_join
 from lakeline.operators.index import Index, build_index, terms, text_topk
 
@@ -97,6 +97,13 @@ def overlap_score(question: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, terms(content))) / F.size(asked))
 
 
+def rerank_score(pairs: DataFrame, cut: int = 1500, model=overlap_score) -> DataFrame:
+    """Adds ``score`` to pairs of ``question`` and ``content`` by ``model(question, text)``, which gets the first ``cut``
+    characters of a text; blank texts and questions have no score."""
+    known = ~blank(F.col("content")) & ~blank(F.col("question"))
+    return pairs.withColumn("score", F.when(known, model(F.col("question"), F.left("content", F.lit(cut)))))
+
+
 def asked_text(questions: DataFrame) -> Column:
     """What is looked up in full text: the enriched question where there is one, else the question."""
     enriched = F.col("enriched") if "enriched" in questions.columns else F.lit(None).cast("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.text import array_minus, json_string_array
+from lakeline.functions.text import array_minus, format_matches, json_string_array
 
 
 def feedback_insert(requests: DataFrame, messages: DataFrame, sessions: DataFrame, given: DataFrame) -> DataFrame:
@@ -48,17 +48,38 @@ def unlink_answers(messages: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def session_transition(sessions: DataFrame, actions: DataFrame) -> DataFrame:
-    """Sessions after ``actions(session_id, action, at)`` in order: archive and pin exclude each other."""
-    per = actions.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("acts"))
-    state = F.struct(F.col("is_archived").alias("archived"), F.col("is_pinned").alias("pinned"), F.col("pinned_at").cast("long").alias("pinned_at"), F.col("updated").cast("long").alias("updated"))
+    """Sessions after ``actions(session_id, action, at)`` in order: archive and pin exclude each other, rename gives the
+    first 60 characters of the column ``title``, where there is one. Each property follows from the last action that
+    concerns it, so a session's actions are never brought together; of actions at one time the last by name counts."""
+    titled = "title" in actions.columns
+    last = lambda *kinds: F.max(F.when(F.col("action").isin(*kinds), F.struct("at", "action")))
+    renamed = F.max(F.when((F.col("action") == "rename") & (F.trim("title") != ""), F.struct("at", F.left(F.trim("title"), F.lit(60)).alias("title")))) if titled else F.lit(None).cast("struct<at:long,title:string>")
+    per = actions.groupBy("session_id").agg(last("archive", "unarchive", "pin").alias("a"), last("pin", "unpin", "archive").alias("p"), F.max("at").alias("last"), renamed.alias("t"))
+    x = sessions.join(per, "session_id", "left")
+    pinned = F.col("p.action") == "pin"
+    return x.select(
+        "session_id", "user_id", F.coalesce("t.title", "title").alias("title"), F.coalesce(F.col("a.action") == "archive", F.col("is_archived")).alias("is_archived"), F.coalesce(pinned, F.col("is_pinned")).alias("is_pinned"),
+        F.when(F.col("p").isNull(), F.col("pinned_at")).when(pinned, F.col("p.at")).cast("long").alias("pinned_at"), "created", F.coalesce("last", "updated").cast("long").alias("updated"),
+    )
+
+
+def bump_sessions(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """``session_id, title, updated`` of all sessions after ``turns(session_id, question, at)``: the last turn is the last
+    activity, and a session without a title, or that was not there, is named by the first 60 characters of its first
+    question."""
+    per = turns.groupBy("session_id").agg(F.max("at").alias("last"), F.min_by(F.left(F.trim("question"), F.lit(60)), F.struct("at", "question")).alias("first"))
+    x = sessions.select("session_id", "title", "updated").join(per, "session_id", "full_outer")
+    return x.select("session_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "first").alias("title"), F.greatest("updated", "last").alias("updated"))
 
-    def step(s, a):
-        archived = F.when(a.action == "archive", True).when(a.action.isin("unarchive", "pin"), False).otherwise(s.archived)
-        pinned = F.when(a.action == "pin", True).when(a.action.isin("unpin", "archive"), False).otherwise(s.pinned)
-        return F.struct(archived.alias("archived"), pinned.alias("pinned"), F.when(a.action == "pin", a.at).when(pinned, s.pinned_at).alias("pinned_at"), a.at.alias("updated"))
 
-    x = sessions.join(per, "session_id", "left").withColumn("s", F.when(F.col("acts").isNull(), state).otherwise(F.aggregate("acts", state, step)))
-    return x.select("session_id", "user_id", "title", F.col("s.archived").alias("is_archived"), F.col("s.pinned").alias("is_pinned"), F.col("s.pinned_at").alias("pinned_at"), "created", F.col("s.updated").alias("updated"))
+def cascade_users(users: DataFrame, sessions: DataFrame, messages: DataFrame, docs: DataFrame, chunks: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """All five tables without the users of ``gone(user_id)`` and what is theirs: sessions with messages, documents with
+    chunks. Answers elsewhere that referred to a lost question keep their text and lose the link."""
+    out = {"users": users.join(gone, "user_id", "left_anti"), "sessions": sessions.join(gone, "user_id", "left_anti")}
+    lost = messages.join(sessions.join(gone, "user_id", "left_semi").select("session_id"), "session_id", "left_semi").select("message_id")
+    out["messages"] = unlink_answers(messages, lost)
+    out["docs"], out["chunks"] = cascade_delete(docs, chunks, docs.join(gone, "user_id", "left_semi").select("doc_id"))
+    return out
 
 
 def delete_batch(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -96,6 +117,18 @@ def admit_uploads(existing: DataFrame, files: DataFrame) -> DataFrame:
     return x.select("file_id", out.alias("outcome"))
 
 
+def admit_checked(existing: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, outcome, same_as``: ``admit_uploads`` of files that also have ``format`` (as found in the bytes) and
+    ``size``: behind an unknown kind, bytes that don't fit the kind are ``wrong content``. ``same_as`` names the file that
+    has the same bytes, the user's or else the first in the batch."""
+    h = existing.groupBy("user_id", "content_hash").agg(F.min("file_name").alias("had"))
+    first = F.first("file_name").over(Window.partitionBy("user_id", "content_hash").orderBy("file_id"))
+    x = files.withColumn("_first", first).join(h, ["user_id", "content_hash"], "left").join(admit_uploads(existing, files), "file_id")
+    wrong = F.col("outcome").isin("Pending", "content conflict") & ~F.coalesce(format_matches(F.col("format"), F.col("kind"), F.col("size")), F.lit(False))
+    out = F.when(wrong, "wrong content").otherwise(F.col("outcome"))
+    return x.select("file_id", out.alias("outcome"), F.when(out == "content conflict", F.coalesce("had", "_first")).alias("same_as"))
+
+
 def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     """``user_id, outcome`` of each change ``(user_id, new_email, new_code)``."""
     code = users.groupBy(F.col("personnel_code").alias("new_code")).agg(F.min("user_id").alias("code_owner"))
