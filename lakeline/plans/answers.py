@@ -40,6 +40,7 @@ ORACLE_SQL = {
         SELECT r.i, r.row_no, x.o, CASE WHEN x.o = 'ok' THEN list_append(w.m, r.m) ELSE w.m END, CASE WHEN x.o = 'ok' THEN list_append(w.c, r.c) ELSE w.c END
         FROM w JOIN r ON r.i = w.i + 1, LATERAL (SELECT CASE WHEN list_contains(w.m, r.m) THEN 'email taken' WHEN list_contains(w.c, r.c) THEN 'code taken' ELSE 'ok' END AS o) AS x)
       SELECT row_no, outcome FROM w WHERE i > 0""", "users").removeprefix("WITH "),
+    "embed_texts": t.with_tables("SELECT chunk_id, CASE WHEN trim(content) <> '' THEN 64 END AS size FROM chunks", "chunks"),
     "answer_context": t.with_tables(rf"""MORE {TEXT_CHUNKS}, {DENSE}, g AS (SELECT d.q_id, d.rank, c.file_name, c.content, len(list_filter(regexp_split_to_array(c.content, '\s+'), lambda w: w <> '')) AS tokens FROM dense d JOIN text_chunks c USING (chunk_id) WHERE length(trim(c.content)) > 20),
       p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS used FROM g WINDOW w AS (PARTITION BY q_id ORDER BY rank)) SELECT q_id, string_agg(concat('[', place, '] ', file_name, chr(10), content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place = 1 OR (used <= 120 AND place <= 16) GROUP BY q_id""", "vector_chunks", "questions"),
     "global_image_numbers": t.with_tables("""MORE c AS (SELECT doc_id % 50 AS q_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id, chunk_idx) AS rank, concat(left(content, 5), '[IMG:', chunk_idx % 4, ' x] [IMG:2]') AS content FROM chunks),

@@ -102,6 +102,10 @@ ORACLE_SQL = {
       w AS (SELECT doc_id, chunk_idx, rn, 0 AS no, CAST(tokens AS BIGINT) AS used FROM o WHERE rn = 1 UNION ALL
         SELECT o.doc_id, o.chunk_idx, o.rn, CASE WHEN w.used > 0 AND w.used + o.tokens > 200 THEN w.no + 1 ELSE w.no END, CASE WHEN w.used > 0 AND w.used + o.tokens > 200 THEN o.tokens ELSE w.used + o.tokens END FROM w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1)
       SELECT doc_id, chunk_idx, no AS group_no FROM w""", "chunks").removeprefix("WITH "),
+    "coalesce_small": "WITH RECURSIVE " + _T(f"""MORE {TOK}, o AS (SELECT doc_id, chunk_idx, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn FROM tok),
+      w AS (SELECT doc_id, chunk_idx, rn, 0 AS group_no, CASE WHEN tokens < 40 THEN tokens ELSE -1 END AS used FROM o WHERE rn = 1 UNION ALL
+        SELECT o.doc_id, o.chunk_idx, o.rn, CASE WHEN o.tokens < 40 AND w.used >= 0 AND w.used + o.tokens <= 120 THEN w.group_no ELSE w.group_no + 1 END, CASE WHEN o.tokens >= 40 THEN -1 WHEN w.used >= 0 AND w.used + o.tokens <= 120 THEN w.used + o.tokens ELSE o.tokens END FROM w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1)
+      SELECT doc_id, chunk_idx, group_no FROM w""", "chunks").removeprefix("WITH "),
     "lookup_stats": "WITH RECURSIVE " + f"""{EV}, o AS (SELECT concat(client, event_type) AS key, sec, row_number() OVER (PARTITION BY client, event_type ORDER BY sec) AS rn FROM ev),
       w AS (SELECT key, rn, sec AS loaded, sec AS last, false AS hit FROM o WHERE rn = 1 UNION ALL
         SELECT o.key, o.rn, CASE WHEN o.sec - w.last < 86400 AND o.sec - w.loaded < 604800 THEN w.loaded ELSE o.sec END, o.sec, o.sec - w.last < 86400 AND o.sec - w.loaded < 604800 FROM w JOIN o ON o.key = w.key AND o.rn = w.rn + 1)

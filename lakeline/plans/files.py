@@ -54,6 +54,10 @@ ORACLE_SQL = {
     "persist_images": _T(f"""MORE {PIC}, x AS (SELECT doc_id, chunk_id, chunk_idx, k, paths[k] AS path FROM pic, range(1, 3) AS r(k)), y AS (SELECT x.*, coalesce(hash, concat('#', x.path)) AS g FROM x LEFT JOIN h ON h.path = x.path)
       SELECT chunk_id, first_value(path) OVER (PARTITION BY doc_id, g ORDER BY chunk_idx, k) AS path, CAST(k AS INT) AS position FROM y""", "chunks"),
     "append_exchange": _T("""SELECT message_id, session_id, role, content, response_to FROM messages UNION ALL SELECT item_id * 2 + 10000000, item_id % 7, 0, text, NULL FROM benchmark UNION ALL SELECT item_id * 2 + 10000001, item_id % 7, 1, 'ok', item_id * 2 + 10000000 FROM benchmark""", "messages"),
+    "split_items": "WITH RECURSIVE " + _T(f"""MORE {TOK}, o AS (SELECT doc_id, chunk_idx, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn FROM tok),
+      w AS (SELECT doc_id, chunk_idx, rn, tokens, 0 AS piece, CAST(tokens AS BIGINT) AS used FROM o WHERE rn = 1 UNION ALL
+        SELECT o.doc_id, o.chunk_idx, o.rn, o.tokens, CASE WHEN w.used > 0 AND w.used + o.tokens > 140 THEN w.piece + 1 ELSE w.piece END, CASE WHEN w.used > 0 AND w.used + o.tokens > 140 THEN o.tokens ELSE w.used + o.tokens END FROM w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1)
+      SELECT doc_id, piece, min(chunk_idx) AS first, count(*) AS n, CAST(sum(tokens) + 10 AS BIGINT) AS cost FROM w GROUP BY doc_id, piece""", "chunks").removeprefix("WITH "),
     "merge_same_header": "WITH RECURSIVE " + _T(f"""MORE {TOK}, o AS (SELECT doc_id, chunk_idx, left(content, 1) AS h, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS rn FROM tok),
       w AS (SELECT doc_id, chunk_idx, rn, h, 0 AS no, CAST(tokens AS BIGINT) AS used FROM o WHERE rn = 1 UNION ALL
         SELECT o.doc_id, o.chunk_idx, o.rn, o.h, CASE WHEN o.h = w.h AND w.used + o.tokens <= 120 THEN w.no ELSE w.no + 1 END, CASE WHEN o.h = w.h AND w.used + o.tokens <= 120 THEN w.used + o.tokens ELSE o.tokens END FROM w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1)
