@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lakeline.operators.retrieval import terms
+from lakeline.operators.index import terms
+from lakeline.sources.shared import settle
 
 TOKEN = r'-?"[^"]*"?|\S+'
 
@@ -37,10 +38,24 @@ def positions(chunks: DataFrame, content: str = "content", chunk_id: str = "chun
     return chunks.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(terms(F.col(content))).alias("pos", "term")).select("term", "chunk_id", "pos")
 
 
+def matching_chunks(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """``q_id, part, chunk_id`` of the chunks that hold every wanted word of an alternative. The rarest word proposes
+    chunks and the others are looked up in them, so a word that stands in most chunks makes no pairs of its own."""
+    wanted = asked.where("NOT excluded").select("q_id", "part", F.explode("words").alias("term")).distinct()
+    held = placed.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "chunk_id").distinct()
+    known = wanted.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    part = known.groupBy("q_id", "part").agg(F.min(F.struct("df", "term")).alias("rare"), F.count("*").alias("need"), F.count("df").alias("found")).where("need = found")
+    begun = part.select("q_id", "part", "need", F.col("rare.term").alias("term")).join(held, "term").select("q_id", "part", "need", "chunk_id")
+    both = begun.join(wanted, ["q_id", "part"]).join(held, ["term", "chunk_id"])
+    return both.groupBy("q_id", "part", "need", "chunk_id").agg(F.count("*").alias("n")).where("n = need").select("q_id", "part", "chunk_id")
+
+
 def clause_hits(asked: DataFrame, placed: DataFrame) -> DataFrame:
-    """Every place where a clause occurs, with its first word's position ``begin``; phrases need their words side by side."""
+    """Every place where a clause occurs in a chunk that holds all wanted words, with its first word's position ``begin``;
+    phrases need their words side by side. Excluded words are looked for in these chunks only."""
     words = asked.select("q_id", "part", "clause", "excluded", "n_clauses", "n_words", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
-    at = placed.join(words, "term").withColumn("begin", F.col("pos") - F.col("i")).repartition("q_id", "part", "chunk_id")
+    open_words = matching_chunks(asked, placed).join(words, ["q_id", "part"])
+    at = placed.join(open_words, ["term", "chunk_id"]).withColumn("begin", F.col("pos") - F.col("i")).repartition("q_id", "part", "chunk_id")
     keys = ["q_id", "part", "chunk_id", "clause", "excluded", "n_clauses", "n_words", "size", "begin"]
     return at.groupBy(*keys).agg(F.count("*").alias("n")).where("n = size").select(*keys)
 
@@ -86,8 +101,9 @@ def web_search(questions: DataFrame, placed: DataFrame, n: int = 12, weight: flo
 
     A chunk matches if it holds all clauses of one alternative and none that this excludes; the scores of matching
     alternatives are added. An alternative that only excludes finds nothing. Equal scores (to nine digits) go by
-    chunk_id. ``placed`` comes from ``positions``.
+    chunk_id. ``placed`` comes from ``positions``; it is read several times, so it is written down first.
     """
+    placed = settle(placed)
     scored = cover_density(clause_hits(clauses(questions), placed), weight).groupBy("q_id", "chunk_id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
