@@ -135,12 +135,13 @@ def semantic_pieces(texts: DataFrame, most: int = 400, window: int = 80, p: floa
     cut into windows of ``window`` words, embedded, and broken where neighbours are farther apart than the document's
     percentile or the piece is full. Pieces are trimmed, blank texts give none. ``model(table, column)`` adds embeddings.
     ``doc_id`` must be unique."""
+    from lakeline.functions.compose import blank
     from lakeline.functions.text import count_tokens
     from lakeline.operators.answers import embed
     from lakeline.operators.chunking import adjacent_distance, breakpoints
     from lakeline.sources.shared import settle
 
-    x = texts.select("doc_id", "text").where(F.trim("text") != "")
+    x = texts.select("doc_id", "text").where(~blank(F.col("text")))
     whole = x.where(count_tokens(F.col("text")) <= most).select("doc_id", F.lit(0).alias("piece"), "text")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     cut = x.where(count_tokens(F.col("text")) > most).select("doc_id", words.alias("w"))
