@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,9 +34,16 @@ def clauses(questions: DataFrame) -> DataFrame:
     )
 
 
-def positions(chunks: DataFrame, content: str = "content", chunk_id: str = "chunk_id") -> DataFrame:
-    """``term, chunk_id, pos``: where each term stands in each chunk."""
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(terms(F.col(content))).alias("pos", "term")).select("term", "chunk_id", "pos")
+def positions(chunks: DataFrame, content: str = "content", chunk_id: str = "chunk_id", fields: dict[str, float] | None = None) -> DataFrame:
+    """``term, chunk_id, pos, weight``: where each term stands in each chunk. With ``fields`` several columns are read one
+    behind the other, a place apart so that no phrase reaches over, each with its weight; null texts are empty."""
+    fields = fields or {content: 1.0}
+    texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *(F.coalesce(terms(F.col(f)), F.array().cast("array<string>")).alias(f"_{i}") for i, f in enumerate(fields)))
+    parts, before = [], F.lit(0)
+    for i, w in enumerate(fields.values()):
+        parts.append(texts.select("chunk_id", before.alias("before"), F.posexplode(f"_{i}").alias("at", "term"), F.lit(w).alias("weight")))
+        before = before + F.size(f"_{i}") + 1
+    return reduce(DataFrame.unionByName, parts).select("term", "chunk_id", (F.col("before") + F.col("at")).alias("pos"), "weight")
 
 
 def matching_chunks(asked: DataFrame, placed: DataFrame) -> DataFrame:
@@ -51,23 +59,25 @@ def matching_chunks(asked: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def clause_hits(asked: DataFrame, placed: DataFrame) -> DataFrame:
-    """Every place where a clause occurs in a chunk that holds all wanted words, with its first word's position ``begin``;
-    phrases need their words side by side. Excluded words are looked for in these chunks only."""
+    """Every place where a clause occurs in a chunk that holds all wanted words, with its first word's position ``begin``
+    and the ``inverse`` weights of its words; phrases need their words side by side. Excluded words are looked for in these chunks only."""
     words = asked.select("q_id", "part", "clause", "excluded", "n_clauses", "n_words", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
     open_words = matching_chunks(asked, placed).join(words, ["q_id", "part"])
     at = placed.join(open_words, ["term", "chunk_id"]).withColumn("begin", F.col("pos") - F.col("i")).repartition("q_id", "part", "chunk_id")
     keys = ["q_id", "part", "chunk_id", "clause", "excluded", "n_clauses", "n_words", "size", "begin"]
-    return at.groupBy(*keys).agg(F.count("*").alias("n")).where("n = size").select(*keys)
+    return at.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(1 / F.col("weight")).alias("inverse")).where("n = size").select(*keys, "inverse")
 
 
 def cover_density(hits: DataFrame, weight: float = 1.0) -> DataFrame:
-    """``q_id, part, chunk_id, score``: for each smallest stretch that holds every clause ``weight / (1 + other words)``.
+    """``q_id, part, chunk_id, score``: for each smallest stretch that holds every clause ``weight / (1 + other words)``,
+    times the harmonic mean of the weights of its words where hits have ``inverse`` weights.
 
     Hits are dealt out by query, part and chunk, sorted by position and streamed: a task carries the last place of each
     clause only. Chunks that lack a clause, or hold an excluded one, give no row.
     """
     keys = ["q_id", "part", "chunk_id"]
-    d = hits.select(*keys, "begin", "clause", "excluded", "size", "n_clauses", "n_words")
+    inverse = F.col("inverse") if "inverse" in hits.columns else F.col("size").cast("double")
+    d = hits.select(*keys, "begin", "clause", "excluded", "size", "n_clauses", "n_words", inverse.alias("inverse"))
     schema = d.select(*keys, F.lit(0.0).alias("score")).schema
     arrow = to_arrow_schema(schema)
 
@@ -75,7 +85,7 @@ def cover_density(hits: DataFrame, weight: float = 1.0) -> DataFrame:
         now, last, before, score, barred = None, {}, -1, 0.0, False
         for b in batches:
             out = []
-            for *key, begin, clause, excluded, size, n_clauses, n_words in zip(*(c.to_pylist() for c in b.columns)):
+            for *key, begin, clause, excluded, size, n_clauses, n_words, inverse in zip(*(c.to_pylist() for c in b.columns)):
                 if key != now:
                     if score and not barred:
                         out.append((*now, score))
@@ -83,11 +93,11 @@ def cover_density(hits: DataFrame, weight: float = 1.0) -> DataFrame:
                 if excluded:
                     barred = True
                     continue
-                last[clause] = (begin, begin + size)
+                last[clause] = (begin, begin + size, inverse)
                 if len(last) == n_clauses:
                     first = min(x[0] for x in last.values())
                     if first > before:
-                        score += weight / (1 + max(max(x[1] for x in last.values()) - first - n_words, 0))
+                        score += weight * n_words / sum(x[2] for x in last.values()) / (1 + max(max(x[1] for x in last.values()) - first - n_words, 0))
                         before = first
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow) if out else pa.RecordBatch.from_pylist([], schema=arrow)
         if score and not barred:

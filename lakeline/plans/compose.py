@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeline.functions import compose as c
 from lakeline.operators import answers as an
 from lakeline.operators import websearch as ws
-from lakeline.operators.retrieval import terms
+from lakeline.operators.index import FIELDS, terms
 from lakeline.plans.retrieval import TERMS, rounded
 from lakeline.sources import tables as t
 
@@ -50,6 +50,12 @@ def raw_answers(s, d):
     )
 
 
+def field_questions(s, d):
+    """Every twentieth document asks for its source and the first word of its text: the one is in headers only."""
+    x = t.load(s, d, "documents").where("doc_id % 20 = 0").withColumn("w", terms(F.col("text"))).where(F.size("w") > 0)
+    return x.select(F.col("doc_id").alias("q_id"), F.concat_ws(" ", "source", F.col("w")[0]).alias("question"))
+
+
 def syntax_questions(s, d):
     """Every twentieth benchmark item asks by two of its words: both, as a phrase, either, or one without the other."""
     b = t.load(s, d, "benchmark").where("item_id % 20 = 0").withColumn("w", terms(F.col("text"))).where(F.size("w") > 1)
@@ -63,6 +69,7 @@ QUERIES = {
     "chunk_texts": chunk_texts,
     "dedup_img_paths": dedup_img_paths,
     "finalize_answers": lambda s, d: an.finalize_answers(raw_answers(s, d)),
+    "web_search_fields": lambda s, d: rounded(ws.web_search(field_questions(s, d), ws.positions(t.chunks(s, d), fields=FIELDS)), "score"),
     "web_search": lambda s, d: rounded(ws.web_search(syntax_questions(s, d), ws.positions(t.chunks(s, d))), "score"),
 }
 ORACLE_SQL = {
@@ -88,6 +95,13 @@ ORACLE_SQL = {
       CASE WHEN score < 0.4 THEN 'critical' WHEN score < 0.65 THEN 'medium' ELSE 'none' END AS badge, q_id % 2 = 0 AND NOT rejected AND q_id % 13 <> 0 AND (score >= 0.65 OR (score >= 0.4 AND q_id % 7 <> 0)) AS cached FROM a""",
         "messages",
     ),
+    "web_search_fields": t.with_tables(
+        rf"""MORE q AS (SELECT doc_id AS q_id, lower(source) AS a, ({TERMS.format('text')})[1] AS b FROM documents WHERE doc_id % 20 = 0 AND len({TERMS.format('text')}) > 0),
+      w AS (SELECT chunk_id, {TERMS.format('content')} AS w, {TERMS.format('header')} AS h FROM chunks),
+      p AS (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos, 1.0::DOUBLE AS weight FROM w UNION ALL SELECT chunk_id, unnest(h), len(w) + 1 + generate_subscripts(h, 1) - 1, 0.4::DOUBLE FROM w),
+      e AS (SELECT q_id, chunk_id, pos, weight, term = a AS is_a, lag(pos) OVER k AS p0, lag(weight) OVER k AS w0, lag(term) OVER k AS t0, term FROM p JOIN q ON term = a OR term = b WHERE a <> b WINDOW k AS (PARTITION BY q_id, chunk_id ORDER BY pos)),
+      s AS (SELECT q_id, chunk_id, sum(2 / (1 / weight + 1 / w0) / (1 + pos - p0 - 1)) AS score FROM e WHERE t0 <> term GROUP BY ALL)
+      SELECT q_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) AS r WHERE rank <= 12""", "chunks"),
     "web_search": t.with_tables(
         f"""MORE q AS (SELECT item_id AS q_id, w[1] AS a, w[2] AS b, (item_id // 20) % 4 AS kind FROM (SELECT item_id, {TERMS.format('text')} AS w FROM benchmark WHERE item_id % 20 = 0) AS x WHERE len(w) > 1),
       words AS (SELECT chunk_id, {TERMS.format('content')} AS w FROM chunks), p AS (SELECT chunk_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM words),
