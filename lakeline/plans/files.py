@@ -50,6 +50,8 @@ PIC = "pic AS (SELECT doc_id, chunk_id, chunk_idx, [concat('p', chunk_idx % 3),
 ORACLE_SQL = {
     "delimited_to_rows": """WITH r AS (SELECT l_orderkey, concat(l_linenumber, ';', l_returnflag, ';"', l_linestatus, ';a"') AS line, concat(l_linenumber, '~', l_returnflag, '~', l_linestatus, ';a') AS cells FROM lineitem)
       SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY line) - 1 AS INT) AS row_idx, cells FROM r""",
+    "delimited_tables": """WITH r AS (SELECT l_orderkey AS file_id, concat(l_linenumber, ' | ', l_returnflag, ' | ', l_linestatus, ';a') AS cells, row_number() OVER (PARTITION BY l_orderkey ORDER BY concat(l_linenumber, ';', l_returnflag, ';"', l_linestatus, ';a"')) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+      SELECT file_id, string_agg(CASE WHEN n = 1 THEN replace(cells, ' | ', ' ') ELSE concat('| ', cells, ' |', CASE WHEN rn = 1 THEN chr(10) || '| --- | --- | --- |' ELSE '' END) END, chr(10) ORDER BY rn) AS markdown FROM r GROUP BY file_id""",
     "attach_captions": _T(f"MORE {PIC}, x AS (SELECT chunk_id, k, paths[k] AS path FROM pic, range(1, 3) AS r(k)) SELECT chunk_id, string_agg(coalesce(hash, ''), '|' ORDER BY k) AS captions FROM x LEFT JOIN h USING (path) GROUP BY chunk_id", "chunks"),
     "persist_images": _T(f"""MORE {PIC}, x AS (SELECT doc_id, chunk_id, chunk_idx, k, paths[k] AS path FROM pic, range(1, 3) AS r(k)), y AS (SELECT x.*, coalesce(hash, concat('#', x.path)) AS g FROM x LEFT JOIN h ON h.path = x.path)
       SELECT chunk_id, first_value(path) OVER (PARTITION BY doc_id, g ORDER BY chunk_idx, k) AS path, CAST(k AS INT) AS position FROM y""", "chunks"),

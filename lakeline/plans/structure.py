@@ -54,6 +54,10 @@ REGION = f"""{ROWS}, f AS (SELECT *, len(list_filter(cells, lambda c: trim(c) <>
   region AS (SELECT file_id, first, last, n FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, first) AS b FROM n) AS a WHERE b = 1 AND n >= 2)"""
 IMG = "img AS (SELECT doc_id, chunk_id AS image_id, page + chunk_idx % 2 AS page, (chunk_idx * 7 % 10 + 0.5) / 10 AS y, chunk_id AS path, left(content, 2) AS hash, chunk_idx AS pos FROM chunks WHERE chunk_idx % 3 = 0)"
 ORACLE_SQL = {
+    "markdown_blocks": """WITH li AS (SELECT l_orderkey, string_agg(r, chr(10) ORDER BY l_linenumber, r) AS lines FROM (SELECT l_orderkey, l_linenumber, concat('| ', l_partkey, ' | ', l_suppkey, ' |') AS r FROM lineitem) AS a GROUP BY l_orderkey),
+      p AS (SELECT o_custkey % 100 AS doc_id, o_custkey, o_orderkey, o_orderstatus, o_orderpriority, lines, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS page FROM orders JOIN li ON l_orderkey = o_orderkey)
+      SELECT doc_id, CAST(7 * page + b AS BIGINT) AS block, kind, concat('Customer ', o_custkey, ' > Order ', o_orderkey) AS header_path, CASE kind WHEN 'text' THEN concat('Status ', o_orderstatus) WHEN 'table' THEN lines ELSE concat('- ', o_orderpriority) END AS text
+      FROM p, (VALUES (4, 'text'), (6, 'table'), (7, 'list')) AS v(b, kind)""",
     "cells_to_rows": """WITH c AS (SELECT sheet, "row", col, max(text) AS text FROM (SELECT l_orderkey AS sheet, CAST(l_linenumber AS INT) AS "row", CAST(l_linenumber % 3 + 1 AS INT) AS col, l_returnflag AS text FROM lineitem WHERE l_linenumber <= 7 UNION ALL SELECT l_orderkey, CAST(l_linenumber AS INT), 5, CASE WHEN l_linenumber <> 2 THEN l_linestatus ELSE '' END FROM lineitem WHERE l_linenumber <= 7) AS y GROUP BY ALL),
       u AS (SELECT sheet, min(col) AS a, max(col) AS b FROM c GROUP BY sheet), g AS (SELECT sheet, "row", k FROM (SELECT DISTINCT sheet, "row" FROM c) AS x JOIN u USING (sheet), range(1, 6) AS r(k) WHERE k BETWEEN a AND b)
       SELECT g.sheet, g."row", string_agg(coalesce(text, ''), ',' ORDER BY k) AS cells FROM g LEFT JOIN c ON c.sheet = g.sheet AND c."row" = g."row" AND c.col = g.k GROUP BY g.sheet, g."row" """,
