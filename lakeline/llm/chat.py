@@ -143,6 +143,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> D
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:
+    """``link`` of the turns of the whole table ``conversations``, read as calls and results; see there for odd rows."""
     return link(*turns_as_calls(read_table(spark, sf_dir, "conversations")))
 
 

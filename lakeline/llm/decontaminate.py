@@ -172,4 +172,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """``contaminated`` on the whole tables ``documents`` and ``benchmark``; see there for odd rows."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -406,4 +406,5 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:
+    """``main_text`` on the whole table ``pages``; see there for odd rows."""
     return main_text(read_table(spark, sf_dir, "pages"))

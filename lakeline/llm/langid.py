@@ -187,6 +187,8 @@ def held_out(doc_id):
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
+    """``predict`` of the whole table ``documents`` by a model of its rows that aren't held out. A null doc_id is neither held
+    out nor learnt from, a null text or language is not learnt from; other odd rows as in ``predict``."""
     docs = read_table(spark, sf_dir, "documents")
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = fit(settle(count_ngrams(train)))

@@ -371,4 +371,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """``pack`` on the whole table ``documents``; see there for odd rows."""
     return pack(read_table(spark, sf_dir, "documents"))

@@ -195,6 +195,7 @@ def drop_rejected(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """``judge`` on the whole table ``documents``; see there for odd rows."""
     from lakeline.llm.common import read_table
 
     return judge(read_table(spark, sf_dir, "documents")).select(

@@ -201,6 +201,7 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """``classes`` on the whole table ``documents``; see there for odd rows."""
     found = classes(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -276,6 +276,7 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> Index:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Records of the whole table ``pages`` written as archives and read back through the index; ``records`` tells of odd rows."""
     import uuid
 
     path = f"{shared_dir(spark)}/lakeline/warc-{uuid.uuid4().hex}"
