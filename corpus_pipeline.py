@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+An empty table passes every stage as an empty one, null texts count as empty. Rows with a null doc_id can't be told apart
+and are kept by the stages that filter. Repeated rows are copies: near-dedup keeps one row of each doc_id. Ties go to the
+smaller doc_id. Columns beyond those of ``documents`` are carried through to the last stage.
 """
 
 from __future__ import annotations
