@@ -70,6 +70,11 @@ def build_index(chunks: DataFrame, fields: dict[str, float] | None = None, k1: f
     return Index(postings, blocks, settle(best.select("term", "chunk_id", "impact")), depth)
 
 
+def asked_postings(asked: DataFrame, index: Index) -> DataFrame:
+    """The postings of the terms that are asked for, so that no others are shuffled."""
+    return index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+
+
 def proposals(asked: DataFrame, index: Index, n: int) -> DataFrame:
     """``q_id, chunk_id`` of every chunk that may be among the first ``n`` of its query; ``asked(q_id, term)`` distinct."""
     sums = asked.join(index.best, "term").groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("s"))
@@ -80,7 +85,7 @@ def proposals(asked: DataFrame, index: Index, n: int) -> DataFrame:
     known = asked.join(most, "term").withColumn("below", F.sum("most").over(up)).withColumn("all", F.sum("most").over(Window.partitionBy("q_id")))
     known = known.join(floor, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).where(F.col("below") >= F.col("floor"))
     open_blocks = known.join(index.blocks, "term").where(F.col("all") - F.col("most") + F.col("top") >= F.col("floor"))
-    return open_blocks.select("q_id", "term", "level", "part").join(index.postings, ["term", "level", "part"]).select("q_id", "chunk_id").distinct()
+    return open_blocks.select("q_id", "term", "level", "part").join(asked_postings(asked, index), ["term", "level", "part"]).select("q_id", "chunk_id").distinct()
 
 
 def asked_terms(questions: DataFrame) -> DataFrame:
@@ -93,6 +98,6 @@ def text_topk(questions: DataFrame, index: Index, n: int = 12) -> DataFrame:
     a term that occurs, find nothing."""
     asked = asked_terms(questions)
     wanted = proposals(asked, index, n).join(asked, "q_id")
-    scored = wanted.join(index.postings.select("term", "chunk_id", "impact"), ["term", "chunk_id"]).groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("score"))
+    scored = wanted.join(asked_postings(asked, index).select("term", "chunk_id", "impact"), ["term", "chunk_id"]).groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
