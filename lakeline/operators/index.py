@@ -5,7 +5,8 @@ Postings of a term are held in levels of impact, large ones cut further by a has
 keeps its largest impact; each term keeps its best chunks. A query adds up the best chunks of its terms, and the n-th
 best of these sums is a floor: no chunk below it is among the first n. Terms whose largest impacts together stay below
 the floor need not propose chunks, nor need blocks whose largest impact and all other terms' together stay below it.
-Only chunks proposed by what is left are scored in full, so words that are in most chunks cost a lookup and no pairs.
+What is left is added up as it is read; only chunks that the other terms can still lift to the floor are looked up in
+these, so words that are in most chunks cost a lookup and no pairs.
 """
 
 from __future__ import annotations
@@ -70,22 +71,32 @@ def build_index(chunks: DataFrame, fields: dict[str, float] | None = None, k1: f
     return Index(postings, blocks, settle(best.select("term", "chunk_id", "impact")), depth)
 
 
-def asked_postings(asked: DataFrame, index: Index) -> DataFrame:
-    """The postings of the terms that are asked for, so that no others are shuffled."""
-    return index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-
-
-def proposals(asked: DataFrame, index: Index, n: int) -> DataFrame:
-    """``q_id, chunk_id`` of every chunk that may be among the first ``n`` of its query; ``asked(q_id, term)`` distinct."""
+def bounds(asked: DataFrame, index: Index, n: int) -> DataFrame:
+    """``q_id, term, most, below, all, floor`` of ``asked(q_id, term)``, distinct, for terms that occur: the term's largest
+    impact, the sum of these up to it in rising order, that of all terms of the query, and the query's floor (0 where
+    fewer than ``n`` chunks are known)."""
     sums = asked.join(index.best, "term").groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("s"))
     nth = sums.withColumn("_r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("s")))).where(F.col("_r") == n)
     floor = nth.select("q_id", (F.col("s") - SLACK).alias("floor"))
     most = index.blocks.groupBy("term").agg(F.max("top").alias("most"))
     up = Window.partitionBy("q_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     known = asked.join(most, "term").withColumn("below", F.sum("most").over(up)).withColumn("all", F.sum("most").over(Window.partitionBy("q_id")))
-    known = known.join(floor, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).where(F.col("below") >= F.col("floor"))
-    open_blocks = known.join(index.blocks, "term").where(F.col("all") - F.col("most") + F.col("top") >= F.col("floor"))
-    return open_blocks.select("q_id", "term", "level", "part").join(asked_postings(asked, index), ["term", "level", "part"]).select("q_id", "chunk_id").distinct()
+    return known.join(floor, "q_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+
+
+def begun(known: DataFrame, index: Index) -> DataFrame:
+    """``q_id, chunk_id, s`` of every chunk that may be among the first of its query: its score without the terms that
+    need not propose. A chunk of a block that is left out can't reach the floor, whatever else it holds."""
+    leading = known.where(F.col("below") >= F.col("floor"))
+    opened = leading.join(index.blocks, "term").where(F.col("all") - F.col("most") + F.col("top") >= F.col("floor"))
+    sums = opened.select("q_id", "term", "level", "part").join(index.postings, ["term", "level", "part"]).groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("s"))
+    rest = known.groupBy("q_id").agg(F.max("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("below") < F.col("floor"), F.col("below"))), F.lit(0.0)).alias("rest"))
+    return sums.join(rest, "q_id").where(F.col("s") + F.col("rest") >= F.col("floor")).select("q_id", "chunk_id", "s")
+
+
+def proposals(asked: DataFrame, index: Index, n: int) -> DataFrame:
+    """``q_id, chunk_id`` of every chunk that may be among the first ``n`` of its query; ``asked(q_id, term)`` distinct."""
+    return begun(settle(bounds(asked, index, n)), index).select("q_id", "chunk_id")
 
 
 def asked_terms(questions: DataFrame) -> DataFrame:
@@ -96,8 +107,12 @@ def text_topk(questions: DataFrame, index: Index, n: int = 12) -> DataFrame:
     """``q_id, chunk_id, score, rank`` of the ``n`` best chunks by BM25 for each of ``questions(q_id, question)``; terms
     repeated in a question count once, equal scores (to nine digits) go by chunk_id. Questions that are null, or without
     a term that occurs, find nothing."""
-    asked = asked_terms(questions)
-    wanted = proposals(asked, index, n).join(asked, "q_id")
-    scored = wanted.join(asked_postings(asked, index).select("term", "chunk_id", "impact"), ["term", "chunk_id"]).groupBy("q_id", "chunk_id").agg(F.sum("impact").alias("score"))
+    known = settle(bounds(asked_terms(questions), index, n))  # a row for each term of a question
+    others = known.where(F.col("below") < F.col("floor"))
+    looked_up = begun(known, index).join(others.groupBy("q_id").agg(F.collect_list("term").alias("others")), "q_id", "left")
+    own = F.array(F.lit(None).cast("string"))  # the row that carries what is summed up already
+    rows = looked_up.select("q_id", "chunk_id", "s", F.explode(F.concat(own, F.coalesce("others", F.array().cast("array<string>")))).alias("term"))
+    held = index.postings.join(others.select("term").distinct(), "term", "left_semi").select("term", "chunk_id", "impact")
+    scored = rows.join(held, ["term", "chunk_id"], "left").groupBy("q_id", "chunk_id").agg(F.sum(F.when(F.col("term").isNull(), F.col("s")).otherwise(F.coalesce("impact", F.lit(0.0)))).alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
