@@ -111,9 +111,10 @@ def web_search(questions: DataFrame, placed: DataFrame, n: int = 12, weight: flo
 
     A chunk matches if it holds all clauses of one alternative and none that this excludes; the scores of matching
     alternatives are added. An alternative that only excludes finds nothing. Equal scores (to nine digits) go by
-    chunk_id. ``placed`` comes from ``positions``; it is read several times, so it is written down first.
+    chunk_id. ``placed`` comes from ``positions``; what is asked of it is read several times, so it is written down first.
     """
-    placed = settle(placed)
-    scored = cover_density(clause_hits(clauses(questions), placed), weight).groupBy("q_id", "chunk_id").agg(F.sum("score").alias("score"))
+    asked = clauses(questions)
+    placed = settle(placed.join(asked.select(F.explode("words").alias("term")).distinct(), "term", "left_semi"))
+    scored = cover_density(clause_hits(asked, placed), weight).groupBy("q_id", "chunk_id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
