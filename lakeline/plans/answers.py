@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeline.functions.text import count_tokens
 from lakeline.operators import answers as an
-from lakeline.plans.chunking import asking
-from lakeline.plans.retrieval import DENSE, TEXT_CHUNKS, dense, text_chunks
+from lakeline.plans.chunking import ASK, asking
+from lakeline.plans.retrieval import COS, DENSE, TEXT_CHUNKS, dense, text_chunks
 from lakeline.sources import tables as t
 
 
@@ -18,7 +18,7 @@ def results(s, d):
 
 
 def image_context(s, d):
-    return t.chunks(s, d).select((F.col("doc_id") % 50).alias("q_id"), F.row_number().over(Window.partitionBy(F.col("doc_id") % 50).orderBy("doc_id", "chunk_idx")).alias("rank"), F.concat(F.left("content", F.lit(5)), F.lit("[IMG:"), F.col("chunk_idx") % 4, F.lit(" x] [IMG:2]")).alias("content"), F.array(F.lit("p1"), F.lit("p2")).alias("paths"))
+    return t.chunks(s, d).select((F.col("doc_id") % 50).alias("q_id"), F.row_number().over(Window.partitionBy(F.col("doc_id") % 50).orderBy("doc_id", "chunk_idx")).alias("rank"), F.concat(F.col("content"), F.lit("[IMG:"), F.col("chunk_idx") % 4, F.lit(" x] [IMG:2]")).alias("content"), F.array(F.lit("p1"), F.lit("p2")).alias("paths"))
 
 
 def imports(s, d):
@@ -34,6 +34,13 @@ QUERIES = {
     "embed_texts": lambda s, d: an.embed(t.chunks(s, d).select("chunk_id", "content")).select("chunk_id", F.size("embedding").alias("size")),
 }
 ORACLE_SQL = {
+    "complaint_context": "WITH RECURSIVE " + t.with_tables(f"""MORE {ASK}, p AS (SELECT q_id, feedback_id, rating, created, question_vec::DOUBLE[] AS v, {COS.format('vec', 'question_vec')} AS sim FROM asking a JOIN feedback f ON f.user_id = a.user_id AND created >= {t.START - 2000 * t.DAY}),
+      o AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 9) DESC, feedback_id) AS place FROM p WHERE sim >= 0.2) AS r WHERE place <= 30),
+      w AS (SELECT q_id, place, feedback_id, rating, created, 0::BIGINT AS cluster, [v] AS heads FROM o WHERE place = 1 UNION ALL
+        SELECT q_id, place, feedback_id, rating, created, k, CASE WHEN k = len(heads) THEN list_append(heads, v) ELSE heads END FROM
+        (SELECT o.*, w.heads, coalesce(nullif(list_position(list_transform(w.heads, lambda h: list_cosine_similarity(h, o.v) > 0.5), true), 0) - 1, len(w.heads)) AS k FROM w JOIN o ON o.q_id = w.q_id AND o.place = w.place + 1) AS x),
+      n AS (SELECT q_id, cluster, count(*) FILTER (WHERE rating = -1) - count(*) FILTER (WHERE rating = 1) AS net, arg_max(feedback_id, created) FILTER (WHERE rating = -1) AS feedback_id FROM w GROUP BY q_id, cluster)
+      SELECT q_id, cluster, net, feedback_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY net DESC, cluster) AS rn FROM n WHERE net > 0) AS a WHERE rn <= 10""", "questions", "feedback").removeprefix("WITH "),
     "bulk_import_users": "WITH RECURSIVE " + t.with_tables("""MORE had AS (SELECT list(lower(email)) AS m, list(personnel_code) AS c FROM users WHERE user_id % 2 = 0),
       r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS row_no, lower(concat('CUSTOMER#', lpad(CAST(o_custkey * 3 % 401 AS VARCHAR), 9, '0'), '@X.test')) AS m, concat('EMP', lpad(CAST(o_orderkey % 307 AS VARCHAR), 3, '0')) AS c FROM orders),
       w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS row_no, '' AS outcome, m, c FROM had UNION ALL
@@ -43,7 +50,7 @@ ORACLE_SQL = {
     "embed_texts": t.with_tables("SELECT chunk_id, CASE WHEN trim(content) <> '' THEN 64 END AS size FROM chunks", "chunks"),
     "answer_context": t.with_tables(rf"""MORE {TEXT_CHUNKS}, {DENSE}, g AS (SELECT d.q_id, d.rank, c.file_name, c.content, len(list_filter(regexp_split_to_array(c.content, '\s+'), lambda w: w <> '')) AS tokens FROM dense d JOIN text_chunks c USING (chunk_id) WHERE length(trim(c.content)) > 20),
       p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS used FROM g WINDOW w AS (PARTITION BY q_id ORDER BY rank)) SELECT q_id, string_agg(concat('[', place, '] ', file_name, chr(10), content), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place = 1 OR (used <= 120 AND place <= 16) GROUP BY q_id""", "vector_chunks", "questions"),
-    "global_image_numbers": t.with_tables("""MORE c AS (SELECT doc_id % 50 AS q_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id, chunk_idx) AS rank, concat(left(content, 5), '[IMG:', chunk_idx % 4, ' x] [IMG:2]') AS content FROM chunks),
+    "global_image_numbers": t.with_tables("""MORE c AS (SELECT doc_id % 50 AS q_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id, chunk_idx) AS rank, concat(content, '[IMG:', chunk_idx % 4, ' x] [IMG:2]') AS content FROM chunks),
       e AS (SELECT q_id, rank, list_transform(regexp_extract_all(content, '\\[IMG:([0-9]+)[^\\]]*\\]', 1), lambda n: CAST(n AS INT)) AS a FROM c), m AS (SELECT q_id, rank, CAST(k AS INT) AS place, a[k + 1] AS local FROM e, range(0, 3) AS r(k) WHERE k < len(a))
       SELECT q_id, rank, place, local, row_number() OVER (PARTITION BY q_id ORDER BY rank, place) AS number FROM m WHERE local BETWEEN 1 AND 2""", "chunks"),
 }

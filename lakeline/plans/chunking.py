@@ -25,7 +25,7 @@ def events(s, d):
 
 
 def new_answers(s, d):
-    return t.load(s, d, "documents").where("doc_id % 20 = 0").select((F.col("doc_id") + 1_000_000).alias("new_id"), F.concat(F.lit(" "), F.left("text", F.lit(120))).alias("question"), F.lit("new").alias("answer"))
+    return t.load(s, d, "documents").where("doc_id % 20 = 0").select((F.col("doc_id") + 1_000_000).alias("new_id"), F.concat(F.lit(" "), F.col("text")).alias("question"), F.lit("new").alias("answer"))
 
 
 QUERIES = {
@@ -90,7 +90,7 @@ ORACLE_SQL = {
     "answer_from_cache": _T(f"MORE {ASK}, p AS (SELECT q_id, cache_id, round({COS.format('vec', 'question_vec')}, 9) AS sim FROM questions, cache), b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, cache_id) AS rn FROM p),"
       f" n AS (SELECT q_id, CAST(coalesce(sum(-rating), 0) AS BIGINT) AS net FROM asking a LEFT JOIN feedback f ON f.user_id = a.user_id AND {COS.format('vec', 'question_vec')} >= 0.85 GROUP BY q_id)"
       " SELECT q_id, CASE WHEN sim >= 0.9 THEN cache_id END AS cache_id, net, CASE WHEN sim < 0.9 THEN 'MISS' WHEN net > 0 THEN 'BYPASS' WHEN sim >= 0.97 OR net < 0 THEN 'FAST' ELSE 'VALIDATE' END AS route FROM b JOIN n USING (q_id) WHERE rn = 1", "questions", "cache", "feedback"),
-    "cache_upsert": _T(f"""MORE n AS (SELECT doc_id + 1000000 AS new_id, left(text, 120) AS question FROM documents WHERE doc_id % 20 = 0), k AS (SELECT lower(trim(question)) AS k, max(new_id) AS new_id, arg_max(question, new_id) AS q FROM n GROUP BY 1)
+    "cache_upsert": _T(f"""MORE n AS (SELECT doc_id + 1000000 AS new_id, text AS question FROM documents WHERE doc_id % 20 = 0), k AS (SELECT lower(trim(question)) AS k, max(new_id) AS new_id, arg_max(question, new_id) AS q FROM n GROUP BY 1)
       SELECT coalesce(cache_id, new_id) AS cache_id, CASE WHEN cache_id IS NOT NULL THEN question ELSE trim(q) END AS question, CASE WHEN new_id IS NOT NULL THEN 'new' ELSE answer END AS answer, coalesce(hit_count, 0) AS hit_count, last_hit, CASE WHEN new_id IS NOT NULL THEN {t.NOW} END AS updated
       FROM cache FULL OUTER JOIN k ON lower(question) = k""", "cache"),
     "cache_hits": _T(f"MORE {EV}, h AS (SELECT event_id % 997 AS cache_id, count(*) AS n, max(sec) AS sec FROM ev GROUP BY 1) SELECT c.cache_id, CAST(hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, greatest(last_hit, sec) AS last_hit FROM cache c LEFT JOIN h USING (cache_id)", "cache"),

@@ -14,8 +14,9 @@ from lakeline.operators import links as ln
 from lakeline.operators import listing as ls
 from lakeline.operators import retrieval as r
 from lakeline.operators import state as st
+from lakeline.plans.chunking import ORACLE_SQL as CHUNKING_SQL
 from lakeline.plans.chunking import TOK, asking, events, tokens
-from lakeline.plans.retrieval import rounded
+from lakeline.plans.retrieval import TERMS, rounded
 from lakeline.plans.state import actions, uploads
 from lakeline.sources import tables as t
 
@@ -59,7 +60,7 @@ def told_feedback(s, d):
 
 def upserts(s, d):
     x = t.load(s, d, "documents").where("doc_id % 20 = 0")
-    return x.select((F.col("doc_id") + 1_000_000).alias("new_id"), F.concat(F.lit(" "), F.left("text", F.lit(120))).alias("question"), F.lit("new").alias("answer"), F.array(F.concat(F.lit("i"), "doc_id")).alias("images"), F.col("doc_id").cast("string").alias("source_doc_ids"))
+    return x.select((F.col("doc_id") + 1_000_000).alias("new_id"), F.concat(F.lit(" "), F.col("text")).alias("question"), F.lit("new").alias("answer"), F.array(F.concat(F.lit("i"), "doc_id")).alias("images"), F.col("doc_id").cast("string").alias("source_doc_ids"))
 
 
 def overlap(s, d):
@@ -95,6 +96,11 @@ QUERIES = {
 }
 _T = t.with_tables
 ORACLE_SQL = {
+    "rerank_score": f"""WITH c AS (SELECT doc_id, b.text AS question, CASE WHEN doc_id % 9 > 0 THEN d.text ELSE ' ' END AS content FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+      w AS (SELECT doc_id, content, list_distinct({TERMS.format('question')}) AS asked, {TERMS.format('left(content, 1500)')} AS has FROM c)
+      SELECT doc_id, CASE WHEN len(asked) > 0 AND regexp_matches(content, '\\S') THEN len(list_intersect(asked, has)) / len(asked) END AS score FROM w""",
+    "serve_from_cache": f"""WITH r AS (SELECT cache_id AS served, count(*) AS n FROM ({CHUNKING_SQL['answer_from_cache']}) AS a WHERE route = 'FAST' GROUP BY cache_id)
+      SELECT cache_id, CAST(hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, CASE WHEN n IS NULL THEN last_hit ELSE greatest(last_hit, {t.NOW}) END AS last_hit FROM ({t.SQL['cache']}) AS c LEFT JOIN r ON served = cache_id""",
     "ids_in": _T("SELECT chunk_id, doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", "chunks"),
     "exists_flag": _T("SELECT doc_id, EXISTS (SELECT 1 FROM docs o WHERE o.status = 2 AND o.user_id = d.user_id AND o.content_hash = d.content_hash) AS ready_twin FROM docs d", "docs"),
     "new_duplicates": _T("SELECT f.doc_id AS file_id, min(o.doc_id) AS doc_id, arg_min(o.file_name, o.doc_id) AS file_name FROM docs f JOIN docs o ON o.doc_id % 2 = 0 AND o.user_id = f.doc_id % 3 AND o.content_hash = f.content_hash GROUP BY f.doc_id", "docs"),
@@ -122,7 +128,7 @@ ORACLE_SQL = {
         first_value(name) OVER (PARTITION BY f.user_id, f.content_hash ORDER BY file_id) AS first FROM f LEFT JOIN e ON e.user_id = f.user_id AND e.k = f.k LEFT JOIN h ON h.user_id = f.user_id AND h.content_hash = f.content_hash)
       SELECT file_id, CASE WHEN named THEN 'name conflict' WHEN NOT kind THEN 'unknown type' WHEN NOT fits THEN 'wrong content' WHEN had IS NOT NULL OR twin > 1 THEN 'content conflict' ELSE 'Pending' END AS outcome,
         CASE WHEN NOT named AND kind AND fits AND (had IS NOT NULL OR twin > 1) THEN coalesce(had, first) END AS same_as FROM x""", "docs"),
-    "cache_upsert_sources": _T("""MORE n AS (SELECT lower(trim(left(text, 120))) AS k, max(doc_id) AS id FROM documents WHERE doc_id % 20 = 0 GROUP BY 1)
+    "cache_upsert_sources": _T("""MORE n AS (SELECT lower(trim(text)) AS k, max(doc_id) AS id FROM documents WHERE doc_id % 20 = 0 GROUP BY 1)
       SELECT coalesce(c.cache_id, n.id + 1000000) AS cache_id, CASE WHEN n.id IS NULL THEN c.answer ELSE 'new' END AS answer, CASE WHEN n.id IS NOT NULL THEN concat('i', n.id) END AS images, CASE WHEN n.id IS NULL THEN c.source_doc_ids ELSE CAST(n.id AS VARCHAR) END AS source_doc_ids
       FROM cache c FULL OUTER JOIN n ON n.k = lower(c.question)""", "cache"),
     "numbered_context": _T(f"""MORE {TOK}, g AS (SELECT * FROM tok WHERE length(trim(content)) + 14 > 20), p AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER w AS used FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)),

@@ -116,7 +116,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as cached answers; the question is the text of the document of that number."""
     e = load(spark, sf_dir, "embeddings")
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(120)).alias("question"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("question"))
     hits = (F.col("vec_id") % 11).cast("int")
     return e.join(d, "vec_id", "left").select(
         F.col("vec_id").alias("cache_id"),
@@ -156,7 +156,7 @@ SQL = {
       FROM conversations GROUP BY conv_id""",
     "feedback": f"""SELECT vec_id AS feedback_id, vec_id % 5 AS user_id, vec_id AS message_id, embedding AS question_vec, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE -1 END AS rating,
       [['wrong', 'incomplete', 'outdated', 'irrelevant', 'format'][label % 5 + 1], ['wrong', 'incomplete', 'outdated', 'irrelevant', 'format'][vec_id % 5 + 1]] AS categories, {START} - vec_id * {DAY} AS created FROM embeddings""",
-    "cache": f"""SELECT vec_id AS cache_id, coalesce(left(text, 120), concat('q', vec_id)) AS question, embedding AS question_vec, concat('answer ', vec_id) AS answer, CAST(vec_id % 11 AS INT) AS hit_count,
+    "cache": f"""SELECT vec_id AS cache_id, coalesce(text, concat('q', vec_id)) AS question, embedding AS question_vec, concat('answer ', vec_id) AS answer, CAST(vec_id % 11 AS INT) AS hit_count,
       CASE WHEN vec_id % 11 > 0 THEN {NOW} - (vec_id % 50) * {DAY} END AS last_hit, CASE WHEN vec_id % 13 <> 0 THEN concat(label, ',', label + 1) END AS source_doc_ids, {NOW} - (vec_id % 60) * {DAY} AS created
       FROM embeddings LEFT JOIN documents ON doc_id = vec_id""",
     "users": """SELECT c_custkey AS user_id, c_name AS full_name, concat(lower(c_name), '@x.test') AS email, concat('EMP', c_custkey) AS personnel_code, CASE WHEN c_custkey % 50 = 0 THEN 'Admin' ELSE 'User' END AS role FROM customer""",
