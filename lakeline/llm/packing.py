@@ -314,16 +314,18 @@ def pack_parts(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFra
 
 
 def numbered(packed: DataFrame, out: list[str]) -> DataFrame:
-    return packed.withColumn("sequence_id", F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft("part", 24) + F.col("bin")).select(out)
+    return packed.withColumn("sequence_id", F.shiftleft(F.col("turn").cast("long"), 44) + F.shiftleft("part", 20) + F.col("bin")).select(out)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, part_rows: int = PART_ROWS, rounds: int = 8) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, part_rows: int = PART_ROWS, rounds: int | None = None) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``; sequences hold at most ``capacity`` tokens.
 
     A null text counts as empty and gives a piece of its end mark alone. Repeated rows are packed one by one; a null
     doc_id is carried through; an empty table gives an empty one; columns other than doc_id and text are not read.
-    ``with_ids`` adds the token ids of each piece. Sequence numbers are unique but not dense. ``rounds`` bounds the
-    exchanges; one that needs no fewer sequences is not taken.
+    ``with_ids`` adds the token ids of each piece. Sequence numbers are unique but not dense (for ``part_rows`` of
+    some hundred thousand at most). Exchanges go on until the bound of all pieces is met, all that is left fits one
+    partition, or one needs no fewer sequences, which is not taken; full sequences stay, so what is left shrinks.
+    ``rounds`` ends them earlier.
     """
     cut = settle(pieces(docs, capacity, path, with_ids).withColumn("rid", F.monotonically_increasing_id()))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset"]
@@ -336,7 +338,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     def census(rows: DataFrame) -> tuple[int, int]:
         return tuple(rows.agg(F.count_distinct("turn", "part", "bin"), F.count("*")).first())
 
-    for turn in range(rounds + 1 if len(sizes) else 0):
+    for turn in range(0 if not len(sizes) else 2**19 if rounds is None else rounds + 1):  # each turn needs fewer sequences
         if loose is None:
             some, rest, before, m = left, None, None, int(sizes["n"].sum())
         else:

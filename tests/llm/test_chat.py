@@ -46,6 +46,15 @@ def test_orders_forward_references_and_tells_cycles(spark):
     assert key["c"] < key["b"] < key["a"] and key["x"] is None and key["y"] is None and key["z"] and key["p"]
 
 
+def test_a_long_way_of_forward_references(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(chat, "settle", lambda df, own=chat.settle: kept.append(1) or own(df))
+    calls = spark.createDataFrame([(1, f"c{i:02d}") for i in range(12)] + [(2, "a")], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(1, f"c{i:02d}", f"c{i + 1:02d}") for i in range(11)], "conv_id long, call_id string, on string")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls, edges).collect()}
+    assert got == {(1, f"c{i:02d}"): 11 - i for i in range(12)} | {(2, "a"): 0} and len(kept) == 2 + 2 * 12
+
+
 def test_empty_and_nulls(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.link(*chat.turns_as_calls(empty)).count() == 0
