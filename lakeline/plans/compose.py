@@ -51,9 +51,10 @@ def raw_answers(s, d):
 
 
 def field_questions(s, d):
-    """Every twentieth document asks for its source and the first word of its text: the one is in headers only."""
-    x = t.load(s, d, "documents").where("doc_id % 20 = 0").withColumn("w", terms(F.col("text"))).where(F.size("w") > 0)
-    return x.select(F.col("doc_id").alias("q_id"), F.concat_ws(" ", "source", F.col("w")[0]).alias("question"))
+    """Every twentieth document asks for its source and the first word of its text: the one is in headers only. The word
+    is quoted, since it may be ``or``; documents without a source, or whose source is that word, don't ask."""
+    x = t.load(s, d, "documents").where("doc_id % 20 = 0").withColumn("w", terms(F.col("text"))).where((F.size("w") > 0) & (F.lower("source") != F.col("w")[0]))
+    return x.select(F.col("doc_id").alias("q_id"), F.concat("source", F.lit(' "'), F.col("w")[0], F.lit('"')).alias("question"))
 
 
 def syntax_questions(s, d):

@@ -1,11 +1,13 @@
 import itertools
 import re
 
+from conftest_oracle import compare
 from pyspark.sql import functions as F
 
 from lakeline.functions import compose as c
 from lakeline.operators import answers as an
 from lakeline.operators import websearch as ws
+from lakeline.plans import registry
 
 
 def one(spark, value, f, kind="string"):
@@ -112,3 +114,10 @@ def test_web_search_equals_all_stretches(spark):
     for i, q in enumerate(queries):
         assert got.get(i, {}) == slow_search(q, texts), q
     assert 99 not in got and ws.web_search(asked.limit(0), placed).count() == 0 and ws.web_search(asked, placed.limit(0)).count() == 0
+
+
+def test_the_first_word_of_a_text_may_be_an_operator(spark, tmp_path):
+    rows = [(20, "Or gold\nor else\nnone", "src0"), (21, "plain text", "src0"), (40, "src1 word", "src1"), (60, "plain", "src1"), (80, "plain", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    next(tmp_path.glob("d/part-*.parquet")).rename(tmp_path / "documents.parquet")
+    assert compare(spark, registry.QUERIES["web_search_fields"], registry.ORACLE_SQL["web_search_fields"], str(tmp_path)) == 3
