@@ -28,6 +28,8 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 #: Vectors in a pack, directions that packs are kept together by, and tasks that share the items of one scope.
 PACK, PIVOTS, SPREAD = 1024, 8, 32
+#: Packs of queries whose best a task remembers, 8 bytes times PACK times ``top`` each.
+HELD = 8
 BATCH_BYTES = 16 << 20
 
 
@@ -89,7 +91,8 @@ def similarity_join(queries: DataFrame, q_id: str, q_vec: str, items: DataFrame,
     Both tables are packed into blocks by scope; every block of queries meets every block of items of its scope, dealt
     out over SPREAD tasks a scope, so no scope lands in one task and nothing passes the driver. With ``least`` blocks
     whose angles to some pivot lie farther apart than the angle allowed are not compared: two vectors within an angle
-    differ by no more than it in their angles to any third. With ``top`` each pair of blocks passes on its best only.
+    differ by no more than it in their angles to any third. With ``top`` a pair of blocks passes on
+    what is among the best that its task has seen for a query.
     Vectors that are null, empty, zero or of another length match nothing, nor do null scopes.
     """
     spark = queries.sparkSession
@@ -109,12 +112,20 @@ def similarity_join(queries: DataFrame, q_id: str, q_vec: str, items: DataFrame,
     schema = pa.schema([("q_id", to_arrow_type(q_type)), ("item_id", to_arrow_type(i_type)), ("sim", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, np.ndarray] = {}  # the best of each query of the last packs
         for b in batches:
             for dim, ids, data, i_ids, i_data in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "data", "i_ids", "i_data"))):
                 sims = np.frombuffer(data).reshape(-1, dim) @ np.frombuffer(i_data).reshape(-1, dim).T
                 edge = least
                 if top is not None:
-                    edge = np.partition(sims, -top, axis=1)[:, -top, None] - 1e-9 if sims.shape[1] > top else -2
+                    key = (tuple(ids), data)
+                    best = sims if key not in seen else np.concatenate([seen.pop(key), sims], axis=1)
+                    if best.shape[1] > top:
+                        best = np.partition(best, -top, axis=1)[:, -top:]
+                    edge = best.min(axis=1, keepdims=True) - 1e-9 if best.shape[1] == top else -2
+                    seen[key] = best.copy()
+                    if len(seen) > HELD:
+                        seen.pop(next(iter(seen)))
                 at, col = np.nonzero(sims >= edge)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type).take(pa.array(at)), pa.array(i_ids, schema.field(1).type).take(pa.array(col)), pa.array(sims[at, col])], schema=schema)
 

@@ -124,7 +124,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, n: int = 12, index: I
 
         found = web_search(looked_up, placed, n)
     else:
-        found = text_topk(looked_up, index or build_index(chunks), n)
+        found = text_topk(looked_up, index or build_index(chunks, questions=looked_up), n)
     fused = rrf(dense_topk(questions, chunks, n), found, n)
     rich = fused.select("q_id", "chunk_id", "rank").join(chunks.select("chunk_id", "doc_id", "file_name", "content"), "chunk_id").join(questions.select("q_id", "question"), "q_id")
     scored = rich.withColumn("score", overlap_score(F.col("question"), F.col("content")))

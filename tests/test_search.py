@@ -101,6 +101,32 @@ def test_index_finds_the_best_and_spares_the_rest(spark, monkeypatch):
     assert spared[0] < 0.5 * len(bm25(rows, asked[0]))
 
 
+def test_an_index_for_questions_holds_their_terms_and_gives_the_same_rows(spark):
+    rows = chunks()
+    table = spark.createDataFrame(rows, "chunk_id long, content string, header string")
+    asked = ["the w3 w40", "w17 w5 the head", "nothing-known", None]
+    qs = spark.createDataFrame(list(enumerate(asked)), "q_id long, question string")
+    index = ix.build_index(table, questions=qs)
+    assert {r.term for r in index.postings.select("term").distinct().collect()} == {"the", "w3", "w40", "w17", "w5", "head"}
+    got = {}
+    for r in ix.text_topk(qs, index, 12).collect():
+        got.setdefault(r.q_id, []).append((r["rank"], r.chunk_id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(j + 1, i) for j, (_, i) in enumerate(bm25(rows, asked[k])[:12])] for k in (0, 1)}
+
+
+def test_later_blocks_pass_on_what_beats_earlier_ones(spark, monkeypatch):
+    monkeypatch.setattr(vector, "SPREAD", 1)
+    monkeypatch.setattr(vector, "PACK", 16)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(640, 4))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>").coalesce(1)
+    q = items.where("i < 40").select(F.col("i").alias("q"), F.col("v").alias("w"))
+    found = vector.similarity_join(q, "q", "w", items, "i", "v", top=5)
+    sims = vector.unit(v[:40]) @ vector.unit(v).T
+    got = {(r.q_id, r["rank"]): r.item_id for r in found.collect()}
+    assert got == {(k, j + 1): int(i) for k in range(40) for j, i in enumerate(np.argsort(-sims[k])[:5])}
+
+
 def test_an_empty_index(spark):
     index = ix.build_index(spark.createDataFrame([], "chunk_id long, content string, header string"))
     assert ix.text_topk(spark.createDataFrame([(1, "a")], "q_id long, question string"), index).count() == 0
