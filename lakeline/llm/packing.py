@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 ids, sizes = enc.encode(b.column("text"))
                 rows: list[tuple] = []
                 at = 0
