@@ -25,10 +25,14 @@ def blank(s: Column) -> Column:
     return F.coalesce(s.rlike(r"^[\s\p{Z}\x{85}]*$"), F.lit(True))
 
 
+def let(value: Column, one: Callable[[Column], Column]) -> Column:
+    """``one(value)`` with the value computed once, however often ``one`` names it, within lambdas too."""
+    return F.get(F.transform(F.array(value), one), F.lit(0))
+
+
 def each_marker(s: Column, opening: str, one: Callable[[Column], Column]) -> Column:
     """Cut ``s`` behind every ``opening`` and put what ``one`` makes of each piece in place of opening and piece."""
-    parts = F.split(s, opening)
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return let(F.split(s, opening), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), "")))
 
 
 def unfenced(s: Column) -> Column:
@@ -107,7 +111,7 @@ def resolve_page_images(md: Column, figures: Column, embedded: Column) -> Column
     path = lambda x: F.concat(F.lit("[IMG_PATH:"), x, F.lit("]"))
     s = each_marker(md, r"\[IMG_REF:(?=\d+\])", lambda p: F.coalesce(F.concat(path(at(p, figures)), F.regexp_replace(p, r"^\d+\]", "")), F.concat(F.lit("[IMG_REF:"), p)))
     s = each_marker(s, r"\[\[EMBED_IMG_(?=\d+\]\])", lambda p: F.concat(F.coalesce(path(at(p, embedded)), F.lit("")), F.regexp_replace(p, r"^\d+\]\]", "")))
-    return F.concat_ws("\n", s, F.filter(F.transform(F.coalesce(figures, F.array().cast("array<string>")), path), lambda m: ~s.contains(m)))
+    return let(s, lambda done: F.concat_ws("\n", done, F.filter(F.transform(F.coalesce(figures, F.array().cast("array<string>")), path), lambda m: ~done.contains(m))))
 
 
 def clean_text(kind: Column, text: Column, items: Column, headers: Column, rows: Column) -> Column:

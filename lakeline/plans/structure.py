@@ -24,7 +24,8 @@ def sheet(s, d):
 
 
 def file_rows(s, d):
-    li = t.load(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    li = t.load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").repartition("l_orderkey")  # the one shuffle: all steps behind go by file
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
     cell = lambda k: F.when(F.col("l_linenumber") % k == 0, "").otherwise(F.col("l_returnflag"))
     return li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("int").alias("row_idx"), F.array(cell(2), cell(3), cell(5), F.lit("x|y")).alias("cells"))
 
@@ -42,7 +43,7 @@ QUERIES = {
     "markdown_blocks": lambda s, d: md.blocks(pages(s, d)),
     "cells_to_rows": lambda s, d: md.cells_to_rows(sheet(s, d)).select("sheet", "row", F.array_join("cells", ",").alias("cells")),
     "table_region": lambda s, d: md.table_region(file_rows(s, d)),
-    "render_rows": lambda s, d: md.render_rows(file_rows(s, d), md.table_region(file_rows(s, d))),
+    "render_rows": lambda s, d: md.render_rows(file_rows(s, d)),
     "link_images": lambda s, d: md.link_images(page_blocks(s, d), images(s, d)),
     "first_image_by_hash": lambda s, d: md.first_image_by_hash(images(s, d)).select("image_id", "shared_path"),
 }
