@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+from itertools import islice
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,35 +35,53 @@ def decode_text(content: Column) -> Column:
     )
 
 
-def delimited_to_rows(files: DataFrame) -> DataFrame:
-    """``file_id, row_idx, cells`` of files ``(file_id, text)``: the delimiter is sniffed, quotes may hold delimiters, line
-    ends and doubled quotes; rows of blank cells are left out and do not count. A file is read within its row."""
-    from lakeline.operators.chunking import sniff_delimiter
+def delimiter_of(text: str) -> str:
+    """The rule of ``chunking.sniff_delimiter`` on one text."""
+    lines = list(islice((x for x in text.replace("\r", "").split("\n") if x.strip(" ")), 30))
+    bare = [re.sub(r'"[^"]*"', "", x) if '"' in x else x for x in lines]
+    best, found = 0.0, ","
+    for d in (";", ",", "\t", "|"):
+        counts = [n for n in [x.count(d) for x in bare] if n]
+        if counts:
+            f, n = max((counts.count(n), n) for n in set(counts))
+            if 10.0 * f / len(bare) + n > best:
+                best, found = 10.0 * f / len(bare) + n, d
+    return found
 
-    lines = files.select("file_id", F.posexplode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("line_no", "line"))
-    kind = dict(files.dtypes)["file_id"]
 
-    def run(parts):
-        import csv
-        import io
+def delimited_cells(files: DataFrame) -> DataFrame:
+    """``file_id, cells``: the rows of each of the files ``(file_id, text)`` as one array; files without rows are left out."""
+    schema = files.select("file_id", F.array(F.array(F.lit(""))).alias("cells")).schema
+    arrow = to_arrow_schema(schema)
+    offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
+    def run(batches):
         csv.field_size_limit(1 << 30)
-        for pdf in parts:
-            out = []
-            for file_id, text, delimiter in zip(pdf["file_id"], pdf["text"], pdf["delimiter"]):
-                rows = [r for r in csv.reader(io.StringIO(text or "", newline=""), delimiter=delimiter or ",") if any(c.strip() for c in r)]
-                out += [(file_id, i, r) for i, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["file_id", "row_idx", "cells"])
+        for b in batches:
+            rows, per_file = [], []
+            for t in b.column("text").to_pylist():
+                before = len(rows)
+                if t:
+                    rows += [r for r in csv.reader(io.StringIO(t, newline=""), delimiter=delimiter_of(t)) if "".join(r).strip()]
+                per_file.append(len(rows) - before)
+            cells = pa.ListArray.from_arrays(offsets([len(r) for r in rows]), pa.array([c for r in rows for c in r], pa.string()))
+            cells = pa.ListArray.from_arrays(offsets(per_file), cells).cast(arrow.field(1).type)
+            yield pa.RecordBatch.from_arrays([b.column("file_id").cast(arrow.field(0).type), cells], schema=arrow)
+
+    return files.select("file_id", "text").mapInArrow(run, schema).where(F.size("cells") > 0)
 
-    return files.join(sniff_delimiter(lines), "file_id", "left").select("file_id", "text", "delimiter").mapInPandas(run, f"file_id {kind}, row_idx int, cells array<string>")
+
+def delimited_to_rows(files: DataFrame) -> DataFrame:
+    """``file_id, row_idx, cells`` of files ``(file_id, text)``: the delimiter is sniffed, quotes may hold delimiters, line
+    ends and doubled quotes; rows of blank cells are left out and do not count. A file is read within its row."""
+    return delimited_cells(files).select("file_id", F.posexplode("cells").alias("row_idx", "cells"))
 
 
 def delimited_tables(files: DataFrame) -> DataFrame:
     """``file_id, markdown``: delimited files with their table part as a pipe table."""
-    from lakeline.operators.markdown import render_rows, table_region
+    from lakeline.operators.markdown import sheet_markdown
 
-    rows = delimited_to_rows(files)
-    return render_rows(rows, table_region(rows))
+    return delimited_cells(files).select("file_id", sheet_markdown(F.col("cells")).alias("markdown"))
 
 
 def anchor_images(cells: DataFrame, pictures: DataFrame, least: int = 64) -> DataFrame:

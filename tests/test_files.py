@@ -45,3 +45,11 @@ def test_folds_take_any_key_name_and_long_documents(spark):
     assert got.columns == ["d", "at", "group_no"] and got.agg(F.max("group_no")).first()[0] == 19_999
     small = spark.createDataFrame([(1, 0, 100), (1, 1, 5), (1, 2, 5), (1, 3, None), (2, 0, 5), (2, 1, 500)], "d long, at int, s int")
     assert [r.group_no for r in folds.coalesce_small(small, "d", "at", "s").orderBy("d", "at").collect()] == [0, 1, 1, 1, 0, 1]
+
+
+def test_delimited_tables_within_their_rows(spark):
+    df = spark.createDataFrame([(1, "Title\n\na;b;c\n1;;3\n4;5;x|y\nend"), (2, "a|b"), (3, " \n"), (4, None), (5, "a,b;c\nd,e;f\n")], "file_id long, text string")
+    tables = fl.delimited_tables(df)
+    assert {r.file_id: r.markdown for r in tables.collect()} == {1: "Title\n| a | b | c |\n| --- | --- | --- |\n| 1 |  | 3 |\n| 4 | 5 | x\\|y |\nend", 2: "a b", 5: "| a,b | c |\n| --- | --- |\n| d,e | f |"}
+    for plan in (tables, fl.delimited_to_rows(df)):  # a file is read within its row
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
