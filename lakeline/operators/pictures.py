@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.compose import blank
+from lakeline.functions.compose import blank, let
 from lakeline.functions.text import escape_cell
 
 #: Characters of a caption that stand within a marker at most.
@@ -20,27 +20,35 @@ def render_tables(tables: DataFrame, images: DataFrame) -> DataFrame:
     take the pictures in order, except in rows at least half of whose cells are blank; pictures left over follow below.
     Placeholder headers are blank. A table without headers has no text; rows are as wide as the headers.
     """
-    base = tables.where(F.size("headers") > 0).select("table_id", "headers", F.size("headers").alias("width"), F.coalesce("rows", F.array().cast("array<array<string>>")).alias("rows"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(F.col("r"), i), F.lit("")))
-    rows = base.select("table_id", "width", F.posexplode("rows").alias("row", "r")).select("table_id", "width", "row", cells.alias("cells"))
-    rows = rows.withColumn("empty", F.transform("cells", blank))
-    per = rows.select("table_id", F.posexplode("empty").alias("col", "e")).groupBy("table_id", "col").agg(F.count_if("e").alias("n"), F.count("*").alias("all")).where("2 * n >= all AND n > 0")
-    column = per.groupBy("table_id").agg(F.max_by("col", F.struct("n", -F.col("col"))).alias("into"))
-    x = rows.join(column, "table_id", "left")
-    free = F.get("empty", F.col("into")) & (2 * F.size(F.filter("empty", lambda e: e)) < F.col("width"))
-    x = x.withColumn("free", F.coalesce(free, F.lit(False)))
-    x = x.withColumn("k", F.when(F.col("free"), F.row_number().over(Window.partitionBy("table_id", "free").orderBy("row"))))
-    shown = images.select("table_id", "path", F.row_number().over(Window.partitionBy("table_id").orderBy("pos", "path")).alias("k"))
-    mark = F.concat(F.lit("[IMG_PATH:"), "path", F.lit("]"))
-    placed = x.join(shown, ["table_id", "k"], "left").withColumn("cells", F.transform("cells", lambda c, i: F.when(F.col("path").isNotNull() & (i == F.col("into")), mark).otherwise(c)))
-    body = placed.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("body"))
-    room = x.groupBy("table_id").agg(F.count("k").alias("room"))
-    over = shown.join(room, "table_id", "left").where(F.col("k") > F.coalesce("room", F.lit(0))).groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", mark.alias("m")))), lambda o: o.m), "\n").alias("over"))
+    shown = images.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("p")).select("table_id", F.transform("p", lambda x: x["path"]).alias("paths"))
+    base = tables.where(F.size("headers") > 0).join(shown, "table_id", "left")
+    width = F.size("headers")
+    filled = F.transform(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+    mark = lambda p: F.concat(F.lit("[IMG_PATH:"), p, F.lit("]"))
     line = lambda a: F.concat(F.lit("|"), F.array_join(F.transform(a, lambda c: F.concat(F.lit(" "), F.trim(escape_cell(c)), F.lit(" |"))), ""))
+
+    def column(empty: Column) -> Column:
+        """The place of the picture column, or null."""
+        counts = F.transform("headers", lambda _, i: F.size(F.filter(empty, lambda e: F.get(e, i))))
+        return let(counts, lambda n: F.when((2 * F.array_max(n) >= F.size(empty)) & (F.array_max(n) > 0), (F.array_position(n, F.array_max(n)) - 1).cast("int")))
+
+    def free_rows(empty: Column, into: Column) -> Column:
+        free = lambda e: F.get(e, into) & (2 * F.size(F.filter(e, lambda x: x)) < width)
+        return F.array_compact(F.transform(empty, lambda e, i: F.when(free(e), i)))
+
+    def body(cells: Column, paths: Column, free: Column, into: Column) -> Column:
+        taken = F.slice(free, 1, F.size(paths))
+        path = lambda row: F.get(paths, (F.nullif(F.array_position(taken, row), F.lit(0)) - 1).cast("int"))
+        put = lambda r, p: F.when(p.isNull(), r).otherwise(F.transform(r, lambda c, i: F.when(i == into, mark(p)).otherwise(c)))
+        lines = F.transform(cells, lambda r, row: let(path(row), lambda p: line(put(r, p))))
+        rest = F.transform(F.slice(paths, F.size(free) + 1, F.greatest(F.size(paths) - F.size(free), F.lit(0))), mark)
+        return F.concat(lines, F.array_compact(rest))
+
+    paths = F.coalesce("paths", F.array().cast("array<string>"))
+    lines = let(filled, lambda c: let(F.transform(c, lambda r: F.transform(r, blank)), lambda e: let(column(e), lambda into: let(free_rows(e, into), lambda free: body(c, paths, free, into)))))
     head = F.transform("headers", lambda h, i: F.when(h == F.concat(F.lit("col"), (i + 1).cast("string")), "").otherwise(h))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
-    text = F.concat_ws("\n", line(head), rule, F.transform("body", lambda b: line(b["cells"])), "over")
-    return base.join(body, "table_id", "left").join(over, "table_id", "left").select("table_id", text.alias("markdown"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    return base.select("table_id", F.concat_ws("\n", line(head), rule, lines).alias("markdown"))
 
 
 def caption_of(told: Column) -> Column:

@@ -67,3 +67,11 @@ def test_contexts_that_look_like_objects(spark):
     rows = ['["{x} holds", "b"]', '[{"context": "c"}, {"other": 1}, 5, [1], null, "\\n\\t "]', "no", None, '{"context": "c"}']
     got = spark.createDataFrame([(r,) for r in rows], "s string").select(compose.parse_contexts(F.col("s"), F.lit(6)).alias("c")).collect()
     assert [r.c for r in got] == [["{x} holds", "b", "", "", "", ""], ["c", "", "5", "", "", ""], [""] * 6, [""] * 6, [""] * 6]
+
+
+def test_a_table_is_filled_within_its_row(spark):
+    tables = spark.createDataFrame([(1, ["A", "B", "C"], [["x", "", "y"], ["x", "", "y"]])], "table_id long, headers array<string>, rows array<array<string>>")
+    images = spark.createDataFrame([(1, 1, None), (1, 2, "p"), (1, 3, "q"), (9, 1, "r")], "table_id long, pos int, path string")
+    got = pictures.render_tables(tables, images)
+    assert [r.markdown for r in got.collect()] == ["| A | B | C |\n| --- | --- | --- |\n| x |  | y |\n| x | [IMG_PATH:p] | y |\n[IMG_PATH:q]"]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
