@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.functions.compose import blank, search_texts
+from lakeline.functions.compose import blank, let, search_texts
 from lakeline.functions.vector import similarity_join
 from lakeline.operators.index import Index, build_index, terms, text_topk
+from lakeline.sources.shared import settle
 
 RRF_K = 60
 
@@ -19,9 +20,23 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 12) -> DataFram
 
 
 def postings(chunks: DataFrame, content: str = "content", chunk_id: str = "chunk_id") -> DataFrame:
-    """``term, chunk_id, tf, len``: how often each term occurs in each chunk, with the chunk's number of terms."""
-    words = chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("w"))
-    return words.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    """``term, chunk_id, tf, len``: how often each term occurs in each chunk, with the chunk's number of terms.
+
+    Terms are counted within the chunk's row. Only rows whose chunk_id occurs again are shuffled: those of equal length
+    are counted together.
+    """
+
+    def counted(w: Column) -> Column:
+        starts = F.array_compact(F.transform(w, lambda t, i: F.when((i == 0) | (t != F.get(w, i - 1)), i)))
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.struct(F.get(w, s).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(w)) - s).cast("long").alias("tf"), F.size(w).alias("len"))))
+
+    x = chunks.select(F.col(chunk_id).alias("chunk_id"), F.xxhash64(chunk_id).alias("_h"), F.col(content).alias("_c"))
+    repeated = settle(x.groupBy("_h").count().where("count > 1").select("_h"))
+    post = lambda df: df.select("chunk_id", F.explode(let(F.sort_array(terms(F.col("_c"))), counted)).alias("p")).select("p.term", "chunk_id", "p.tf", "p.len")
+    if repeated.isEmpty():
+        return post(x)
+    again = post(x.join(repeated, "_h", "left_semi")).groupBy("term", "chunk_id", "len").agg(F.sum("tf").alias("tf"))
+    return post(x.join(repeated, "_h", "left_anti")).unionByName(again)
 
 
 def rrf(dense: DataFrame, text: DataFrame, n: int = 12, k: int = RRF_K) -> DataFrame:

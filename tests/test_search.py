@@ -145,3 +145,10 @@ def test_hybrid_search_takes_the_enriched_question_and_the_syntax(spark):
     assert [r.chunk_id for r in found] == [3]
     by_syntax = retrieval.hybrid_search(q.withColumn("enriched", F.lit("alpha -gamma")), c, 2, placed=positions(c)).collect()
     assert 3 not in {r.chunk_id for r in retrieval.dense_topk(q, c, 2).collect()} and {r.q_id for r in by_syntax} <= {1}
+
+
+def test_postings_are_counted_within_rows(spark):
+    df = spark.createDataFrame([("a", "x y X"), ("b", "y"), ("b", "y"), ("b", "y z"), ("c", " "), ("d", None)], "chunk_id string, content string")
+    assert sorted(tuple(r) for r in retrieval.postings(df).select("term", "chunk_id", "tf", "len").collect()) == [("x", "a", 2, 3), ("y", "a", 1, 3), ("y", "b", 1, 2), ("y", "b", 2, 1), ("z", "b", 1, 2)]
+    once = retrieval.postings(df.where("chunk_id <> 'b'"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
