@@ -51,6 +51,11 @@ def test_image_paths(spark):
     assert one(spark, "plain", lambda v: c.resolve_page_images(v, strings(), strings())) == "plain"
 
 
+def test_page_images_cut_the_text_once_for_each_marker(spark):
+    told = spark.createDataFrame([("x",)], "s string").select(c.resolve_page_images(F.col("s"), strings("f", "g"), strings("e")))
+    assert told._jdf.queryExecution().analyzed().toString().count("split(") == 2
+
+
 def test_blocks(spark):
     block = lambda kind, raw=None, text="a\nb", images=(): one(spark, kind, lambda v: c.render_block(v, F.lit(raw).cast("string"), F.lit(text), strings("i", "j"), F.lit(True), F.lit(6), strings(*images)))
     assert block("list") == "7. i\n8. j" and block("quote") == "> a\n> b" and block("code") == "```\na\nb\n```" and block("rule") == "---"
