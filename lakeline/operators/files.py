@@ -10,7 +10,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -143,8 +143,8 @@ def split_items(items: DataFrame, key: str, order: str, cost: str, budget: int,
     return numbered.groupBy(key, "piece").agg(F.min(order).alias("first"), F.count("*").alias("n"), (F.sum("_cost") + F.max("_head")).alias("cost"))
 
 
-def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int = 400) -> DataFrame:
-    """``doc_id, idx, piece`` of windows ``(doc_id, idx, tokens, distance, threshold)`` in order; ``distance`` is that to the
+def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int = 400, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, idx, piece``, with the columns named by ``carry``, of windows ``(doc_id, idx, tokens, distance, threshold)`` in order; ``distance`` is that to the
     window before. A piece ends before a window that is farther than the threshold or would make it too long."""
     from lakeline.operators.folds import number_runs
 
@@ -153,7 +153,7 @@ def semantic_breaks(windows: DataFrame, threshold: str = "threshold", most: int
         return (no + 1, tokens) if used > 0 and (used + tokens > most or far) else (no, used + tokens)
 
     fields = {"tokens": F.coalesce(F.col("tokens").cast("long"), F.lit(0)), "far": F.coalesce(F.col("distance") > F.col(threshold), F.lit(False))}
-    return number_runs(windows, "doc_id", "idx", fields, (0, 0), step, "piece")
+    return number_runs(windows, "doc_id", "idx", fields, (0, 0), step, "piece", carry)
 
 
 def semantic_pieces(texts: DataFrame, most: int = 400, window: int = 80, p: float = 0.85, model=None) -> DataFrame:
@@ -161,24 +161,25 @@ def semantic_pieces(texts: DataFrame, most: int = 400, window: int = 80, p: floa
     cut into windows of ``window`` words, embedded, and broken where neighbours are farther apart than the document's
     percentile or the piece is full. Pieces are trimmed, blank texts give none. ``model(table, column)`` adds embeddings.
     ``doc_id`` must be unique."""
-    from lakeline.functions.compose import blank
+    from lakeline.functions.compose import blank, let
     from lakeline.functions.text import count_tokens
+    from lakeline.functions.vector import cosine
     from lakeline.operators.answers import embed
-    from lakeline.operators.chunking import adjacent_distance, breakpoints
+    from lakeline.operators.chunking import breakpoints
     from lakeline.sources.shared import settle
 
     x = texts.select("doc_id", "text").where(~blank(F.col("text")))
     whole = x.where(count_tokens(F.col("text")) <= most).select("doc_id", F.lit(0).alias("piece"), "text")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     cut = x.where(count_tokens(F.col("text")) > most).select("doc_id", words.alias("w"))
-    rows = cut.select("doc_id", "w", F.posexplode(F.sequence(F.lit(1), F.size("w"), F.lit(window))).alias("chunk_idx", "at"))
-    rows = rows.select("doc_id", "chunk_idx", F.concat_ws("-", "doc_id", "chunk_idx").alias("chunk_id"), F.array_join(F.slice("w", F.col("at"), F.lit(window)), " ").alias("text"))
-    told = settle((model or embed)(rows, "text"))
-    far = adjacent_distance(told)
-    before = far.join(told.select("chunk_id", "chunk_idx"), "chunk_id").select("doc_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "distance")
-    w = told.join(before, ["doc_id", "chunk_idx"], "left").join(breakpoints(far, p), "doc_id", "left").select("doc_id", F.col("chunk_idx").alias("idx"), count_tokens(F.col("text")).alias("tokens"), "distance", "threshold")
-    broken = semantic_breaks(w, most=most).withColumnRenamed("idx", "chunk_idx").join(told.select("doc_id", "chunk_idx", "text"), ["doc_id", "chunk_idx"])
-    joined = broken.groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda r: r.text), " ").alias("text"))
+    windows = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(window)), lambda at: F.array_join(F.slice(w, at, F.lit(window)), " ")))
+    rows = cut.select("doc_id", F.posexplode(windows).alias("idx", "text"))  # a row holds its window, not the document
+    before = F.lag("embedding").over(Window.partitionBy("doc_id").orderBy("idx"))
+    told = (model or embed)(rows, "text").withColumn("_b", before)
+    far = settle(told.select("doc_id", "idx", "text", F.when(F.col("_b").isNotNull(), 1 - cosine(F.col("_b"), F.col("embedding"))).alias("distance")))
+    w = far.join(breakpoints(far, p), "doc_id", "left").withColumn("tokens", count_tokens(F.col("text")))
+    broken = semantic_breaks(w, most=most, carry=["text"])
+    joined = broken.groupBy("doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r.text), " ").alias("text"))
     return whole.unionByName(joined)
 
 

@@ -49,3 +49,16 @@ def test_common_words_propose_no_chunks(spark):
     assert found == {(1, 0, 5), (1, 0, 9), (2, 0, 5), (2, 0, 9), (4, 0, 5), (4, 0, 9), (4, 1, 9)}
     got = {(r.q_id, r.chunk_id) for r in websearch.web_search(q, placed).collect()}
     assert got == {(1, 5), (1, 9), (2, 5), (4, 5), (4, 9)}
+
+
+def test_windows_of_a_long_text_do_not_hold_the_text(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i % 97}" for i in range(1000)))], "doc_id long, text string")
+    seen = []
+
+    def model(rows, column):
+        seen.extend(rows.columns + [rows._jdf.queryExecution().optimizedPlan().toString()])
+        return answers.embed(rows, column)
+
+    got = files.semantic_pieces(df, model=model).orderBy("piece").collect()
+    assert " ".join(r.text for r in got) == df.first().text
+    assert "Generate posexplode(sequence" not in seen[-1]
