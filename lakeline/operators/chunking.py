@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lakeline.functions.vector import cosine
 
 
-def link_chunks(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Drop chunks without a vector, number the others from 0 and link each to its neighbours."""
+def link_chunks(chunks: DataFrame, vector: str = "embedding", carry: list[str] | None = None) -> DataFrame:
+    """Drop chunks without a vector, number the others from 0 and link each to its neighbours; with the columns named by
+    ``carry``."""
     w = Window.partitionBy("doc_id").orderBy("chunk_idx")
-    return chunks.where(F.col(vector).isNotNull()).select("chunk_id", "doc_id", (F.row_number().over(w) - 1).alias("chunk_idx"), F.lag("chunk_id").over(w).alias("prev_id"), F.lead("chunk_id").over(w).alias("next_id"))
+    return chunks.where(F.col(vector).isNotNull()).select("chunk_id", "doc_id", (F.row_number().over(w) - 1).alias("chunk_idx"), F.lag("chunk_id").over(w).alias("prev_id"), F.lead("chunk_id").over(w).alias("next_id"), *(carry or []))
 
 
 def section_runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -42,14 +42,18 @@ def linked_chunks(chunks: DataFrame, model: Callable[..., DataFrame] = embed) ->
     """``doc_id, chunk_id, chunk_idx, prev_id, next_id, header, page, content, paths, embedding``: image paths become
     numbers, the header stands in front, the clean text is embedded, chunks without a vector go and the others are
     numbered from 0 and linked. ``model(table, column)`` adds ``embedding`` to a table of texts."""
-    numbered, paths = renumber_img_paths(F.col("content"))
-    x = chunks.select("doc_id", "chunk_idx", "header", "page", numbered.alias("md"), paths.alias("paths"))
-    content, clean = chunk_text(F.col("header"), F.col("md"), strip_img_markers(F.col("md")))
-    x = x.select("doc_id", F.concat_ws("-", "doc_id", "chunk_idx").alias("chunk_id"), "chunk_idx", "header", "page", content.alias("content"), clean.alias("clean"), "paths")
-    text = embed_text(F.lit(""), F.col("clean"), F.col("content"), F.array().cast("array<string>"))
-    x = model(x.withColumn("to_embed", text), "to_embed").drop("to_embed")
-    link = chunking.link_chunks(x).select("chunk_id", "chunk_idx", "prev_id", "next_id")
-    return x.drop("chunk_idx").join(link, "chunk_id").select("doc_id", "chunk_id", "chunk_idx", "prev_id", "next_id", "header", "page", "content", "clean", "paths", "embedding")
+
+    def told(x: DataFrame) -> DataFrame:
+        numbered, paths = renumber_img_paths(F.col("content"))
+        x = x.withColumns({"md": numbered, "paths": paths})
+        content, clean = chunk_text(F.col("header"), F.col("md"), strip_img_markers(F.col("md")))
+        return x.withColumns({"shown": content, "clean": clean})
+
+    x = told(chunks.select("doc_id", F.concat_ws("-", "doc_id", "chunk_idx").alias("chunk_id"), "chunk_idx", "header", "page", "content"))
+    text = embed_text(F.lit(""), F.col("clean"), F.col("shown"), F.array().cast("array<string>"))
+    x = model(x.withColumn("to_embed", text).drop("md", "paths", "shown", "clean"), "to_embed").drop("to_embed")
+    linked = told(chunking.link_chunks(x, carry=["header", "page", "content", "embedding"])).withColumn("content", F.col("shown"))  # shuffled without its other forms
+    return linked.select("doc_id", "chunk_id", "chunk_idx", "prev_id", "next_id", "header", "page", "content", "clean", "paths", "embedding")
 
 
 def process_documents(pages: DataFrame, mode: str = "semantic", model: Callable[..., DataFrame] = embed) -> DataFrame:
@@ -58,7 +62,7 @@ def process_documents(pages: DataFrame, mode: str = "semantic", model: Callable[
     Null or blank pages give nothing, and a document of such pages no chunk; pages of equal index are taken in the order
     of their lines; other columns are not read.
     """
-    return linked_chunks(settle(cut_chunks(settle(parsed_blocks(pages)), mode)), model)
+    return linked_chunks(settle(cut_chunks(parsed_blocks(pages), mode)), model)
 
 
 def ingest_documents(pages: DataFrame, store: str, run: int, hashes: DataFrame | None = None, mode: str = "semantic", model: Callable[..., DataFrame] = embed) -> DataFrame:

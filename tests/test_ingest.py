@@ -132,3 +132,13 @@ def test_write_chunks_with_a_failing_task(spark, tmp_path):
     assert seen() == [(d, c, "new" if d < 2 else "old") for d in range(4) for c in range(3)]
     st.write_chunks(old.where("doc_id = 0").limit(1), store, 3, old.select("doc_id"))
     assert seen() == [(0, 0, "old")] and st.vacuum(spark, store, ["chunks"]) == [1, 2] and seen() == [(0, 0, "old")]
+
+
+def test_texts_outside_tables_are_not_shuffled_to_join_tables(spark):
+    from lakeline.operators import markdown as md
+
+    rows = [(1, i, i // 2, "text", "h", f"t{i}", None, None) for i in range(6)] + [(1, 9, 5, "table", "h", "t", ["a", "b"], [["1", "2"]]), (1, 10, 6, "table", "h", "t", ["A", "b"], [["3", "4"]])]
+    blocks = spark.createDataFrame(rows, "doc_id long, block long, page long, kind string, header_path string, text string, headers array<string>, rows array<array<string>>")
+    joined = md.join_split_tables(blocks)
+    assert sorted((r.block, r.text, r.rows) for r in joined.collect()) == [(i, f"t{i}", None) for i in range(6)] + [(9, None, [["1", "2"], ["3", "4"]])]
+    assert "Window" not in md.join_split_tables(blocks)._jdf.queryExecution().executedPlan().toString()
