@@ -52,7 +52,7 @@ def test_image_paths(spark):
 
 
 def test_page_images_cut_the_text_once_for_each_marker(spark):
-    told = spark.createDataFrame([("x",)], "s string").select(c.resolve_page_images(F.col("s"), strings("f", "g"), strings("e")))
+    told = spark.createDataFrame([("x",)], "s string").select(c.resolve_page_images(F.col("s"), strings("f", "g"), strings("e")).alias("m"))
     assert told._jdf.queryExecution().analyzed().toString().count("split(") == 2
 
 
