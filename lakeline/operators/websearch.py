@@ -14,6 +14,8 @@ from lakeline.operators.index import terms
 from lakeline.sources.shared import settle
 
 TOKEN = r'-?"[^"]*"?|\S+'
+#: Alternatives that are sent to the chunks in one pass.
+SENT = 1 << 16
 
 
 def clauses(questions: DataFrame) -> DataFrame:
@@ -46,38 +48,90 @@ def positions(chunks: DataFrame, content: str = "content", chunk_id: str = "chun
     return reduce(DataFrame.unionByName, parts).select("term", "chunk_id", (F.col("before") + F.col("at")).alias("pos"), "weight")
 
 
-def matching_chunks(asked: DataFrame, placed: DataFrame) -> DataFrame:
-    """``q_id, part, chunk_id`` of the chunks that hold every wanted word of an alternative. The rarest word proposes
-    chunks and the others are looked up in them, so a word that stands in most chunks makes no pairs of its own."""
+def word_places(chunks: DataFrame, content: str = "content", chunk_id: str = "chunk_id", fields: dict[str, float] | None = None) -> DataFrame:
+    """``chunk_id, terms, held``: what ``positions`` tells, with all places of a chunk in its own row, ``held`` in order;
+    ``terms`` are the distinct ones."""
+    fields = fields or {content: 1.0}
+    texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *(F.coalesce(terms(F.col(f)), F.array().cast("array<string>")).alias(f"_{i}") for i, f in enumerate(fields)))
+
+    def places(i, before, w):
+        return F.transform(f"_{i}", lambda t, at: F.struct((before + at).alias("pos"), t.alias("term"), F.lit(w).alias("weight")))
+
+    parts, before = [], F.lit(0)
+    for i, w in enumerate(fields.values()):
+        parts.append(places(i, before, w))
+        before = before + F.size(f"_{i}") + 1
+    return texts.select("chunk_id", F.array_distinct(F.concat(*(f"_{i}" for i in range(len(fields))))).alias("terms"), F.concat(*parts).alias("held"))
+
+
+def gathered(placed: DataFrame) -> DataFrame:
+    """The rows of ``word_places`` from those of ``positions``."""
+    if "held" in placed.columns:
+        return placed
+    by_chunk = placed.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("held"))
+    return by_chunk.select("chunk_id", F.array_distinct("held.term").alias("terms"), "held")
+
+
+def by_term(held: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``held`` with those of ``table`` whose ``term`` they hold. ``table``, a settled one, is sent to the
+    chunks, ``SENT`` rows (by ``key``) in one pass, so that no words are shuffled."""
+    passes = -(-table.count() // SENT) or 1
+    rows = held.withColumn("term", F.explode("terms"))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(table.where(F.pmod(F.xxhash64(*key), F.lit(passes)) == k)), "term") for k in range(passes)])
+
+
+def alternatives(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``q_id, part, term, others, clauses, n_clauses, n_words`` of the alternatives whose wanted words all occur
+    somewhere; ``term`` is the one that the fewest chunks hold."""
     wanted = asked.where("NOT excluded").select("q_id", "part", F.explode("words").alias("term")).distinct()
-    held = placed.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "chunk_id").distinct()
-    known = wanted.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
-    part = known.groupBy("q_id", "part").agg(F.min(F.struct("df", "term")).alias("rare"), F.count("*").alias("need"), F.count("df").alias("found")).where("need = found")
-    begun = part.select("q_id", "part", "need", F.col("rare.term").alias("term")).join(held, "term").select("q_id", "part", "need", "chunk_id")
-    both = begun.join(wanted, ["q_id", "part"]).join(held, ["term", "chunk_id"])
-    return both.groupBy("q_id", "part", "need", "chunk_id").agg(F.count("*").alias("n")).where("n = need").select("q_id", "part", "chunk_id")
+    df = by_term(held.select("terms"), settle(wanted.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    of = wanted.join(df, "term", "left").groupBy("q_id", "part").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by_df"), F.count("*").alias("need"), F.count("df").alias("found"))
+    told = asked.groupBy("q_id", "part").agg(F.collect_list(F.struct("clause", "excluded", "words")).alias("clauses"), F.max("n_clauses").alias("n_clauses"), F.max("n_words").alias("n_words"))
+    return of.where("need = found").join(told, ["q_id", "part"]).select("q_id", "part", F.col("by_df.term")[0].alias("term"), F.slice("by_df.term", 2, F.col("need") - 1).alias("others"), "clauses", "n_clauses", "n_words")
+
 
+def matching_rows(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of ``held`` with each of the ``alternatives`` that they hold every wanted word of. The rarest word proposes
+    chunks and the others are looked up within the row, so a word that stands in most chunks makes no pairs of its own."""
+    found = by_term(held, settle(alternatives(asked, held)), "q_id", "part")
+    n, first = F.size("others"), F.array_contains("terms", F.get("others", F.lit(0)))  # no lambda: rows are wide, and compiled code doesn't copy them
+    return found.where((n == 0) | (first & ((n == 1) | (F.size(F.array_except("others", "terms")) == 0))))
+
+
+def matching_chunks(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """``q_id, part, chunk_id`` of the chunks that hold every wanted word of an alternative."""
+    return matching_rows(asked, gathered(placed)).select("q_id", "part", "chunk_id")
 
-def clause_hits(asked: DataFrame, placed: DataFrame) -> DataFrame:
+
+def clause_hits(asked: DataFrame, held: DataFrame) -> DataFrame:
     """Every place where a clause occurs in a chunk that holds all wanted words, with its first word's position ``begin``
-    and the ``inverse`` weights of its words; phrases need their words side by side. Excluded words are looked for in these chunks only."""
-    words = asked.select("q_id", "part", "clause", "excluded", "n_clauses", "n_words", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
-    open_words = matching_chunks(asked, placed).join(words, ["q_id", "part"])
-    at = placed.join(open_words, ["term", "chunk_id"]).withColumn("begin", F.col("pos") - F.col("i")).repartition("q_id", "part", "chunk_id")
-    keys = ["q_id", "part", "chunk_id", "clause", "excluded", "n_clauses", "n_words", "size", "begin"]
-    return at.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(1 / F.col("weight")).alias("inverse")).where("n = size").select(*keys, "inverse")
+    and the ``inverse`` weights of its words; phrases need their words side by side. Excluded words are looked for in these
+    chunks only. Hits of a query, part and chunk come one behind the other, by position."""
+
+    def at(word, i):
+        return F.transform(F.filter("held", lambda x: x["term"] == word), lambda x: F.struct((x["pos"] - i).alias("begin"), x["weight"].alias("weight")))
+
+    def places(words):
+        rest = F.transform(F.slice(words, 2, F.size(words) - 1), lambda w, i: at(w, i + 1))
+        return F.when(F.size(words) == 1, at(words[0], F.lit(0))).otherwise(F.aggregate(rest, at(words[0], F.lit(0)), lambda a, b: F.array_intersect(a, b)))
+
+    def hits(c):
+        size = F.size(c["words"])
+        return F.transform(places(c["words"]), lambda x: F.struct(x["begin"].alias("begin"), c["clause"].alias("clause"), c["excluded"].alias("excluded"), size.alias("size"), (size / x["weight"]).alias("inverse")))
+
+    every = F.array_sort(F.flatten(F.transform("clauses", hits)))
+    return matching_rows(asked, held).select("q_id", "part", "chunk_id", "n_clauses", "n_words", F.explode(every).alias("x")).select("q_id", "part", "chunk_id", "n_clauses", "n_words", "x.*")
 
 
 def cover_density(hits: DataFrame, weight: float = 1.0) -> DataFrame:
     """``q_id, part, chunk_id, score``: for each smallest stretch that holds every clause ``weight / (1 + other words)``,
-    times the harmonic mean of the weights of its words where hits have ``inverse`` weights.
+    times the harmonic mean of the weights of its words.
 
-    Hits are dealt out by query, part and chunk, sorted by position and streamed: a task carries the last place of each
-    clause only. Chunks that lack a clause, or hold an excluded one, give no row.
+    Hits come in the order of ``clause_hits`` and are streamed: a task carries the last place of each clause only. Chunks
+    that lack a clause, or hold an excluded one, give no row.
     """
     keys = ["q_id", "part", "chunk_id"]
-    inverse = F.col("inverse") if "inverse" in hits.columns else F.col("size").cast("double")
-    d = hits.select(*keys, "begin", "clause", "excluded", "size", "n_clauses", "n_words", inverse.alias("inverse"))
+    d = hits.select(*keys, "begin", "clause", "excluded", "size", "n_clauses", "n_words", "inverse")
     schema = d.select(*keys, F.lit(0.0).alias("score")).schema
     arrow = to_arrow_schema(schema)
 
@@ -103,7 +157,7 @@ def cover_density(hits: DataFrame, weight: float = 1.0) -> DataFrame:
         if score and not barred:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*now, score), arrow.types)], schema=arrow)
 
-    return d.repartition(*keys).sortWithinPartitions(*keys, "begin", "clause").mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def web_search(questions: DataFrame, placed: DataFrame, n: int = 12, weight: float = 1.0) -> DataFrame:
@@ -111,10 +165,14 @@ def web_search(questions: DataFrame, placed: DataFrame, n: int = 12, weight: flo
 
     A chunk matches if it holds all clauses of one alternative and none that this excludes; the scores of matching
     alternatives are added. An alternative that only excludes finds nothing. Equal scores (to nine digits) go by
-    chunk_id. ``placed`` comes from ``positions``; what is asked of it is read several times, so it is written down first.
+    chunk_id, which must be unique. ``placed`` comes from ``word_places``, then nothing of the texts is shuffled, or from
+    ``positions``. Equal questions are looked up once.
     """
-    asked = clauses(questions)
-    placed = settle(placed.join(asked.select(F.explode("words").alias("term")).distinct(), "term", "left_semi"))
+    once = settle(questions.select("question").distinct().withColumn("no", F.monotonically_increasing_id()))
+    asked = settle(clauses(once.withColumnRenamed("no", "q_id")))
+    if "held" not in placed.columns:
+        placed = settle(gathered(placed.join(asked.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")))
     scored = cover_density(clause_hits(asked, placed), weight).groupBy("q_id", "chunk_id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumnRenamed("q_id", "no")
+    return questions.join(once, "question").select("q_id", "no").join(best, "no").select("q_id", "chunk_id", "score", "rank")

@@ -70,8 +70,8 @@ QUERIES = {
     "chunk_texts": chunk_texts,
     "dedup_img_paths": dedup_img_paths,
     "finalize_answers": lambda s, d: an.finalize_answers(raw_answers(s, d)),
-    "web_search_fields": lambda s, d: rounded(ws.web_search(field_questions(s, d), ws.positions(t.chunks(s, d), fields=FIELDS)), "score"),
-    "web_search": lambda s, d: rounded(ws.web_search(syntax_questions(s, d), ws.positions(t.chunks(s, d))), "score"),
+    "web_search_fields": lambda s, d: rounded(ws.web_search(field_questions(s, d), ws.word_places(t.chunks(s, d), fields=FIELDS)), "score"),
+    "web_search": lambda s, d: rounded(ws.web_search(syntax_questions(s, d), ws.word_places(t.chunks(s, d))), "score"),
 }
 ORACLE_SQL = {
     "search_texts": t.with_tables(

@@ -62,3 +62,14 @@ def test_windows_of_a_long_text_do_not_hold_the_text(spark):
     got = files.semantic_pieces(df, model=model).orderBy("piece").collect()
     assert " ".join(r.text for r in got) == df.first().text
     assert "Generate posexplode(sequence" not in seen[-1]
+
+
+def test_equal_questions_are_looked_up_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, "alpha beta " * 3) for i in range(30)], "chunk_id long, content string")
+    q = spark.createDataFrame([(i, "alpha beta") for i in range(40)], "q_id long, question string")
+    seen, plain = [], websearch.cover_density
+    monkeypatch.setattr(websearch, "cover_density", lambda hits, *a: seen.append((hits.count(), hits._jdf.queryExecution().executedPlan().toString())) or plain(hits, *a))
+    by_place = {tuple(r) for r in websearch.web_search(q, websearch.positions(chunks)).collect()}
+    by_row = {tuple(r) for r in websearch.web_search(q, websearch.word_places(chunks)).collect()}
+    assert by_place == by_row == {(i, j, 5.0, j + 1) for i in range(40) for j in range(12)}
+    assert [n for n, _ in seen] == [30 * 6, 30 * 6] and "hashpartitioning" not in seen[1][1]
